@@ -41,6 +41,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         count(r"[^\p{Lu}]+").alias("n_upper"),
         count(r"[^!?]+").alias("n_shouts"),
         count(r"[^.]+").alias("n_stops"),
+        F.size(F.array_distinct("words")).cast("bigint").alias("n_distinct"),
         F.filter("all_lines", lambda x: x.rlike(r"[^ \t-\r]")).alias("lines"),
         F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))).alias("grams"),
     )
@@ -54,7 +55,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(a["reach"], p)).alias("n"), (p + 3).alias("reach")),
         lambda a: a["n"],
     )
-    return df.select("id", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), "n_lines", "n_upper", "n_shouts", "n_stops")
+    return df.select("id", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), "n_lines", "n_distinct", "n_upper", "n_shouts", "n_stops")
 
 
 @dataclass(frozen=True)
@@ -74,16 +75,23 @@ def _steps(value: Column, good: Column, bad: Column) -> Column:
 
 
 def default_rules() -> list[Rule]:
-    """Votes on repetition, repeated lines, capitals, exclamation, symbols, word length and sentence length."""
+    """Votes on repetition, variety, repeated lines, capitals, exclamation, symbols, word length and sentences.
+
+    Each kind of junk is named by two rules at least, so that agreement between rules, which
+    is all that expectation maximisation has to go by, tells their accuracy.
+    """
     repeat, dup, upper = _ratio("n_repeat_words", "n_words"), _ratio("n_dup_lines", "n_lines"), _ratio("n_upper", "word_chars")
     shout, symbol, mean, stops = _ratio("n_shouts", "n_words"), _ratio("n_symbols", "n_words"), _ratio("word_chars", "n_words"), _ratio("n_stops", "n_words")
+    distinct, share, never = _ratio("n_distinct", "n_words"), _ratio("n_symbols", "word_chars"), F.lit(False)
     return [
         Rule("repeats", _steps(repeat, repeat < 0.1, repeat > 0.3)),
-        Rule("repeated_lines", _steps(dup, F.lit(False), dup > 0.5)),
-        Rule("capitals", _steps(upper, upper < 0.15, upper > 0.4)),
-        Rule("shouting", _steps(shout, shout < 0.02, shout > 0.2)),
+        Rule("variety", _steps(distinct, never, distinct < 0.2)),
+        Rule("repeated_lines", _steps(dup, never, dup > 0.5)),
+        Rule("capitals", _steps(upper, never, upper > 0.4)),
+        Rule("shouting", _steps(shout, never, shout > 0.2)),
         Rule("symbols", _steps(symbol, symbol < 0.02, symbol > 0.1)),
-        Rule("word_length", _steps(mean, (mean >= 3) & (mean <= 9), (mean < 2) | (mean > 15))),
+        Rule("symbol_share", _steps(share, never, share > 0.02)),
+        Rule("word_length", _steps(mean, never, (mean < 2) | (mean > 15))),
         Rule("sentences", _steps(stops, (stops >= 0.02) & (stops <= 0.3), (stops < 0.004) | (stops > 0.7))),
     ]
 
@@ -96,13 +104,14 @@ class LabelModel:
     chance: dict[tuple[str, int, int], float]
 
     def weight(self, rule: str, vote: int) -> float:
-        return math.log(self.chance[rule, 1, vote] / self.chance[rule, 0, vote])
+        """Evidence of a vote; abstaining is none."""
+        return 0.0 if vote == 0 else math.log(self.chance[rule, 1, vote] / self.chance[rule, 0, vote])
 
     def posterior(self, rules: list[str]) -> Column:
         """Probability of being good, of the columns of votes named as the rules."""
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for r in rules:
-            odds = odds + F.when(F.col(r) == -1, self.weight(r, -1)).when(F.col(r) == 1, self.weight(r, 1)).otherwise(self.weight(r, 0))
+            odds = odds + F.when(F.col(r) == -1, self.weight(r, -1)).when(F.col(r) == 1, self.weight(r, 1)).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
@@ -114,11 +123,13 @@ def first_guess(rules: list[str], prior: float = 0.85) -> LabelModel:
     return LabelModel(prior, chance)
 
 
-def fit(votes: DataFrame, rules: list[str], rounds: int = 12, strength: float = 0.02) -> LabelModel:
+def fit(votes: DataFrame, rules: list[str], rounds: int = 12, strength: float = 0.1, false_alarms: float = 0.01) -> LabelModel:
     """Expectation maximisation over the pattern counts of all documents.
 
     ``strength``: weight of the first guess, as a share of the documents of each class; it
-    keeps the classes from trading places.  An empty table gives the first guess.
+    keeps the classes from trading places.  ``false_alarms`` bounds how often a rule is taken
+    to vote bad on a good document, so that a common kind of junk cannot pass for normal.
+    An empty table gives the first guess.
     """
     guess = model = first_guess(rules)
     patterns = votes.groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1).persist()  # at most 3**rules rows
@@ -139,6 +150,7 @@ def fit(votes: DataFrame, rules: list[str], rounds: int = 12, strength: float =
                 for v in (-1, 0, 1):
                     chance[r, 1, v] = ((got[f"g{k}_{v + 1}"] or 0.0) + weight * guess.chance[r, 1, v]) / (good + weight)
                     chance[r, 0, v] = ((got[f"b{k}_{v + 1}"] or 0.0) + weight * guess.chance[r, 0, v]) / (bad + weight)
+                chance[r, 1, -1] = min(chance[r, 1, -1], false_alarms)
             model = LabelModel(min(0.99, max(0.01, good / got["all"])), chance)
     finally:
         patterns.unpersist()
