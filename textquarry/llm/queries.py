@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality_rules
+from . import chat, classifier, decontaminate, packing, pii, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,11 +77,38 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("kept_doc").alias("kept"), "posterior")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_table(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = classifier.score(docs, model)
+    held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_token_counts": op2_token_counts,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_packing": op5_packing,
+        "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
