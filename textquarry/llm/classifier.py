@@ -2,8 +2,10 @@
 
 Word vectors: every word has a sparse ternary index vector that depends on its hash alone;
 a word's vector is the sum of its neighbours' index vectors over the training texts.  A document
-is the mean vector of its known words, with the mean's norm, the share of unknown words and
-the logarithm of its length.  The network is plain numpy; a temperature, fitted on
+is the mean vector of its known words and the mean index vector of its word shapes (runs of
+capitals, letters, digits and marks), with the mean's norm, the shares of unknown, distinct and
+immediately repeated words and the logarithm of its length.  A word is known if two other
+training documents hold it, so that training and unseen documents are measured alike.  The network is plain numpy; a temperature, fitted on
 rows it was not trained on, calibrates its probabilities.
 
 Training uses at most ``sample_rows`` labelled rows, those of the least hash of the id (a
@@ -28,6 +30,37 @@ NONZERO = 4
 REACH = 2
 VOCABULARY = 60_000
 HIDDEN = 32
+SHAPE_DIMENSIONS = 32
+SHAPE_BUCKETS = 4096
+
+#: Bytes by class: A-Z, other letters (all bytes from 80 up too), digits, spaces, and marks as they are.
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[0x41:0x5B], _CLASS[0x61:0x7B], _CLASS[0x80:], _CLASS[0x30:0x3A] = ord("A"), ord("a"), ord("a"), ord("0")
+_CLASS[0x09:0x0E] = 0x20
+
+
+def shape_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hash of each word's shape, in the order of ``hash_words``."""
+    shape = _CLASS[data]
+    keep = np.ones(len(shape), dtype=bool)
+    keep[1:] = shape[1:] != shape[:-1]
+    keep[offsets[:-1][offsets[:-1] < len(shape)]] = True
+    at = np.concatenate([[0], np.cumsum(keep)])
+    return hash_words(shape[keep], at[offsets]).hashes
+
+
+@dataclass
+class Hashed:
+    """Words of some texts: hashes, shapes and the texts' offsets into them."""
+
+    words: np.ndarray
+    shapes: np.ndarray
+    offsets: np.ndarray
+
+
+def hash_text(data: np.ndarray, offsets: np.ndarray) -> Hashed:
+    w = hash_words(data, offsets)
+    return Hashed(w.hashes, shape_hashes(data, offsets), w.offsets)
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
@@ -49,14 +82,17 @@ class Model:
     layers: list[np.ndarray]
     temperature: float
     constant: float | None = None
+    holders: np.ndarray | None = None  # training documents that hold each word
 
-    def features(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def features(self, text: Hashed, own: int = 0) -> np.ndarray:
+        """One row per text.  own: 1 for training texts, which are among the holders themselves."""
+        hashes, offsets = text.words, text.offsets
         n = len(offsets) - 1
         counts = np.diff(offsets)
         pooled, known = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, np.float32)
         if len(hashes) and len(self.words):
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = self.words[at] == hashes
+            hit = (self.words[at] == hashes) & (self.holders[at] >= 2 + own)
             full = counts > 0
             first = offsets[:-1][full]
             known[full] = np.add.reduceat(hit.astype(np.float32), first)
@@ -66,31 +102,57 @@ class Model:
         pooled /= np.maximum(known, 1)[:, None]
         norm = np.sqrt((pooled**2).sum(1))
         unknown = 1 - known / np.maximum(counts, 1)
-        return np.column_stack([pooled, norm, unknown, np.log1p(counts)])
+        shapes, distinct, again = np.zeros((n, SHAPE_DIMENSIONS), np.float32), np.zeros(n), np.zeros(n)
+        if len(hashes):
+            full = counts > 0
+            first = offsets[:-1][full]
+            bucket = (text.shapes >> np.uint64(52)).astype(np.int64)
+            shapes[full] = np.add.reduceat(_shape_table()[bucket], first, axis=0)
+            doc = np.repeat(np.arange(n, dtype=np.uint64), counts)
+            key = np.sort(doc << np.uint64(40) | hashes >> np.uint64(24))
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            distinct[full] = np.add.reduceat(new.astype(np.float64), first)
+            same = np.zeros(len(hashes))
+            same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+            again[full] = np.add.reduceat(same, first)
+        size = np.maximum(counts, 1)
+        return np.column_stack([pooled, shapes / size[:, None], norm, unknown, np.log1p(counts), distinct / size, again / size])
 
     def logits(self, features: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
         x = (features - self.mean) / self.scale
         return np.maximum(x @ w1 + b1, 0) @ w2 + b2
 
-    def scores(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def scores(self, text: Hashed) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(offsets) - 1, self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.logits(self.features(hashes, offsets)) / self.temperature, -30, 30)))
+            return np.full(len(text.offsets) - 1, self.constant)
+        return 1 / (1 + np.exp(-np.clip(self.logits(self.features(text)) / self.temperature, -30, 30)))
+
+
+_shapes: list[np.ndarray] = []
 
 
-def _hash_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    parts, sizes = [], []
-    for _, _, data, offsets in text_chunks(pa.array(texts, pa.large_string())):
-        w = hash_words(data, offsets)
-        parts.append(w.hashes)
-        sizes.append(np.diff(w.offsets))
-    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return hashes, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64) if sizes else np.zeros(1, np.int64)
+def _shape_table() -> np.ndarray:
+    if not _shapes:
+        _shapes.append(index_vectors(mix(np.arange(SHAPE_BUCKETS, dtype=np.uint64) + np.uint64(0x51ED270B)))[:, :SHAPE_DIMENSIONS])
+    return _shapes[0]
 
 
-def _word_vectors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    words, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+def hash_all(texts: list[str | None]) -> Hashed:
+    parts = [hash_text(data, offsets) for _, _, data, offsets in text_chunks(pa.array(texts, pa.large_string()))]
+    if not parts:
+        return Hashed(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    sizes = np.concatenate([np.diff(p.offsets) for p in parts])
+    return Hashed(np.concatenate([p.words for p in parts]), np.concatenate([p.shapes for p in parts]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+
+
+def _word_vectors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, vectors and numbers of holders of the words that two texts hold at least."""
+    words, where = np.unique(hashes, return_inverse=True)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    held = np.unique(where * np.int64(len(offsets)) + doc) // len(offsets)
+    counts = np.bincount(held, minlength=len(words))
     keep = np.flatnonzero(counts >= 2)
     if len(keep) > VOCABULARY:
         keep = np.sort(keep[np.argsort(-counts[keep], kind="stable")[:VOCABULARY]])
@@ -98,7 +160,6 @@ def _word_vectors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     row[keep] = np.arange(len(keep))
     row = row[where]  # of each occurrence; len(keep): not in the vocabulary
     vectors = np.zeros((len(keep) + 1, DIMENSIONS), np.float32)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     index = index_vectors(words)
     for shift in [s for s in range(-REACH, REACH + 1) if s]:
         at = np.arange(max(0, -shift), len(hashes) - max(0, shift))
@@ -111,7 +172,7 @@ def _word_vectors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
             vectors[rows[firsts]] += np.add.reduceat(index[where[part + shift]][order], firsts, axis=0)
     vectors /= np.maximum(np.sqrt((vectors**2).sum(1)), 1e-6)[:, None]
     vectors[len(keep)] = 0
-    return words[keep], vectors
+    return words[keep], vectors, counts[keep]
 
 
 def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: int = 40) -> Model:
@@ -121,10 +182,10 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: in
     if len(labels) < 10 or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.5
         return Model(np.zeros(0, np.uint64), np.zeros((1, DIMENSIONS), np.float32), empty, empty, [], 1.0, share)
-    hashes, offsets = _hash_all(texts)
-    words, vectors = _word_vectors(hashes, offsets)
-    model = Model(words, vectors, np.zeros(1), np.ones(1), [], 1.0)
-    x = model.features(hashes, offsets).astype(np.float64)
+    text = hash_all(texts)
+    words, vectors, holders = _word_vectors(text.words, text.offsets)
+    model = Model(words, vectors, np.zeros(1), np.ones(1), [], 1.0, None, holders)
+    x = model.features(text, own=1).astype(np.float64)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
     rng = np.random.default_rng(seed)
     model.layers = [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN), np.zeros(1)]
@@ -181,8 +242,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             got = np.zeros(batch.num_rows)
             for first, end, data, offsets in text_chunks(batch.column(1), 1 << 20):
-                w = hash_words(data, offsets)
-                got[first:end] = held.value.scores(w.hashes, w.offsets)
+                got[first:end] = held.value.scores(hash_text(data, offsets))
             columns = [batch.column(0), *([batch.column(2)] if keep else []), pa.array(got)]
             yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in fields], "score"])
 
