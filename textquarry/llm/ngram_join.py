@@ -34,8 +34,8 @@ from ._common import Unions, checkpoint, connected_components, gram_hashes, hash
 
 COUNT_BITS = 16
 SKETCH = 64
-#: Sets up to the first size index frequent shingles by pairs, sets from the second on singly.
-PAIRS_TO, SINGLES_FROM = 400, 360
+#: Sets up to this size index frequent shingles by pairs; those from this size times the threshold on, singly.
+PAIRS_TO = 400
 CELL_SHINGLES = 1_000_000
 CELL_SKETCHES = 2048
 
@@ -96,7 +96,7 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> np.ndarray:
             p = f[: left + 2]
             i, j = np.triu_indices(len(p), 1)
             keys.append(mix(p[i] * np.uint64(0xA24BAED4963EE407) + mix(p[j] + np.uint64(2))))
-        if n >= SINGLES_FROM:
+        if n >= int(PAIRS_TO * t):
             keys.append(mix(f[: left + 1] + np.uint64(3)))
     return np.concatenate(keys)
 

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, ngram_join, packing, pii, quality_rules, substring, token_counts
+from textquarry.functions.shipping import ship
+
+from . import chat, classifier, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, substring, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +99,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.size("removed").cast("bigint").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2(F.coalesce("left", F.lit("")).cast("binary"), 256).alias("left_sha256")
+    )
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = classifier.fit(docs, _table(spark, sf_dir, "labels"))
@@ -119,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
+        "op8_line_dedup": op8_line_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_substring_dedup": op10_substring_dedup,
     }

@@ -7,11 +7,16 @@ of its space-separated pieces in order.  Each worker encodes a distinct piece on
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 _CACHED_PIECES = 500_000
+#: Pieces without letters that normalisation could change in company, and without contractions.
+_PLAIN = re.compile(r"[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF.,!?;:()\[\]*#$%&|+=/_@-]+")
+_PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -25,47 +30,96 @@ class _Codes(dict):
     """Numbers pieces as they appear and remembers which still have to be encoded."""
 
     def __init__(self):
-        self.pending: list[bytes] = []
+        self.pending: list = []
 
-    def __missing__(self, piece: bytes) -> int:
+    def __missing__(self, piece) -> int:
         code = self[piece] = len(self)
         self.pending.append(piece)
         return code
 
 
+class _Runs:
+    """Runs of ids by number, in three growing arrays."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.n + len(sizes) > len(self.starts):
+            self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = self.n + len(sizes), self.used + len(flat)
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        """The runs of these numbers, one after the other."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.uint32)
+        at = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        at += np.arange(int(ends[-1]))
+        return self.ids[at]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.codes = _Codes()
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.codes, self.parts = _Codes(), _Codes()
+        self.of_piece, self.of_part = _Runs(), _Runs()
+
+    def _encode_parts(self) -> None:
+        new = self.parts.pending
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                sizes = np.diff(ends, prepend=0)
+            else:
+                got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+                sizes, ids = np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.uint32)
+            self.of_part.add(ids, sizes)
+        new.clear()
 
     def _encode_pending(self) -> None:
         pending = self.codes.pending
-        first, n = len(self.codes) - len(pending), len(pending)
-        if not n:
+        if not pending:
             return
-        while first + n > len(self.starts):
-            self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
-        for at in range(0, n, 20_000):
-            part = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in pending[at : at + 20_000]], add_special_tokens=False)
-            got = [e.ids for e in part]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros_like(self.ids))
-            self.ids[self.used : self.used + len(flat)] = flat
-            where = slice(first + at, first + at + len(got))
-            self.sizes[where] = sizes
-            self.starts[where] = self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
+        texts = [p.decode("utf-8", "replace") for p in pending]
         pending.clear()
+        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
+        split = [_PARTS.findall(t.lower()) for t, p in zip(texts, plain) if p]
+        easy = np.array(plain)
+        sizes = np.zeros(len(texts), np.int64)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        parts = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self._encode_parts()
+        got = self.tokenizer.encode_batch([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        hard = [e.ids for e in got]
+        part_sizes = self.of_part.sizes[parts]
+        ends = np.cumsum(part_sizes)
+        last = np.cumsum(counts)
+        sizes[easy] = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], last])])
+        sizes[~easy] = [len(x) for x in hard]
+        flat = np.zeros(int(sizes.sum()), np.uint32)
+        from_parts = np.repeat(easy, sizes)
+        flat[from_parts] = self.of_part.take(parts)
+        flat[~from_parts] = np.fromiter(chain.from_iterable(hard), np.uint32, int((~from_parts).sum()))
+        self.of_piece.add(flat, sizes)
 
     def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.codes) > _CACHED_PIECES:
@@ -80,22 +134,11 @@ class Encoder:
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         """Ids per text; null is empty."""
-        return np.array([int(self.sizes[c].sum()) for c in self._numbers(texts)], np.int64)
+        return np.array([int(self.of_piece.sizes[c].sum()) for c in self._numbers(texts)], np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids per text."""
-        out = []
-        for c in self._numbers(texts):
-            sizes = self.sizes[c]
-            total = int(sizes.sum())
-            if not total:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            ends = np.cumsum(sizes)
-            at = np.repeat(self.starts[c] - (ends - sizes), sizes)
-            at += np.arange(total)
-            out.append(self.ids[at])
-        return out
+        return [self.of_piece.take(c) for c in self._numbers(texts)]
 
 
 def encoder(path: str) -> Encoder:
