@@ -6,8 +6,10 @@ that order, so chains are not closed: of A~B~C with A unlike C, A and C stay.
 
 from __future__ import annotations
 
+import hashlib
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,17 +33,22 @@ def exact_dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(id, simhash): bit b is set if more shingles, with repeats, have it than not; texts without tokens give 0.
 
-    The 64 sums are held as one grouped row per document, after a map-side combine.
+    Tokens come from the JVM; a text's shingle hashes are summed bit by bit in one vectorised pass, without a shuffle.
     """
-    rows = tx.shingle_rows(docs, id_col, text_col, k).select("id", tx.sha64(F.col("shingle")).alias("h"))
-    rows = rows.groupBy("id", "h").agg(F.count("*").alias("n"))
-    bits = [F.sum(F.col("n") * (2 * F.shiftrightunsigned("h", 63 - b).bitwiseAND(F.lit(1)) - 1)).alias(f"b{b}") for b in range(64)]
-    grouped = rows.groupBy("id").agg(*bits)
-    value = F.lit(0).cast("bigint")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("bigint"), 63 - b)).otherwise(F.lit(0).cast("bigint")))
-    found = grouped.select("id", value.alias("simhash"))
-    return docs.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", F.coalesce("simhash", F.lit(0)).cast("bigint").alias("simhash"))
+
+    @F.pandas_udf("long")
+    def run(tokens: pd.Series) -> pd.Series:
+        out = np.zeros(len(tokens), np.int64)
+        for row, w in enumerate(tokens):
+            w = list(w)
+            shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else w
+            if shingles:
+                raw = np.frombuffer(b"".join(hashlib.sha256(s.encode()).digest()[:8] for s in shingles), np.uint8).reshape(-1, 8)
+                bits = 2 * np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64) > len(shingles)
+                out[row] = np.packbits(bits).view(">i8")[0]
+        return pd.Series(out)
+
+    return docs.select(F.col(id_col).alias("id"), run(tx.dedup_tokens(F.col(text_col))).alias("simhash"))
 
 
 def banded_pairs(prints: DataFrame, threshold: int = 3) -> DataFrame:
@@ -71,26 +78,37 @@ def minhash_parameters(n: int = 128, seed: int = 42) -> list[tuple[int, int]]:
     return [(rng.randint(1, PRIME - 1), rng.randint(0, PRIME - 1)) for _ in range(n)]
 
 
-def _reduce(v: Column) -> Column:
-    v = v.bitwiseAND(F.lit(PRIME)) + F.shiftright(v, 61)
-    return F.when(v >= PRIME, v - PRIME).otherwise(v)
+def permuted(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """(a x + b) mod 2**61 - 1 for x below 2**32, in 64-bit words: a is split in 31 and 30 bits so nothing overflows."""
+    p = np.uint64(PRIME)
 
+    def fold(v: np.ndarray) -> np.ndarray:
+        v = (v & p) + (v >> np.uint64(61))
+        return np.where(v >= p, v - p, v)
 
-def _permuted(x: Column, a: int, b: int) -> Column:
-    """(a x + b) mod 2**61 - 1 in longs, for x below 2**32: a is split in 31 and 30 bits so nothing overflows."""
-    high, low = a >> 30, a & (1 << 30) - 1
-    y = _reduce(x * F.lit(high).cast("bigint"))
-    turned = F.shiftright(y, 31) + F.shiftleft(y.bitwiseAND(F.lit((1 << 31) - 1)), 30)
-    return _reduce(turned + _reduce(x * F.lit(low).cast("bigint")) + F.lit(b).cast("bigint"))
+    high = fold(x * np.uint64(a >> 30))
+    turned = (high >> np.uint64(31)) + ((high & np.uint64((1 << 31) - 1)) << np.uint64(30))
+    return fold(turned + fold(x * np.uint64(a & (1 << 30) - 1)) + np.uint64(b))
 
 
 def minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_hashes: int = 128, k: int = 3, seed: int = 42) -> DataFrame:
-    """(id, signature): the least value of every permutation over the distinct shingles; none gives 2**61 - 1 throughout."""
-    x = tx.shingle_rows(docs, id_col, text_col, k).select("id", tx.md5_low(F.col("shingle")).alias("x")).distinct()
-    least = x.groupBy("id").agg(*[F.min(_permuted(F.col("x"), a, b)).alias(f"m{i}") for i, (a, b) in enumerate(minhash_parameters(n_hashes, seed))])
-    found = least.select("id", F.array(*[f"m{i}" for i in range(n_hashes)]).alias("signature"))
-    none = F.array_repeat(F.lit(PRIME).cast("bigint"), n_hashes)
-    return docs.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", F.coalesce("signature", none).alias("signature"))
+    """(id, signature): the least value of every permutation over the distinct shingles; none gives 2**61 - 1 throughout.
+
+    Tokens come from the JVM; a text's permutations are one vectorised pass each, without a shuffle.
+    """
+    parameters = minhash_parameters(n_hashes, seed)
+
+    @F.pandas_udf("array<long>")
+    def run(tokens: pd.Series) -> pd.Series:
+        out = []
+        for w in tokens:
+            w = list(w)
+            shingles = {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else set(w)
+            x = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[-4:], "big") for s in shingles], np.uint64)
+            out.append([int(permuted(x, a, b).min()) for a, b in parameters] if len(x) else [PRIME] * n_hashes)
+        return pd.Series(out)
+
+    return docs.select(F.col(id_col).alias("id"), run(tx.dedup_tokens(F.col(text_col))).alias("signature"))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -120,7 +138,7 @@ def minhash_pairs(signatures: DataFrame, n_hashes: int, threshold: float = 0.8)
     return out.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "jaccard")
 
 
-def _greedy(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _greedy(key, pdf):
     """Replays the stages over one component of candidate edges, in id order."""
     near: dict[int, list[tuple[int, bool, bool]]] = {}
     ids = sorted(set(pdf["a"]) | set(pdf["b"]))

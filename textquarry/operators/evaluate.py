@@ -31,7 +31,7 @@ def at_k(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None = None)
     flagged = _flagged(rankings, judgments)
     cut = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     # the terms of a sum over few ranks are added in rank order
-    dcg = lambda rows: F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["gain"] / (F.log(F.lit(2.0), x["rank"] + 1.0)))
+    dcg = lambda rows: F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["gain"] / (F.log2(x["rank"] + 1.0)))
     seen = flagged.select("*", cut).where("rank <= k").groupBy("query_id", "k").agg(F.count("*").alias("n"), F.sum("rel").alias("hits"), F.array_sort(F.collect_list(F.struct("rank", "gain"))).alias("rows"))
     gain = F.col("gain").cast("double") if "gain" in judgments.columns else F.lit(1.0)
     best = judgments.select("query_id", "doc_id", gain.alias("gain")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "doc_id")))

@@ -28,10 +28,11 @@ def fuse_windows(hits: DataFrame, children: DataFrame, top: int = 5) -> DataFram
     return grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("pos")
 
 
-def variants(query: Column, limit: int = 5) -> Column:
-    """Array of distinct variants: the query, its keywords, its words reversed, question forms and the synonym form."""
+def variants(queries: DataFrame, limit: int = 5, query_col: str = "query") -> DataFrame:
+    """Adds ``variants``, an array: the query, its keywords, its words reversed, question forms and the synonym form, each once."""
     if limit < 1:
         raise ValueError("the limit is at least 1")
+    query = F.coalesce(F.col(query_col), F.lit(""))
     words = tx.split_words(query)
     first = F.lower(F.get(words, F.lit(0)))
     asked = F.coalesce(first.isin("what", "how", "why", "when", "where", "who"), F.lit(False))
@@ -41,12 +42,15 @@ def variants(query: Column, limit: int = 5) -> Column:
         F.array_join(F.reverse(words), " "),
         F.when(~asked, F.concat(F.lit("What is "), query)),
         F.when(~asked, F.concat(F.lit("How does "), query)),
-        synonyms_udf(1)(query)["expanded"],
+        F.col("__synonyms.expanded"),
     ]
-    kept = F.array(*[F.struct(F.lit(i).alias("i"), (f if i == 0 else tx.strip(f)).alias("v"), F.lower(tx.strip(f)).alias("key"), (f if i == 0 else F.when(tx.strip(f) != "", f)).isNotNull().alias("real")) for i, f in enumerate(forms)])
-    real = F.filter(kept, lambda x: x["real"])
-    unique = F.filter(real, lambda x: ~F.exists(real, lambda y: (y["i"] < x["i"]) & (y["key"] == x["key"])))
-    return F.slice(F.transform(unique, lambda x: x["v"]), 1, limit)
+    held = queries.withColumn("__synonyms", synonyms_udf(1)(F.col(query_col)))
+    # the generator below keeps the forms from being evaluated once per comparison
+    rows = held.withColumn("__f", F.array(*[f if i == 0 else tx.strip(f) for i, f in enumerate(forms)]))
+    rows = rows.withColumn("__k", F.transform("__f", lambda f: F.lower(tx.strip(f))))
+    unique = F.filter(F.arrays_zip("__f", "__k"), lambda x: F.lit(True))
+    kept = F.transform(F.filter(F.transform(unique, lambda x, i: F.struct(x["__f"].alias("v"), x["__k"].alias("k"), i.alias("i"))), lambda x: (x["i"] == 0) | ((x["k"] != "") & (F.array_position("__k", x["k"]) == x["i"] + 1))), lambda x: x["v"])
+    return rows.withColumn("variants", F.slice(kept, 1, limit)).drop("__f", "__k", "__synonyms")
 
 
 def fuse_variants(lists: DataFrame, k: int = fixed.RRF_K, top: int = 10) -> DataFrame:

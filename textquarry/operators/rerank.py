@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +105,7 @@ def mmr(queries: DataFrame, candidates: DataFrame, trade_off: float = 0.5, top:
     if not 0 <= trade_off <= 1:
         raise ValueError("the trade-off lies in [0, 1]")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         import re
 
         words = lambda t: [w for w in re.findall("[a-z]+", (t or "").lower()) if len(w) > 1 and w not in _STOPS]

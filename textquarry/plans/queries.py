@@ -157,8 +157,8 @@ sh as (select id, unnest(case when len(w) < 3 then w else list_transform(range(1
 _SIMHASH = f"""{_SHINGLES},
 hashed as (select id, cast('0x' || substr(sha256(s), 1, 16) as ubigint) h, count(*) n from sh group by all),
 bits as (select id, b, sum(n * (case when (h >> (63 - b)) & 1 = 1 then 1 else -1 end)) v from hashed, (select unnest(range(0, 64)) b) group by all),
-prints as (select id, sum(case when v > 0 then (1::uhugeint << (63 - b)) else 0 end) f from bits group by id),
-signed as (select d.doc_id id, case when coalesce(f, 0) >= 9223372036854775808 then (coalesce(f, 0)::hugeint - 18446744073709551616)::bigint else coalesce(f, 0)::bigint end simhash, coalesce(f, 0)::ubigint u from documents d left join prints on prints.id = d.doc_id)"""
+prints as (select id, bit_or(case when v > 0 then 1::ubigint << (63 - b)::ubigint else 0::ubigint end) f from bits group by id),
+signed as (select d.doc_id id, case when coalesce(f, 0)::hugeint >= 9223372036854775808 then (coalesce(f, 0)::hugeint - 18446744073709551616)::bigint else coalesce(f, 0)::bigint end simhash from documents d left join prints on prints.id = d.doc_id)"""
 
 
 @query(f"with {_SIMHASH} select id, simhash from signed")
@@ -345,7 +345,7 @@ def fus_parents(spark, d):
 
 @query()
 def fus_variants(spark, d):
-    return _t(spark, d, "benchmark").select("item_id", F.posexplode(fusion.variants(F.col("text"))).alias("i", "variant"))
+    return _t(spark, d, "benchmark").transform(lambda df: fusion.variants(df, query_col="text")).select("item_id", F.posexplode("variants").alias("i", "variant"))
 
 
 @query(
@@ -456,12 +456,12 @@ _EVAL = f"""{_VEC.format(which='vec_id % 20 = 0', where='true')}, r as (select q
 j as (select q.vec_id query_id, e.vec_id doc_id, e.vec_id % 3 + 1 gain from embeddings e join embeddings q on e.label = q.label where q.vec_id % 20 = 0),
 f as (select r.*, coalesce(gain, 0) gain, (gain is not null)::int rel from r left join j using (query_id, doc_id)), nr as (select query_id, count(*) n from j group by query_id),
 ideal as (select query_id, gain, row_number() over (partition by query_id order by gain desc, doc_id) rank from j), ks as (select unnest([1, 3, 5, 10]) k),
-atk as (select query_id, k, avg(rel) precision, sum(rel) / any_value(n)::double recall, sum(gain / log2(rank + 1)) / any_value(best) ndcg, max(rel) = 1 hit from f join nr using (query_id), ks, lateral (select sum(gain / log2(i.rank + 1)) best from ideal i where i.query_id = f.query_id and i.rank <= k) where rank <= k group by query_id, k),
+atk as (select query_id, k, avg(rel) "precision", sum(rel) / any_value(n)::double recall, sum(gain / log2(rank + 1)) / any_value(best) ndcg, max(rel) = 1 hit from f join nr using (query_id), ks, lateral (select sum(gain / log2(i.rank + 1)) best from ideal i where i.query_id = f.query_id and i.rank <= k) where rank <= k group by query_id, k),
 run as (select *, sum(rel) over (partition by query_id order by rank) so_far from f),
 one as (select query_id, coalesce(1.0 / min(rank) filter (rel = 1), 0)::double reciprocal_rank, coalesce(sum(so_far / rank::double) filter (rel = 1), 0) / any_value(n) average_precision, max(rel) = 1 hit, count(*) n_retrieved, any_value(n) n_relevant from run join nr using (query_id) group by query_id)"""
 
 
-@query(f"with {_EVAL} select query_id, k, round(precision, 8) precision, round(recall, 8) recall, round(ndcg, 8) ndcg, hit from atk")
+@query(f"with {_EVAL} select query_id, k, round(\"precision\", 8) \"precision\", round(recall, 8) recall, round(ndcg, 8) ndcg, hit from atk")
 def evl_at_k(spark, d):
     return evaluate.at_k(*_judged(spark, d)).select("query_id", "k", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "ndcg")], "hit")
 
@@ -472,11 +472,11 @@ def evl_per_query(spark, d):
 
 
 @query(
-    f"""with {_EVAL} select metric, k, round(value, 6) value from (select 'mrr' metric, null::integer k, avg(reciprocal_rank) value from one union all select 'map', null, avg(average_precision) from one union all select 'hit_rate', null, avg(hit::int) from one
-    union all select 'precision', k, avg(precision) from atk group by k union all select 'recall', k, avg(recall) from atk group by k union all select 'ndcg', k, avg(ndcg) from atk group by k)"""
+    f"""with {_EVAL} select case when k is null then metric else metric || '@' || k end metric, round(value, 6) value from (select 'mrr' metric, null::integer k, avg(reciprocal_rank) value from one union all select 'map', null, avg(average_precision) from one union all select 'hit_rate', null, avg(hit::int) from one
+    union all select 'precision', k, avg("precision") from atk group by k union all select 'recall', k, avg(recall) from atk group by k union all select 'ndcg', k, avg(ndcg) from atk group by k)"""
 )
 def evl_report(spark, d):
-    return evaluate.evaluate(*_judged(spark, d)).select("metric", "k", F.round("value", 6).alias("value"))
+    return evaluate.evaluate(*_judged(spark, d)).select(F.concat_ws("@", "metric", "k").alias("metric"), F.round("value", 6).alias("value"))
 
 
 @query()
