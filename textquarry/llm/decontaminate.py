@@ -63,7 +63,7 @@ def contamination(
     # Position 0 of the exploded array stands for the document itself, so that one pass returns documents and hits.
     starts = rows.select("__rid", "id", "kept", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), *hashed)).alias("pos", "hash"))
     n = F.size("words")
-    which = F.expr(f"element_at(array({', '.join(map(str, lengths))}), cast((pos - 1) div greatest(size(words), 1) as int) + 1)") if len(lengths) > 1 else F.lit(lengths[0])
+    which = F.expr(f"element_at(array({', '.join(map(str, lengths))}), cast(greatest(pos - 1, 0) div greatest(size(words), 1) as int) + 1)") if len(lengths) > 1 else F.lit(lengths[0])
     start = F.when(F.col("pos") > 0, F.pmod(F.col("pos") - 1, F.greatest(n, F.lit(1)))) if len(lengths) > 1 else F.col("pos") - 1
     starts = starts.withColumn("start", start)
     on = (starts["hash"] == windows["hash"]) & (starts["pos"] > 0) & (windows["len"] == which) & (F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, windows["len"]) == windows["window"])
