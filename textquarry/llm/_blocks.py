@@ -1,7 +1,7 @@
 """Candidate blocks for similarity joins: linear in the index entries, whatever a key's frequency.
 
-Rows that share an index key are put under one pivot, the member of the least priority, so
-a key of m members makes m - 1 (pivot, member) rows and not m squared.  Two rows that share
+Rows that share an index key are put under one pivot, the member of the least priority (a size:
+small members have few keys, so blocks stay small), so a key of m members makes m - 1 (pivot, member) rows and not m squared.  Two rows that share
 a key share that key's pivot, so comparing all rows under each pivot loses no pair.  A pivot
 with many members is cut into parts, and each two parts form a cell of bounded weight.
 """
@@ -12,19 +12,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def priority(node: Column) -> Column:
-    """The same for a node under every key, so that overlapping keys mostly share their pivot."""
-    return F.xxhash64(node, F.lit(11))
-
-
 def blocks(entries: DataFrame) -> DataFrame:
-    """(pivot, member), distinct, of (key, node) entries; pivots are members of their own blocks."""
-    by_key = Window.partitionBy("key").orderBy("p", "node")
-    led = entries.select("key", "node", priority(F.col("node")).alias("p")).withColumn("pivot", F.first("node").over(by_key))
+    """(pivot, member), distinct, of (key, node, priority) entries; pivots are members of their own blocks.
+
+    The order by priority is the same under every key, so overlapping keys mostly share their pivot.
+    """
+    by_key = Window.partitionBy("key").orderBy("priority", "node")
+    led = entries.select("key", "node", "priority").withColumn("pivot", F.first("node").over(by_key))
     pairs = led.where("pivot <> node").select("pivot", F.col("node").alias("member")).distinct()
     return pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("member")).distinct())
 
 
+def dealt(cells: DataFrame) -> DataFrame:
+    """Cells spread over more tasks than their bytes alone would ask for: comparing them is what takes time."""
+    n = 4 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, "pivot", "part_a", "part_b")
+
+
 def cells(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     """Adds part_a <= part_b and own (the part of the row): a cell (pivot, part_a, part_b) weighs about 2 * limit at most.
 

@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import blocks, cells
+from ._blocks import blocks, cells, dealt
 from ._common import Unions, checkpoint, connected_components, gram_hashes, hash_words, mix, signed, text_chunks, with_row_id
 
 COUNT_BITS = 16
+#: Slots of the smallest sketch; a set of n shingles has a power of two of at least n / 8 slots.
 SKETCH = 64
 #: Sets up to this size index frequent shingles by pairs; those from this size times the threshold on, singly.
 PAIRS_TO = 400
@@ -101,6 +102,21 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Shingles per slot of the low bits, up to 255: the sum of differences of two sketches bounds the symmetric difference from below."""
+    slots = max(SKETCH, 1 << max(0, (len(s) - 1) // 8).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
+
+
+def _folded(sketches: list[bytes], slots: int) -> np.ndarray:
+    """Sketches of that many slots or twice as many, as rows of that many."""
+    out = np.empty((len(sketches), slots), np.int16)
+    for row, x in enumerate(sketches):
+        v = np.frombuffer(x, np.uint8)
+        out[row] = v if len(v) == slots else np.minimum(v[:slots].astype(np.int16) + v[slots:], 255)  # still a count up to 255
+    return out
+
+
 def _entries(docs: DataFrame, k: int, frequent: np.ndarray, t: Fraction) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     id_type = docs.schema["id"].dataType
@@ -113,7 +129,7 @@ def _entries(docs: DataFrame, k: int, frequent: np.ndarray, t: Fraction) -> Data
             for i, s in shingle_sets(batch.column(2), k):
                 sizes[i] = len(s)
                 d1[i], d2[i] = np.add.reduce(mix(s ^ np.uint64(0x5555))), np.add.reduce(mix(s ^ np.uint64(0xAAAA0000)))
-                sketches[i] = np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 65535).astype("<u2").tobytes()
+                sketches[i] = sketch(s)
                 keys[i] = index_keys(s, held.value, t)
             flat = np.concatenate([x for x in keys if x is not None] or [np.zeros(0, np.uint64)])
             offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in keys])]).astype(np.int32)
@@ -135,22 +151,28 @@ def _plausible(t: Fraction):
         n = pdf["n"].to_numpy()
         order = np.argsort(n, kind="stable")
         pdf, n = pdf.iloc[order], n[order]
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, SKETCH).astype(np.int32)
+        sketches = pdf["sketch"].tolist()
+        slots = np.fromiter(map(len, sketches), np.int64, len(sketches))
         own = pdf["own"].to_numpy()
-        part_a, part_b = key[1], key[2]
         good = np.zeros(len(n), bool)
         ends = np.searchsorted(n * up, n * down, side="right")  # partners are at most n / t large
-        for i in range(len(n)):
-            hi = ends[i]
-            if hi <= i + 1:
-                continue
-            near = np.abs(sketch[i + 1 : hi] - sketch[i]).sum(1)
-            ok = near * (up + down) <= (n[i] + n[i + 1 : hi]) * (down - up)
-            if part_a != part_b:
-                ok &= own[i + 1 : hi] != own[i]
-            if ok.any():
-                good[i] = True
-                good[i + 1 : hi] |= ok
+        for level in np.unique(slots):
+            mine = np.flatnonzero(slots == level)
+            first, last = mine[0], int(ends[mine[-1]])  # sizes ascend, and so do slots
+            while slots[last - 1] > 2 * level:
+                last -= 1
+            rows = _folded(sketches[first:last], int(level))
+            for i in mine:
+                hi = min(int(ends[i]), last)
+                if hi <= i + 1:
+                    continue
+                near = np.abs(rows[i + 1 - first : hi - first] - rows[i - first]).sum(1, dtype=np.int64)
+                ok = near * (up + down) <= (n[i] + n[i + 1 : hi]) * (down - up)
+                if key[1] != key[2]:
+                    ok &= own[i + 1 : hi] != own[i]
+                if ok.any():
+                    good[i] = True
+                    good[i + 1 : hi] |= ok
         out = pdf.loc[good, ["pivot", "part_a", "part_b", "own", "member"]]
         return out
 
@@ -199,16 +221,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: rid, id, n_shingles, class_id (least row of the documents with the same set) and component_id (least id reachable)."""
     source = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
     entries = checkpoint(_entries(source, k, frequent_table(source, k), threshold))
-    full = entries.where("n > 0")
-    classes = full.groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("id").alias("least"))
-    classes = checkpoint(classes)
-    found = blocks(classes.select(F.explode("keys").alias("key"), F.col("rep").alias("node")))
-    sketched = found.join(classes.select(F.col("rep").alias("member"), "n", "sketch"), "member")
+    classes = checkpoint(entries.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least")))
+    reps = entries.drop("n").join(classes.select(F.col("rep").alias("rid"), "n").hint("shuffle_hash"), "rid")
+    found = checkpoint(blocks(reps.select(F.explode("keys").alias("key"), F.col("rid").alias("node"), F.col("n").cast("int").alias("priority"))))
+    sketched = found.join(reps.select(F.col("rid").alias("member"), "n", "sketch"), "member")
     celled = cells(sketched, F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n")), CELL_SHINGLES)
-    likely = celled.groupBy("pivot", "part_a", "part_b").applyInPandas(_plausible(threshold), "pivot long, part_a int, part_b int, own int, member long")
+    likely = dealt(celled).groupBy("pivot", "part_a", "part_b").applyInPandas(_plausible(threshold), "pivot long, part_a int, part_b int, own int, member long")
     likely = checkpoint(likely)
     texts = source.select(F.col("rid").alias("member"), "text").join(likely.hint("shuffle_hash"), "member")
-    edges = texts.groupBy("pivot", "part_a", "part_b").applyInPandas(_verified(k, threshold), "u long, v long")
+    edges = dealt(texts).groupBy("pivot", "part_a", "part_b").applyInPandas(_verified(k, threshold), "u long, v long")
     roots = connected_components(edges)
     labelled = classes.select("d1", "d2", "n", "rep", "least").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     labelled = checkpoint(labelled.select("d1", "d2", "n", "rep", "root", "least"))
