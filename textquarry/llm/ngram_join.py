@@ -144,7 +144,11 @@ def _entries(docs: DataFrame, k: int, frequent: np.ndarray, t: Fraction) -> Data
 
 
 def _plausible(t: Fraction):
-    """Keeps the members of a cell that some other member may link to, by sizes and sketches."""
+    """Groups the members of a cell that may link, by sizes and sketches.
+
+    The groups are the components of possible links, named by their least member, so that the
+    same documents found under many pivots come out as the same rows.
+    """
     up, down = t.numerator, t.denominator
 
     def run(key, pdf):
@@ -154,7 +158,7 @@ def _plausible(t: Fraction):
         sketches = pdf["sketch"].tolist()
         slots = np.fromiter(map(len, sketches), np.int64, len(sketches))
         own = pdf["own"].to_numpy()
-        good = np.zeros(len(n), bool)
+        found = Unions(len(n))
         ends = np.searchsorted(n * up, n * down, side="right")  # partners are at most n / t large
         for level in np.unique(slots):
             mine = np.flatnonzero(slots == level)
@@ -170,11 +174,14 @@ def _plausible(t: Fraction):
                 ok = near * (up + down) <= (n[i] + n[i + 1 : hi]) * (down - up)
                 if key[1] != key[2]:
                     ok &= own[i + 1 : hi] != own[i]
-                if ok.any():
-                    good[i] = True
-                    good[i + 1 : hi] |= ok
-        out = pdf.loc[good, ["pivot", "part_a", "part_b", "own", "member"]]
-        return out
+                for root in set(found.up[np.flatnonzero(ok) + i + 1].tolist()):
+                    found.join(int(i), root)
+        roots = np.array([found.find(i) for i in range(len(n))], np.int64)
+        grouped = np.bincount(roots, minlength=len(n))[roots] > 1
+        nodes = pdf["member"].to_numpy()
+        least = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(least, roots, nodes)
+        return pd.DataFrame({"pivot": least[roots][grouped], "member": nodes[grouped], "n": n[grouped]})
 
     return run
 
@@ -226,8 +233,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = checkpoint(blocks(reps.select(F.explode("keys").alias("key"), F.col("rid").alias("node"), F.col("n").cast("int").alias("priority"))))
     sketched = found.join(reps.select(F.col("rid").alias("member"), "n", "sketch"), "member")
     celled = cells(sketched, F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n")), CELL_SHINGLES)
-    likely = dealt(celled).groupBy("pivot", "part_a", "part_b").applyInPandas(_plausible(threshold), "pivot long, part_a int, part_b int, own int, member long")
-    likely = checkpoint(likely)
+    likely = dealt(celled).groupBy("pivot", "part_a", "part_b").applyInPandas(_plausible(threshold), "pivot long, member long, n long")
+    likely = checkpoint(cells(likely.distinct(), F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n")), CELL_SHINGLES))
     texts = source.select(F.col("rid").alias("member"), "text").join(likely.hint("shuffle_hash"), "member")
     edges = dealt(texts).groupBy("pivot", "part_a", "part_b").applyInPandas(_verified(k, threshold), "u long, v long")
     roots = connected_components(edges)
