@@ -217,3 +217,20 @@ def test_token_bucket_batch_and_stream_agree(spark, tmp_path):
     q.stop()
     got = [r.allowed for r in spark.table("bucket").where("endpoint = 'e'").orderBy("call_id").collect()]
     assert got == allowed
+
+
+def test_explanations_logging_and_summary(spark, caplog):
+    from textquarry.functions import observe
+
+    shown = vector.demo_results(spark, "q")
+    assert one(vector.explain(shown, "q", lambda p: "Case 1: fits").orderBy("rank")).relevance_explanation == "fits"
+    assert {r[0] for r in vector.explain(shown, "q").select("relevance_explanation").collect()} == {vector.NO_EXPLANATION}
+
+    @observe.timed("step")
+    def work():
+        return 1
+
+    observe.reset()
+    assert work() == 1 and observe.samples(spark).count() == 1
+    report = spark.createDataFrame([("mrr", None, 0.5), ("recall", 5, 0.25)], "metric string, k int, value double")
+    assert [r.line.split() for r in evaluate.summary(report).collect()] == [["MRR", "0.5000"], ["RECALL@5", "0.2500"]]

@@ -93,3 +93,9 @@ def simulate(judgments: DataFrame, noise: int = 7, hit_rate: float = 0.6, cut: i
     lifted = both.withColumn("lift", (F.col("real") == 1) & (F.row_number().over(first) == 1) & (draw("query_id", F.lit(2)) < 0.5))
     order = Window.partitionBy("query_id").orderBy(F.desc("lift"), F.xxhash64("query_id", "doc_id"), "doc_id")
     return lifted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cut).select("query_id", "rank", "doc_id")
+
+
+def summary(report: DataFrame) -> DataFrame:
+    """The report as text, one line per metric (line), in a fixed order."""
+    name = F.concat_ws("@", F.upper("metric"), "k")
+    return report.select(F.format_string("%-14s %.4f", name, "value").alias("line"), "metric", "k").orderBy("metric", "k").select("line")

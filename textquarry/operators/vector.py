@@ -126,3 +126,28 @@ def embed(docs: DataFrame, text_col: str = "text", out_col: str = "embedding", e
         return pd.Series(values)
 
     return docs.withColumn(out_col, run(F.col(text_col)))
+
+
+NO_EXPLANATION = "Explanation unavailable."
+
+
+def explain(results: DataFrame, query: str, ask: Callable[[str], str] | None = None, cases: int = 5) -> DataFrame:
+    """Fills relevance_explanation of the first results (rank up to ``cases``) from one model reply; what is missing or fails is a constant.
+
+    The prompt holds at most ``cases`` summaries of 300 characters, so it is asked once, on the driver.
+    """
+    first = results.where(F.col("rank") <= cases).select("rank", "title", F.substring("summary", 1, 300).alias("summary")).orderBy("rank").limit(cases).collect()
+    prompt = f"Query: {query}\n" + "\n".join(f"Case {i}: {r['title']} - {r['summary']}" for i, r in enumerate(first, 1))
+    try:
+        reply = ask(prompt) if ask else ""
+    except Exception:  # a provider that fails must not fail the search
+        reply = ""
+    said = [line.strip().split(":", 1)[1].strip() for line in reply.split("\n") if line.strip().startswith("Case ") and ":" in line]
+    given = F.array(*[F.lit(x) for x in said]) if said else F.array().cast("array<string>")
+    return results.withColumn("relevance_explanation", F.coalesce(F.get(given, F.col("rank") - 1), F.lit(NO_EXPLANATION)))
+
+
+def demo_results(spark, query: str) -> DataFrame:
+    """Fixed rows for trials without a table."""
+    rows = [(i, f"demo_{i}", f"Demo Case {i}", f"[20{10 + i}] D {i}", "Demo Court", f"20{10 + i}-01-01", "General", round(0.95 - 0.1 * i, 2), "A demonstration.", "A demonstration text.", f"Shown for {query}.") for i in range(1, 6)]
+    return spark.createDataFrame(rows, "rank int, id string, title string, citation string, court string, date string, category string, score double, summary string, excerpt string, relevance_explanation string")
