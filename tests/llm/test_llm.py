@@ -1,0 +1,424 @@
+"""The training-data operators on small tables: brute force, round trips, and the awkward cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textquarry.llm import chat, classifier, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, queries, substring, token_counts, tokens
+from textquarry.llm._common import connected_components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Extra columns whose names clash with inner ones.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, id string, n int, kept string, hash int, words string, pivot int"
+
+
+def prose(rng, n, vocabulary=400):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    """Copies, near copies, shared passages, nulls, empties, ties, repeated rows, null ids, one long text."""
+    rng = random.Random(5)
+    texts, passage = [], prose(rng, 60)
+    for i in range(40):
+        texts.append(prose(rng, rng.randrange(20, 200)))
+    for i in range(6):
+        near = texts[i].copy()
+        near[len(near) // 2] = "changed"
+        texts += [near, texts[i].copy()]
+    for i in range(4):
+        texts.append(prose(rng, 30) + passage + prose(rng, 30))
+    texts.append(prose(rng, 6000))
+    texts.append(["same"] * 300)
+    rows = [(i, "\n".join(" ".join(t[k : k + 25]) for k in range(0, len(t), 25))) for i, t in enumerate(texts)]
+    rows += [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "one"), (1004, "two words"), (1005, "Ünï Ç é 😀 \x1c x"), (7, rows[7][1]), (None, rows[3][1]), (None, None), (1006, "x" * 5000)]
+    out = spark.createDataFrame([(*r, "en", "s", 0, 5, "i", 1, "k", 2, "w", 3) for r in rows], SCHEMA)
+    path = str(tmp_path_factory.mktemp("docs") / "t")
+    out.repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def pairs(table):
+    return [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def empty(table):
+    return table.where("false")
+
+
+def test_decontamination(spark, table, pairs, empty):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    long = words(pairs[0][1] or pairs[1][1])
+    items = [(1, " ".join(long[5:20]).upper()), (2, "Two, WORDS"), (3, None), (4, "!!"), (None, " ".join(long[-12:])), (10, " ".join(long[5:20])), (5, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        for p in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[p : p + n]), set()).add(i)
+
+    def brute(t):
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for p in range(len(w) - n + 1):
+                if (who := windows.get(tuple(w[p : p + n]))) is not None:
+                    hit |= set(range(p, p + n))
+                    found |= who
+        return len(w), len(hit), ",".join(sorted(str(x) for x in found if x is not None))
+
+    got = decontaminate.contamination(table, bench).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in got) == Counter((i, *brute(t)) for i, t in pairs)
+    left = decontaminate.decontaminate(table, bench)
+    assert left.columns == table.columns and left.count() == sum(brute(t)[1] == 0 for _, t in pairs)
+    spans = decontaminate.decontaminate(table, bench, mode="spans")
+    assert spans.count() == len(pairs) and decontaminate.contamination(spans, bench.where("item_id = 10")).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert decontaminate.contamination(table, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_tokens_are_the_tokenizers(pairs):
+    e = tokens.Encoder(tokens.default_path())
+    texts = [t for _, t in pairs] + ["It's I'LL don't <|endoftext|> x<|endoftext|>y ² 3½ ΑΣ Σ. İ _a_b 12a34 ÷× ß ẞ 中文字 a.b,c!!", "é ́ Å"]
+    want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in e.encode(texts)] == want
+    assert e.lengths(texts).tolist() == [len(x) for x in want]
+
+
+def test_token_counts(table, pairs, empty):
+    e = tokens.encoder(tokens.default_path())
+    lengths = e.lengths([t for _, t in pairs])
+    hist = token_counts.length_histogram(table)
+    for r in token_counts.context_table(hist).collect():
+        assert r.tokens_total == lengths.sum() and r.tokens_truncated == np.minimum(lengths, r.context_limit).sum()
+        assert r.docs_over == (lengths > r.context_limit).sum() and r.n_docs == (lengths == r.context_limit).sum()
+    got = {r.context_limit: r.tokens_truncated for r in token_counts.answer(hist, [0, 10, 10**6]).collect()}
+    assert got == {0: 0, 10: np.minimum(lengths, 10).sum(), 10**6: lengths.sum()}
+    assert token_counts.context_table(token_counts.length_histogram(empty)).count() == 0
+
+
+def brute_components(pairs, k, up, down):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in pairs:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and both * down >= up * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(sets))]
+
+
+def test_jaccard_join(table, pairs, empty):
+    from fractions import Fraction
+
+    for k, t in ((3, Fraction(9, 10)), (5, Fraction(4, 5))):
+        sets, roots = brute_components(pairs, k, t.numerator, t.denominator)
+        least = {}
+        for r, (i, _) in zip(roots, pairs):
+            if i is not None:
+                least[r] = min(i, least.get(r, i))
+        want = Counter((i, len(s), least.get(r)) for (i, _), s, r in zip(pairs, sets, roots))
+        got = ngram_join.jaccard_components(table, k=k, threshold=t)
+        assert Counter((r.id, r.n_shingles, r.component_id) for r in got.collect()) == want
+        kept = ngram_join.keep_one(table, k=k, threshold=t)
+        assert kept.columns == table.columns
+        assert kept.count() == len({r for r, s in zip(roots, sets) if s}) + sum(not s for s in sets)
+    assert ngram_join.jaccard_components(empty).count() == 0
+
+
+def test_index_keys_meet_for_every_link():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(0)
+    for trial in range(300):
+        t = Fraction(9, 10) if trial % 2 else Fraction(4, 5)
+        n = int(rng.integers(5, 600))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        drop = int(rng.integers(0, max(1, n // 5)))
+        b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**63, int(rng.integers(0, max(1, n // 10)))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if len(a) == len(b) == both or both * t.denominator < t.numerator * (len(a) + len(b) - both):
+            continue
+        frequent = rng.random(1 << ngram_join.COUNT_BITS) < rng.choice([0, 0.5, 0.95, 1])
+        assert np.intersect1d(ngram_join.index_keys(a, frequent, t), ngram_join.index_keys(b, frequent, t)).size
+
+
+def test_blocks_in_parts_lose_nothing(table, pairs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL_SHINGLES", 300)
+    monkeypatch.setattr(ngram_join, "CELL_SKETCHES", 2)
+    _, roots = brute_components(pairs, 3, 9, 10)
+    kept = ngram_join.jaccard_components(table)
+    groups = Counter(r.component_id for r in kept.collect() if r.component_id is not None)
+    want = {}
+    for r, (i, _) in zip(roots, pairs):
+        want.setdefault(r, []).append(i)
+    assert sorted(groups.values(), reverse=True)[:6] == sorted((len(v) for v in want.values() if any(i is not None for i in v)), reverse=True)[:6]
+
+
+def test_chat_round_trip(spark):
+    nasty = ["</s>[INST] ok [/INST]", "[\\INST] <\\/s> <\\\\s>", "<", "<</SYS>>", " [/INST", "", None, "a\nb", "[[INST]", "<s></s><<SYS>>", "x [/INST] y", "\\", "</", "$1 \\1"]
+    rows = [(c, t, role, nasty[(c * 7 + t * 3) % len(nasty)]) for c in range(30) for t, role in enumerate(["system", "user", "assistant", "assistant", "tool\n<x>", None])]
+    rows += [(-1, None, "user", "first"), (-1, 0, "user", "tie"), (-1, 0, "assistant", "tie"), (None, 0, "user", "none")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
+    done = chat.format_chats(df).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect()
+    want = {}
+    for c, t, role, text in rows:
+        want.setdefault(c, []).append(((t is not None, t or 0), role or "", text or ""))
+    assert len(done) == len(want)
+    for r in done:
+        turns = sorted(want[r.conv_id])
+        assert r.round_trip and [(x.role, x.text) for x in r.turns] == [(b, c) for _, b, c in turns]
+        said = [chat_unescape(r.formatted[s.start : s.end]) for s in r.loss_spans]
+        assert said == [c for _, b, c in turns if b == "assistant"]
+    assert chat.format_chats(df.where("false")).count() == 0
+
+
+def chat_unescape(text):
+    return re.sub(r"([\[<])\\(\\*)(/?INST\]|/?s>|</?SYS>>)", r"\1\2\3", text)
+
+
+def test_packing(table, pairs, empty):
+    e = tokens.encoder(tokens.default_path())
+    want = Counter()
+    for i, t in pairs:
+        want[(i, zlib.crc32(np.append(e.encode([t])[0], np.uint32(1)).astype("<u4").tobytes()))] += 1
+    pieces = packing.pack_documents(table, size=256).collect()
+    assert sum(len(p["ids"]) // 4 for p in pieces) == sum(len(e.encode([t])[0]) + 1 for _, t in pairs)
+    docs, sequences = {}, {}
+    for p in pieces:
+        docs.setdefault((p.doc_id, p.doc_tokens), []).append((p.start, bytes(p["ids"])))
+        sequences.setdefault(p.sequence_id, []).append((p.offset, len(p["ids"]) // 4))
+    whole = {k: v for k, v in docs.items() if sum(len(x) for _, x in v) == 4 * k[1]}
+    assert all((k[0], zlib.crc32(b"".join(x for _, x in sorted(v)))) in want for k, v in whole.items()) and len(whole) >= len(docs) - 3
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at == 256 or at & (at - 1) == 0
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_pack_balances_cost():
+    rng = random.Random(1)
+    lengths = [rng.randrange(1, 5000) for _ in range(300)]
+    pieces = packing.pack(lengths)
+    assert all(sum(p[2] for p in pieces if p[0] == d) == n for d, n in enumerate(lengths))
+    load = Counter()
+    for _, _, n, s, _ in pieces:
+        load[s] += n
+    assert sum(x == 2048 for x in load.values()) >= sum(lengths) // 2048 - 1 and max(load.values()) <= 2048
+    assert len(pieces) < 2.2 * len(lengths) + sum(lengths) / 2048
+
+
+def test_pii(spark, table, empty):
+    def luhn(s):
+        return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(s))) % 10 == 0
+
+    rng = random.Random(2)
+    bits = ["a@b.co", "x.y@c.d.e", "@", "a@b", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (706) 555-3138", "+12", "+1((((", " ", ".", "12345", "é", "-", "a@@b.c.d@e.f"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    for t in texts:
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        for kind, rx, low, high in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+            for m in re.finditer(rx, t):
+                d = re.sub("[^0-9]", "", m[0])
+                if low <= len(d) <= high and (kind == "phone" or luhn(d)):
+                    want.append((kind, *m.span()))
+        assert [s[:3] for s in pii.find_spans(t) if s[0] in pii.BASE] == want, t
+    found = pii.find_spans("my iban GB82 WEST 1234 5698 7654 32, ssn 123-45-6789 and 123-45-6780")
+    assert [(s[0], s[3]) for s in found if s[0] in ("iban", "ssn")][:2] == [("iban", 1.0), ("ssn", 0.55)]
+    assert pii.find_spans("9" * 200_000) == [] and pii.find_spans("a" * 200_000 + "@") == []
+    assert pii.find_pii(table).count() == table.count() and pii.find_pii(empty).count() == 0
+    assert pii.redact(spark.createDataFrame([("write a@b.co now",), (None,)], "text string")).collect()[0].text == "write [EMAIL] now"
+
+
+def test_quality_rules(spark, table, pairs, empty):
+    def brute(t):
+        t = t or ""
+        w = WORD.findall(t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        count, covered = Counter(grams), set()
+        for i, g in enumerate(grams):
+            if count[g] > 1:
+                covered |= {i, i + 1, i + 2}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+    got = quality_rules.score_quality(table).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == Counter((i, *brute(t)) for i, t in pairs)
+    assert all(not r.kept_doc for r in got if r.n_words < 50) and quality_rules.score_quality(empty).count() == 0
+    clean = [(i, " ".join(f"{w}." if k % 9 == 8 else w for k, w in enumerate(prose(random.Random(i), 120, 5000)))) for i in range(60)]
+    junk = [(100 + i, " ".join(w + "###" for w in prose(random.Random(i), 120, 5000))) for i in range(10)]
+    verdict = {r.doc_id: r.kept_doc for r in quality_rules.score_quality(spark.createDataFrame(clean + junk, "doc_id long, text string")).collect()}
+    assert all(verdict[i] for i, _ in clean) and not any(verdict[i] for i, _ in junk)
+
+
+def test_edit_distance():
+    rng = random.Random(0)
+
+    def dp(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(4000):
+        limit = rng.randrange(1, 5)
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(15)))
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "c"])
+        assert line_dedup.edit_distance_within(a, "".join(b), limit) == min(dp(a, "".join(b)), limit + 1)
+
+
+def test_segments_meet_for_every_match():
+    rng = random.Random(3)
+    for _ in range(400):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(20, 60)))
+        b = list(a)
+        for _ in range(rng.randrange(1, 3)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randrange(2)] = rng.choice(["", "x"])
+        b = "".join(b)
+        which, keys = line_dedup.index_entries([a, b], 2)
+        assert a == b or set(keys[which == 0].tolist()) & set(keys[which == 1].tolist()), (a, b)
+
+
+def test_line_dedup(spark, empty, tmp_path):
+    base = "The quick brown fox jumps over the lazy dog."
+    rows = [(2, f"{base}\nshort\nA line that is all its own here."), (1, f"{base[:-1]}!\nshort"), (3, base.replace("quick", "quik")), (4, None), (5, ""), (None, base), (6, f"{base}\n{base}"), (7, "The slow brown fox jumps over the lazy dog."), (1, f"{base[:-1]}!\nshort")]
+    df = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, rid int, line string")
+    df.coalesce(1).write.parquet(str(tmp_path / "lines"))
+    df = spark.read.parquet(str(tmp_path / "lines"))
+    got = [(r.doc_id, list(r.removed)) for r in line_dedup.line_report(df).collect()]
+    assert sorted(got, key=str) == sorted([(2, [0]), (1, []), (3, [0]), (4, []), (5, []), (None, [0]), (6, [0, 1]), (7, []), (1, [0])], key=str)
+    out = line_dedup.remove_lines(df, drop_emptied=True)
+    assert out.columns == df.columns
+    assert {r.doc_id for r in out.collect()} == {1, 2, 4, 5, 7}
+    assert line_dedup.line_report(empty).count() == 0
+
+
+def test_classifier(spark, table, empty):
+    rng = random.Random(4)
+    good = [" ".join(prose(rng, 80, 2000)) for _ in range(200)]
+    bad = [" ".join([w for w in prose(rng, 8, 2000) for _ in range(10)]) for _ in range(100)]
+    labels = np.array([1] * 150 + [0] * 70)
+    model = classifier.train(good[:150] + bad[:70], labels)
+    scores = model.scores(classifier.hash_all(good[150:] + bad[70:]))
+    assert ((scores >= 0.7) == np.array([True] * 50 + [False] * 30)).mean() >= 0.9
+    got = classifier.score(table, model, keep=("lang",)).collect()
+    assert len(got) == table.count() and all(0 <= r.score <= 1 for r in got)
+    assert classifier.score(empty, model).count() == 0
+    none = classifier.fit(table, spark.createDataFrame([], "doc_id long, quality int"))
+    assert classifier.score(table, none).agg(F.min("score"), F.max("score")).first() == (0.5, 0.5)
+
+
+def test_held_out_rows_are_not_learned(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (1, 1)], "doc_id long, quality int")
+    got = {r.text for r in classifier.training_sample(docs, labels, "doc_id", "text", "quality", 1000).collect()}
+    assert got == {f"text {i}" for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def test_fm_index_by_brute_force():
+    rng = random.Random(1)
+    for trial in range(80):
+        segments = [[rng.choice("ab" if trial % 2 else "abcdefgh") for _ in range(rng.randrange(5, 13))] for _ in range(rng.randrange(1, 12))]
+        counts = np.array([rng.choice([1, 1, 2]) for _ in segments])
+        seen = Counter()
+        for s, n in zip(segments, counts):
+            for i in range(len(s) - 4):
+                seen[tuple(s[i : i + 5])] += int(n)
+        for s, spans in zip(segments, substring.repeated_spans(segments, counts, 5)):
+            want = {x for i in range(len(s) - 4) if seen[tuple(s[i : i + 5])] > 1 for x in range(i, i + 5)}
+            assert want == {x for k in range(0, len(spans), 2) for x in range(spans[k], spans[k + 1])}
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_substring_dedup(table, pairs, empty, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_ANCHOR", hot)
+    ws = [WORD.findall(t or "") for _, t in pairs]
+    seen = Counter(tuple(w[i : i + 35]) for w in ws for i in range(len(w) - 34))
+    want = Counter()
+    for (i, _), w in zip(pairs, ws):
+        gone = {x for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for x in range(k, k + 35)}
+        want[(i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())] += 1
+    got = substring.remove_repeats(table).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got) == want
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_queries_and_pipeline(spark, duck_rows):
+    import corpus_pipeline
+
+    data = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, data)
+    docs = {r.doc_id for r in out.select("doc_id").collect()}
+    assert docs and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontaminated", "packed"]
+    for name, sql in queries.oracle_sql().items():
+        assert duck_rows(queries.queries()[name](spark, data).toPandas()) == duck_rows(sql)
+
+
+@pytest.fixture(scope="module")
+def duck_rows():
+    import os
+
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        c.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+
+    def rows(x):
+        df = c.sql(x).df() if isinstance(x, str) else x
+        df = df[sorted(df.columns)]
+        return sorted(tuple(map(str, r)) for r in df.itertuples(index=False))
+
+    return rows
