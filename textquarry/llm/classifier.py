@@ -64,12 +64,12 @@ def hash_text(data: np.ndarray, offsets: np.ndarray) -> Hashed:
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """Sparse ternary float32 vectors of word hashes."""
-    out = np.zeros((len(hashes), DIMENSIONS), np.float32)
+    """Sparse, nearly ternary vectors of word hashes, as bytes to spare the driver's memory."""
+    out = np.zeros((len(hashes), DIMENSIONS), np.int8)
     rows, h = np.arange(len(hashes)), hashes
     for _ in range(NONZERO):
         h = mix(h + np.uint64(0x632BE59BD9B4E019))
-        out[rows, (h >> np.uint64(8)).astype(np.int64) % DIMENSIONS] += np.where(h & np.uint64(1), 1, -1)
+        out[rows, (h >> np.uint64(8)).astype(np.int64) % DIMENSIONS] += np.where(h & np.uint64(1), 1, -1).astype(np.int8)
     return out
 
 
@@ -135,7 +135,7 @@ _shapes: list[np.ndarray] = []
 
 def _shape_table() -> np.ndarray:
     if not _shapes:
-        _shapes.append(index_vectors(mix(np.arange(SHAPE_BUCKETS, dtype=np.uint64) + np.uint64(0x51ED270B)))[:, :SHAPE_DIMENSIONS])
+        _shapes.append(index_vectors(mix(np.arange(SHAPE_BUCKETS, dtype=np.uint64) + np.uint64(0x51ED270B)))[:, :SHAPE_DIMENSIONS].astype(np.float32))
     return _shapes[0]
 
 
@@ -169,7 +169,7 @@ def _word_vectors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
             order = np.argsort(row[part], kind="stable")
             rows = row[part][order]
             firsts = np.flatnonzero(np.diff(rows, prepend=-1))
-            vectors[rows[firsts]] += np.add.reduceat(index[where[part + shift]][order], firsts, axis=0)
+            vectors[rows[firsts]] += np.add.reduceat(index[where[part + shift]][order], firsts, axis=0, dtype=np.float32)
     vectors /= np.maximum(np.sqrt((vectors**2).sum(1)), 1e-6)[:, None]
     vectors[len(keep)] = 0
     return words[keep], vectors, counts[keep]
