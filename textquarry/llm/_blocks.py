@@ -8,6 +8,10 @@ with many members is cut into parts, and each two parts form a cell of bounded w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,8 @@ def blocks(entries: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key").orderBy("priority", "node")
     led = entries.select("key", "node", "priority").withColumn("pivot", F.first("node").over(by_key))
     pairs = led.where("pivot <> node").select("pivot", F.col("node").alias("member")).distinct()
-    return pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("member")).distinct())
+    both = F.explode(F.array(F.struct("pivot", "member"), F.struct("pivot", F.col("pivot").alias("member")))).alias("x")
+    return pairs.select(both).select("x.pivot", "x.member").distinct()
 
 
 def dealt(cells: DataFrame) -> DataFrame:
@@ -29,6 +34,29 @@ def dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition(n, "pivot", "part_a", "part_b")
 
 
+def in_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list[np.ndarray]]]:
+    """The groups of rows with equal first ``keys`` columns, as arrays per column; one list of groups per batch.
+
+    Rows are sorted by those columns.  Small groups are many, so they are cut from whole batches.
+    """
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        n = len(columns[0])
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for c in columns[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        held = [c[cuts[-1] :] for c in columns]
+        yield [[c[a:b] for c in columns] for a, b in zip(cuts, cuts[1:])]
+    if held is not None:
+        yield [held]
+
+
 def cells(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     """Adds part_a <= part_b and own (the part of the row): a cell (pivot, part_a, part_b) weighs about 2 * limit at most.
 

@@ -15,12 +15,11 @@ Lines are told apart by a 64-bit hash.  Repeated rows are occurrences like any o
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import blocks, cells
+from ._blocks import blocks, cells, dealt, in_runs
 from ._common import Unions, checkpoint, connected_components, mix, powers, signed, with_row_id
 
 LEAST = 20
@@ -122,9 +121,12 @@ def index_entries(texts: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.
 
 
 def _entries(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, node) of every line (node, line); a line is indexed once per Arrow batch that holds it."""
+
     def run(batches):
         for batch in batches:
-            nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            texts = batch.column(1).take(pa.array(first)).to_pylist()
             at = size = 0
             for i, t in enumerate(texts):
                 size += len(t)
@@ -147,29 +149,38 @@ def _bags(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _verified(edits: int):
-    def run(key, pdf):
-        pdf = pdf.drop_duplicates("member")
-        size = pdf["line"].str.len().to_numpy()
-        order = np.lexsort([pdf["member"].to_numpy(), size])
-        pdf, size = pdf.iloc[order], size[order]
-        nodes, own, texts = pdf["member"].to_numpy(), pdf["own"].to_numpy(), pdf["line"].tolist()
+def _links(edits: int, parted: bool, own: np.ndarray, nodes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): spanning edges of the matches inside a cell."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    order = np.lexsort([nodes, size])
+    nodes, own, size, texts = nodes[order], own[order], size[order], lines[order].tolist()
+    ends = np.searchsorted(size, size + edits, side="right")
+    found = Unions(len(nodes))
+    if (ends > np.arange(1, len(nodes) + 1)).any():
         bags = _bags(texts)
-        ends = np.searchsorted(size, size + edits, side="right")
-        found = Unions(len(nodes))
         for i in range(len(nodes)):
             hi = int(ends[i])
             if hi <= i + 1:
                 continue
             ok = np.abs(bags[i + 1 : hi] - bags[i]).sum(1) <= 2 * edits
-            if key[1] != key[2]:
+            if parted:
                 ok &= own[i + 1 : hi] != own[i]
             for j in (np.flatnonzero(ok) + i + 1).tolist():
                 if found.find(i) != found.find(j) and edit_distance_within(texts[i], texts[j], edits) <= edits:
                     found.join(i, j)
-        roots = np.array([found.find(i) for i in range(len(nodes))])
-        moved = roots != np.arange(len(nodes))
-        return pd.DataFrame({"u": nodes[moved], "v": nodes[roots[moved]]})
+    roots = np.array([found.find(i) for i in range(len(nodes))])
+    moved = roots != np.arange(len(nodes))
+    return nodes[moved], nodes[roots[moved]]
+
+
+def _verified(edits: int):
+    """Over cells sorted by (pivot, part_a, part_b): the rows of ``_links``."""
+
+    def run(batches):
+        for groups in in_runs(batches, 3):
+            out = [_links(edits, bool(g[1][0] != g[2][0]), *g[3:]) for g in groups if len(g[0]) > 1]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "v"])
 
     return run
 
@@ -184,11 +195,13 @@ def _occurrences(source: DataFrame, least: int) -> DataFrame:
 
 def line_classes(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(node, root) of the lines that match another, different line; source: rid, id, text."""
-    distinct = _occurrences(source, least).groupBy("node").agg(F.first("line").alias("line"))
-    found = checkpoint(blocks(_entries(distinct, edits)))
-    texts = distinct.withColumnRenamed("node", "member").join(found.hint("shuffle_hash"), "member")
+    lines = _occurrences(source, least).select("node", "line")
+    found = checkpoint(blocks(_entries(lines, edits).withColumn("priority", F.lit(0))))
+    asked = lines.join(found.select(F.col("member").alias("node")).distinct().hint("shuffle_hash"), "node", "left_semi")
+    texts = asked.groupBy(F.col("node").alias("member")).agg(F.first("line").alias("line")).join(found.hint("shuffle_hash"), "member")
     celled = cells(texts, F.length("line"), CELL_CHARACTERS)
-    edges = celled.groupBy("pivot", "part_a", "part_b").applyInPandas(_verified(edits), "u long, v long")
+    in_order = dealt(celled.select("pivot", "part_a", "part_b", "own", "member", "line")).sortWithinPartitions("pivot", "part_a", "part_b")
+    edges = in_order.mapInArrow(_verified(edits), "u long, v long")
     return connected_components(edges)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import blocks, cells, dealt
+from ._blocks import blocks, cells, dealt, in_runs
 from ._common import Unions, checkpoint, connected_components, gram_hashes, hash_words, mix, signed, text_chunks, with_row_id
 
 COUNT_BITS = 16
@@ -143,45 +143,51 @@ def _entries(docs: DataFrame, k: int, frequent: np.ndarray, t: Fraction) -> Data
     return docs.select("rid", "id", "text").mapInArrow(run, schema)
 
 
-def _plausible(t: Fraction):
-    """Groups the members of a cell that may link, by sizes and sketches.
+def _grouped(t: Fraction, parted: bool, own: np.ndarray, member: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, member, n) of the members of a cell that may link, by sizes and sketches.
 
     The groups are the components of possible links, named by their least member, so that the
     same documents found under many pivots come out as the same rows.
     """
     up, down = t.numerator, t.denominator
-
-    def run(key, pdf):
-        n = pdf["n"].to_numpy()
-        order = np.argsort(n, kind="stable")
-        pdf, n = pdf.iloc[order], n[order]
-        sketches = pdf["sketch"].tolist()
+    order = np.argsort(n, kind="stable")
+    own, member, n, sketches = own[order], member[order], n[order], sketches[order]
+    ends = np.searchsorted(n * up, n * down, side="right")  # partners are at most n / t large
+    found = Unions(len(n))
+    if len(n) > 1 and (ends > np.arange(1, len(n) + 1)).any():
         slots = np.fromiter(map(len, sketches), np.int64, len(sketches))
-        own = pdf["own"].to_numpy()
-        found = Unions(len(n))
-        ends = np.searchsorted(n * up, n * down, side="right")  # partners are at most n / t large
         for level in np.unique(slots):
             mine = np.flatnonzero(slots == level)
-            first, last = mine[0], int(ends[mine[-1]])  # sizes ascend, and so do slots
+            first, last = int(mine[0]), int(ends[mine[-1]])  # sizes ascend, and so do slots
             while slots[last - 1] > 2 * level:
                 last -= 1
-            rows = _folded(sketches[first:last], int(level))
-            for i in mine:
+            rows = _folded(sketches[first:last].tolist(), int(level))
+            for i in mine.tolist():
                 hi = min(int(ends[i]), last)
                 if hi <= i + 1:
                     continue
                 near = np.abs(rows[i + 1 - first : hi - first] - rows[i - first]).sum(1, dtype=np.int64)
                 ok = near * (up + down) <= (n[i] + n[i + 1 : hi]) * (down - up)
-                if key[1] != key[2]:
+                if parted:
                     ok &= own[i + 1 : hi] != own[i]
-                for root in set(found.up[np.flatnonzero(ok) + i + 1].tolist()):
-                    found.join(int(i), root)
-        roots = np.array([found.find(i) for i in range(len(n))], np.int64)
-        grouped = np.bincount(roots, minlength=len(n))[roots] > 1
-        nodes = pdf["member"].to_numpy()
-        least = np.full(len(n), np.iinfo(np.int64).max)
-        np.minimum.at(least, roots, nodes)
-        return pd.DataFrame({"pivot": least[roots][grouped], "member": nodes[grouped], "n": n[grouped]})
+                if ok.any():
+                    for root in set(found.up[np.flatnonzero(ok) + i + 1].tolist()):
+                        found.join(i, root)
+    roots = np.array([found.find(i) for i in range(len(n))], np.int64)
+    many = np.bincount(roots, minlength=len(n))[roots] > 1
+    least = np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(least, roots, member)
+    return least[roots][many], member[many], n[many]
+
+
+def _plausible(t: Fraction):
+    """Over cells sorted by (pivot, part_a, part_b): the rows of ``_grouped``."""
+
+    def run(batches):
+        for groups in in_runs(batches, 3):
+            out = [_grouped(t, bool(g[1][0] != g[2][0]), *g[3:]) for g in groups if len(g[0]) > 1]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["pivot", "member", "n"])
 
     return run
 
@@ -233,7 +239,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = checkpoint(blocks(reps.select(F.explode("keys").alias("key"), F.col("rid").alias("node"), F.col("n").cast("int").alias("priority"))))
     sketched = found.join(reps.select(F.col("rid").alias("member"), "n", "sketch"), "member")
     celled = cells(sketched, F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n")), CELL_SHINGLES)
-    likely = dealt(celled).groupBy("pivot", "part_a", "part_b").applyInPandas(_plausible(threshold), "pivot long, member long, n long")
+    sorted_cells = dealt(celled.select("pivot", "part_a", "part_b", "own", "member", "n", "sketch")).sortWithinPartitions("pivot", "part_a", "part_b")
+    likely = sorted_cells.mapInArrow(_plausible(threshold), "pivot long, member long, n long")
     likely = checkpoint(cells(likely.distinct(), F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n")), CELL_SHINGLES))
     texts = source.select(F.col("rid").alias("member"), "text").join(likely.hint("shuffle_hash"), "member")
     edges = dealt(texts).groupBy("pivot", "part_a", "part_b").applyInPandas(_verified(k, threshold), "u long, v long")
