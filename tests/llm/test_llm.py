@@ -354,7 +354,9 @@ def test_fm_index_by_brute_force():
         for s, n in zip(segments, counts):
             for i in range(len(s) - 4):
                 seen[tuple(s[i : i + 5])] += int(n)
-        for s, spans in zip(segments, substring.repeated_spans(segments, counts, 5)):
+        numbers = np.array([ord(w) - 97 for s in segments for w in s])
+        sizes = np.array([len(s) for s in segments])
+        for s, spans in zip(segments, substring.repeated_spans(numbers, sizes, counts, 5)):
             want = {x for i in range(len(s) - 4) if seen[tuple(s[i : i + 5])] > 1 for x in range(i, i + 5)}
             assert want == {x for k in range(0, len(spans), 2) for x in range(spans[k], spans[k + 1])}
 

@@ -12,6 +12,8 @@ one by one.  Anchors of very many segments are split: their windows are filed si
 hash of the whole window, so no shard has to hold one anchor's segments.
 
 A window counts as repeated if its words start anywhere else too, in the same text or another.
+Words are told apart by a 64-bit hash within a shard.
+
 Words covered by a repeated window are removed, judged on the input.  Null and empty texts
 have no words.  Repeated rows are occurrences like any other.
 """
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpoint, gram_hashes, hash_words, mix, signed, text_chunks, with_row_id
+from ._common import checkpoint, gram_hashes, hash_words, mix, powers, signed, text_chunks, with_row_id
 
 GRAM = 8
 #: Words a shard's index should hold, and occurrences from which an anchor's windows are filed singly.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 HOT_ANCHOR = 50_000
 
 
@@ -82,22 +84,19 @@ def suffix_order(symbols: np.ndarray, longest: int) -> np.ndarray:
 class FMIndex:
     """Counts occurrences, with multiplicities, of word sequences in a set of segments."""
 
-    def __init__(self, segments: list[list], counts: np.ndarray):
-        numbers: dict = {}
-        flat, sizes = [], np.fromiter(map(len, segments), np.int64, len(segments))
-        for s in segments:
-            flat.extend([numbers.setdefault(w, len(numbers)) for w in s])
-        words = np.array(flat, np.int64) + 1  # 0 separates
-        self.sigma = len(numbers) + 1
+    def __init__(self, numbers: np.ndarray, sizes: np.ndarray, counts: np.ndarray):
+        """numbers: the segments' words one after the other, as numbers from 0; sizes: words per segment."""
+        words = numbers.astype(np.int64) + 1  # 0 separates
+        self.sigma = int(words.max()) + 1
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         self.sizes = sizes
-        n = int(sizes.sum()) + len(segments)
+        n = int(sizes.sum()) + len(sizes)
         self.text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[self.starts + sizes] = False
         self.text[inside] = words
-        distinct = np.where(inside, self.text + len(segments), 0)
-        distinct[~inside] = np.arange(len(segments))
+        distinct = np.where(inside, self.text + len(sizes), 0)
+        distinct[~inside] = np.arange(len(sizes))
         order = suffix_order(distinct, int(sizes.max()) + 1)
         self.matrix = WaveletMatrix(self.text[order - 1], self.sigma)
         every = np.arange(self.sigma)
@@ -129,9 +128,9 @@ class FMIndex:
         return out
 
 
-def repeated_spans(segments: list[list], counts: np.ndarray, window: int) -> list[list[int]]:
+def repeated_spans(numbers: np.ndarray, sizes: np.ndarray, counts: np.ndarray, window: int) -> list[list[int]]:
     """Per segment, the merged word spans [a0, b0, a1, b1, ...] covered by windows that occur twice or more."""
-    index = FMIndex(segments, counts)
+    index = FMIndex(numbers, sizes, counts)
     ends = index.starts + index.sizes
     suffix = index.matched(ends, index.sizes)
     full = suffix == index.sizes
@@ -172,70 +171,95 @@ def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, rids): the texts of an Arrow batch that have the anchor, with repeats; a common anchor is one row per batch."""
+
     def run(batches):
         for batch in batches:
             rids = batch.column(0).to_numpy()
+            rows, found = [], []
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 w = hash_words(data, offsets)
-                rows, found = [], []
                 for i in range(end - first):
                     g, where = anchors(w.hashes[w.offsets[i] : w.offsets[i + 1]], window, gram)
                     if len(where):
                         h = g[where[np.concatenate(([True], where[1:] != where[:-1]))]]
                         found.append(h)
                         rows.append(np.full(len(h), rids[first + i]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(signed(np.concatenate(found)))], ["rid", "anchor"])
+            if found:
+                h, r = np.concatenate(found), np.concatenate(rows)
+                order = np.argsort(h, kind="stable")
+                h, r = h[order], r[order]
+                begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(h)).astype(np.int32)), pa.array(r))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[begins])), lists], ["anchor", "rids"])
+
+    return docs.select("rid", "text").mapInArrow(run, "anchor long, rids array<long>")
+
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, anchor long")
+_TURN = 0xD1342543DE82EF95
+_BACK = pow(_TURN, -1, 1 << 64)
 
 
-def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """rid, start, anchor, s1, s2, words of the segments; ``docs`` has the kept anchors and the hot ones."""
+def _segments(docs: DataFrame, window: int, gram: int, words: bool) -> DataFrame:
+    """rid, start, anchor, s1, s2[, words] of the segments; ``docs`` has the kept anchors and the hot ones.
+
+    s1 and s2 are two hashes of the segment's words, from running sums over the text.
+    """
 
     def run(batches):
         for batch in batches:
-            rids = batch.column(0).to_pylist()
-            wanted, hot = batch.column(2), batch.column(3)
-            for first, end, data, offsets in text_chunks(batch.column(1)):
+            rids = batch.column(0).to_numpy()
+            wanted, hot = batch.column(3), batch.column(4)
+            for first, end, data, offsets in text_chunks(batch.column(2)):
                 w = hash_words(data, offsets)
-                columns: list[list] = [[], [], [], [], [], []]
+                turn, back = powers(_TURN, len(w.hashes) + 1), powers(_BACK, len(w.hashes) + 1)
+                zero = np.zeros(1, np.uint64)
+                sum1 = np.concatenate([zero, np.cumsum(w.hashes * turn[: len(w.hashes)], dtype=np.uint64)])
+                sum2 = np.concatenate([zero, np.cumsum(mix(w.hashes + np.uint64(77)) * turn[: len(w.hashes)], dtype=np.uint64)])
+                starts, stops, keys, rows, own = [], [], [], [], []
                 for i in range(end - first):
                     a, b = w.offsets[i], w.offsets[i + 1]
-                    hashes = w.hashes[a:b]
-                    g, where = anchors(hashes, window, gram)
+                    g, where = anchors(w.hashes[a:b], window, gram)
                     if not len(where):
                         continue
                     firsts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
                     lasts = np.append(firsts[1:], len(where)) - 1
                     h = g[where[firsts]]
-                    mine = np.array(wanted[first + i].as_py(), np.int64).view(np.uint64)
-                    heavy = np.array(hot[first + i].as_py(), np.int64).view(np.uint64)
-                    keep = np.isin(h, mine)
-                    single = keep & np.isin(h, heavy) if len(heavy) else np.zeros(len(h), bool)
-                    text, at = data[offsets[i] : offsets[i + 1]].tobytes(), offsets[i]
-                    ws = text.split()
-                    for f, last, key, alone in zip(firsts[keep].tolist(), lasts[keep].tolist(), h[keep].tolist(), single[keep].tolist()):
-                        for s, e in [(j, j + window) for j in range(f, last + 1)] if alone else [(f, last + window)]:
-                            part = hashes[s:e]
-                            order = np.arange(1, len(part) + 1, dtype=np.uint64)
-                            s1 = int(np.add.reduce(mix(part + order * np.uint64(0x9E3779B97F4A7C15))))
-                            s2 = int(np.add.reduce(mix((part ^ np.uint64(0x2545F4914F6CDD1D)) + order * np.uint64(0xD1342543DE82EF95))))
-                            for c, x in zip(columns, (rids[first + i], s, s1 if alone else key, s1, s2, b" ".join(ws[s:e]))):
-                                c.append(x)
-                if columns[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(signed(np.array(c, np.uint64))) for c in columns[2:5]], pa.array(columns[5], pa.binary())],
-                        ["rid", "start", "anchor", "s1", "s2", "words"],
-                    )
-
-    return docs.select("rid", "text", "wanted", "hot").mapInArrow(run, "rid long, start int, anchor long, s1 long, s2 long, words binary")
+                    keep = np.isin(h, wanted[first + i].values.to_numpy().view(np.uint64))
+                    firsts, lasts, h = firsts[keep], lasts[keep], h[keep]
+                    single = np.zeros(len(h), bool)
+                    if len(hot[first + i]):
+                        single = np.isin(h, hot[first + i].values.to_numpy().view(np.uint64))
+                        n = np.where(single, lasts - firsts + 1, 1)
+                        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        firsts, lasts, h, single = np.repeat(firsts, n) + step, np.where(np.repeat(single, n), np.repeat(firsts, n) + step, np.repeat(lasts, n)), np.repeat(h, n), np.repeat(single, n)
+                    starts.append(firsts + a)
+                    stops.append(lasts + window + a)
+                    keys.append(h)
+                    own.append(single)
+                    rows.append(np.full(len(h), i))
+                if not starts:
+                    continue
+                start, stop, key, alone, row = map(np.concatenate, (starts, stops, keys, own, rows))
+                s1, s2 = mix((sum1[stop] - sum1[start]) * back[start]), mix((sum2[stop] - sum2[start]) * back[start])
+                columns = [pa.array(rids[first + row]), pa.array((start - w.offsets[row]).astype(np.int32)), *[pa.array(signed(x)) for x in (np.where(alone, s1, key), s1, s2)]]
+                if words:
+                    raw = data.tobytes()
+                    columns.append(pa.array([raw[x:y] for x, y in zip(w.starts[start].tolist(), w.ends[stop - 1].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "start", "anchor", "s1", "s2", "words"][: len(columns)])
+
+    return docs.select("rid", "id", "text", "wanted", "hot").mapInArrow(run, "rid long, start int, anchor long, s1 long, s2 long" + ", words binary" * words)
 
 
 def _search(window: int):
     def run(table: pa.Table) -> pa.Table:
-        segments = [x.split(b" ") for x in table.column("words").to_pylist()]
-        spans = repeated_spans(segments, table.column("n").to_numpy(), window)
+        hashes, sizes = [], []
+        for _, _, data, offsets in text_chunks(table.column("words")):
+            w = hash_words(data, offsets)
+            hashes.append(w.hashes)
+            sizes.append(np.diff(w.offsets))
+        numbers = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+        spans = repeated_spans(numbers, np.concatenate(sizes), table.column("n").to_numpy(), window)
         out = pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "spans": pa.array(spans, pa.list_(pa.int32()))})
         return out.filter(pa.compute.greater(pa.compute.list_value_length(out["spans"]), 0))
 
@@ -243,17 +267,17 @@ def _search(window: int):
 
 
 def repeated_word_spans(source: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
-    """(rid, spans) of the texts with repeated windows; spans: array<struct<a,b>> of word positions, unmerged.  source: rid, text."""
-    counted = _anchor_rows(source, window, gram).withColumn("n", F.expr("count(*) over (partition by anchor)"))
-    hits = counted.where("n > 1").groupBy("rid").agg(F.collect_set("anchor").alias("wanted"), F.collect_set(F.when(F.col("n") > HOT_ANCHOR, F.col("anchor"))).alias("hot"))
+    """(rid, spans) of the texts with repeated windows; spans: array<struct<a,b>> of word positions, unmerged.  source: rid, id, text, shuffled once by rid."""
+    counted = _anchor_rows(source, window, gram).withColumn("n", F.expr("sum(size(rids)) over (partition by anchor)")).where("n > 1")
+    hits = counted.select("anchor", "n", F.explode("rids").alias("rid")).groupBy("rid").agg(F.collect_set("anchor").alias("wanted"), F.collect_set(F.when(F.col("n") > HOT_ANCHOR, F.col("anchor"))).alias("hot"))
     hits = checkpoint(hits)
     kept = hits.agg(F.sum(F.size("wanted"))).first()[0] or 0
     shards = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept * (window + 14) // SHARD_WORDS))
-    segments = _segments(source.join(hits.hint("shuffle_hash"), "rid"), window, gram)
-    distinct = segments.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("n"), F.first("words").alias("words"))
+    held = source.join(hits.hint("shuffle_hash"), "rid")
+    distinct = _segments(held, window, gram, True).groupBy("anchor", "s1", "s2").agg(F.count("*").alias("n"), F.first("words").alias("words"))
     sharded = distinct.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "s1", "s2", "n", "words")
     found = sharded.groupBy("shard").applyInArrow(_search(window), "s1 long, s2 long, spans array<int>")
-    covered = segments.select("rid", "start", "s1", "s2").join(found, ["s1", "s2"])
+    covered = _segments(held, window, gram, False).select("rid", "start", "s1", "s2").join(found, ["s1", "s2"])
     pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda k: F.struct((F.get("spans", k * 2) + F.col("start")).alias("a"), (F.get("spans", k * 2 + 1) + F.col("start")).alias("b")))
     return covered.select("rid", F.explode(pairs).alias("span")).groupBy("rid").agg(F.collect_set("span").alias("spans"))
 
@@ -262,12 +286,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, n_words, n_removed and kept (the words left, joined by one space)."""
     source = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
     spans = repeated_word_spans(source, window, gram)
-    joined = source.join(spans.hint("shuffle_hash"), "rid", "left").select("id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    joined = source.join(spans.hint("shuffle_hash"), "rid", "left").select("rid", "id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):  # bounds the worker's memory
             n_words, n_removed, kept = [], [], []
-            for t, a, b in zip(*[batch.column(c).to_pylist() for c in (1, 2, 3)]):
+            for t, a, b in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)]):
                 ws = t.encode("utf-8", "surrogatepass").split() if t else []
                 n_words.append(len(ws))
                 if a:
@@ -280,7 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 else:
                     n_removed.append(0)
                 kept.append(b" ".join(ws))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
