@@ -9,6 +9,7 @@ with many members is cut into parts, and each two parts form a cell of bounded w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def blocks(entries: DataFrame) -> DataFrame:
+def blocks(entries: DataFrame, ratio: Fraction | None = None) -> DataFrame:
     """(pivot, member), distinct, of (key, node, priority) entries; pivots are members of their own blocks.
 
     The order by priority is the same under every key, so overlapping keys mostly share their pivot.
+    ``ratio``: priorities are sizes, and partners' sizes differ by that ratio at most.  Where
+    two sizes next to each other under a key are further apart, no pair lies across, and a new pivot begins.
     """
     by_key = Window.partitionBy("key").orderBy("priority", "node")
-    led = entries.select("key", "node", "priority").withColumn("pivot", F.first("node").over(by_key))
+    led = entries.select("key", "node", "priority")
+    if ratio is None:
+        led = led.withColumn("pivot", F.first("node").over(by_key))
+    else:
+        before = F.lag("priority").over(by_key)
+        begins = before.isNull() | (before.cast("bigint") * ratio.denominator < F.col("priority").cast("bigint") * ratio.numerator)
+        led = led.withColumn("begins", F.when(begins, F.col("node"))).withColumn("pivot", F.last("begins", ignorenulls=True).over(by_key))
     pairs = led.where("pivot <> node").select("pivot", F.col("node").alias("member")).distinct()
     both = F.explode(F.array(F.struct("pivot", "member"), F.struct("pivot", F.col("pivot").alias("member")))).alias("x")
     return pairs.select(both).select("x.pivot", "x.member").distinct()

@@ -236,7 +236,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = checkpoint(_entries(source, k, frequent_table(source, k), threshold))
     classes = checkpoint(entries.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least")))
     reps = entries.drop("n").join(classes.select(F.col("rep").alias("rid"), "n").hint("shuffle_hash"), "rid")
-    found = checkpoint(blocks(reps.select(F.explode("keys").alias("key"), F.col("rid").alias("node"), F.col("n").cast("int").alias("priority"))))
+    found = checkpoint(blocks(reps.select(F.explode("keys").alias("key"), F.col("rid").alias("node"), F.col("n").cast("int").alias("priority")), threshold))
     sketched = found.join(reps.select(F.col("rid").alias("member"), "n", "sketch"), "member")
     celled = cells(sketched, F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n")), CELL_SHINGLES)
     sorted_cells = dealt(celled.select("pivot", "part_a", "part_b", "own", "member", "n", "sketch")).sortWithinPartitions("pivot", "part_a", "part_b")
