@@ -162,6 +162,26 @@ def test_index_keys_meet_for_every_link():
         assert np.intersect1d(ngram_join.index_keys(a, frequent, t), ngram_join.index_keys(b, frequent, t)).size
 
 
+def test_short_sets_link_to_a_superset_of_one_more(spark):
+    from fractions import Fraction
+
+    rng = np.random.default_rng(1)
+    for t in (Fraction(9, 10), Fraction(4, 5)):
+        for n in range(2, 40):
+            if n < t * (n + 1):
+                continue
+            for share in (0, 0.5, 1):
+                b = np.unique(rng.integers(0, 2**63, n + 1).astype(np.uint64) * np.uint64(2))
+                frequent = rng.random(1 << ngram_join.COUNT_BITS) < share
+                want = ngram_join.index_keys(b, frequent, t)
+                assert all(np.intersect1d(ngram_join.index_keys(np.delete(b, i), frequent, t), want).size for i in range(n + 1)), (t, n)
+    for k, t, n in ((3, Fraction(9, 10), 11), (5, Fraction(4, 5), 8)):
+        words = [f"v{i}" for i in range(n)]
+        docs = [(1, " ".join([*words, "new"])), (2, " ".join(words)), (3, " ".join(["other", *words[1:]]))]
+        got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k=k, threshold=t)
+        assert {r.id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_blocks_in_parts_lose_nothing(table, pairs, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL_SHINGLES", 300)
     monkeypatch.setattr(ngram_join, "CELL_SKETCHES", 2)

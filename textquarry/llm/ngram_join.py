@@ -85,7 +85,7 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> np.ndarray:
     """Index keys of a sorted set; see the module's text."""
     n = len(s)
     miss = n - int(-(-t * n // 1))
-    if miss <= 0:  # a partner could only be the same set
+    if miss <= 0 and (n + 1) * t > n:  # a partner could only be the same set; else one of n + 1 may hold all of this one
         return np.zeros(0, np.uint64)
     often = frequent[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
     rare = s[~often]
