@@ -182,6 +182,17 @@ def test_short_sets_link_to_a_superset_of_one_more(spark):
         assert {r.id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_keep_one_goes_by_components_not_by_ids(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [prose(rng, 40, 5000) for _ in range(7)]
+    near = lambda t: [*t[:-1], "changed"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (2, near(texts[2])), (3, texts[3]), (3, near(texts[3])), (None, texts[4]), (None, near(texts[4])), (None, texts[5]), (None, texts[5]), (None, texts[6]), (9, near(texts[6]))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "ids"))
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(spark.read.parquet(str(tmp_path / "ids"))).collect())
+    assert kept == Counter((i, " ".join(t)) for i, t in (rows[0], rows[1], rows[2], rows[4], rows[6], rows[8], rows[11]))
+
+
 def test_blocks_in_parts_lose_nothing(table, pairs, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL_SHINGLES", 300)
     monkeypatch.setattr(ngram_join, "CELL_SKETCHES", 2)

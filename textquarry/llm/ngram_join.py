@@ -231,7 +231,7 @@ def _verified(k: int, t: Fraction):
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """One row per document: rid, id, n_shingles, class_id (least row of the documents with the same set) and component_id (least id reachable)."""
+    """One row per document: rid, id, n_shingles, class_id (least row of the documents with the same set), root (least row reachable, whatever the ids) and component_id (least id reachable)."""
     source = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
     entries = checkpoint(_entries(source, k, frequent_table(source, k), threshold))
     classes = checkpoint(entries.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least")))
@@ -248,16 +248,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = classes.select("d1", "d2", "n", "rep", "least").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     labelled = checkpoint(labelled.select("d1", "d2", "n", "rep", "root", "least"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    named = labelled.join(least, "root").select("d1", "d2", "n", F.col("rep").alias("class_id"), "component")
+    named = labelled.join(least, "root").select("d1", "d2", "n", F.col("rep").alias("class_id"), "root", "component")
     joined = entries.select("rid", "id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    return joined.select("rid", "id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    return joined.select("rid", "id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("root", "rid").alias("root"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``docs`` with one row of each component, that of the least id (ties: the first row); documents without words all stay."""
     found = jaccard_components(docs, id_col, text_col, k, threshold)
-    grouped = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
-    # documents with null ids and no partner share the null component: each is told apart by its class
-    first = grouped.where("component_id is not null").select("first.rid").unionByName(found.where("component_id is null and n_shingles > 0").groupBy("class_id").agg(F.min("rid").alias("rid")).select("rid"))
+    # by root, as component_id is no key: unrelated rows may share an id, and null ids name nothing
+    grouped = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
+    first = grouped.select("first.rid")
     first = first.unionByName(found.where("n_shingles = 0").select("rid"))
     return with_row_id(docs, "__rid").join(first.withColumnRenamed("rid", "__rid").hint("shuffle_hash"), "__rid", "left_semi").drop("__rid")
