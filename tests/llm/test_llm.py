@@ -284,6 +284,21 @@ def test_pii(spark, table, empty):
     assert pii.redact(spark.createDataFrame([("write a@b.co now",), (None,)], "text string")).collect()[0].text == "write [EMAIL] now"
 
 
+def test_pii_beside_other_words(spark):
+    for iban in ("DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for before, after in (("IBAN ", " BIC COBADEFFXXX"), ("", " 2024"), ("", " SWIFT ABC"), ("REF AB12 ", " A 1 B 2 C 3 D 4 E 5 F 6 G 7"), ("", ", then"), ("", "")):
+            text = before + iban + after
+            assert [s[:3] for s in pii.find_spans(text) if s[0] == "iban"] == [("iban", len(before), len(before) + len(iban))], text
+    assert not [s for s in pii.find_spans("DE89370400440532013001 GB82 WEST 1234 5698 7654 32x DE8937040044053201300012") if s[0] == "iban"]
+    two = "DE89370400440532013000 GB82WEST12345698765432"
+    assert [s[:3] for s in pii.find_spans(two) if s[0] == "iban"] == [("iban", 0, 22), ("iban", 23, 45)]
+    assert [s[0] for s in pii.find_spans("123-45-6789 is my social security number")] == ["ssn"]
+    assert pii.find_spans("123-45-6789 is a part" + " number" * 5 + " social") == []
+    assert pii.find_spans("AB12 " * 40_000) == []
+    shown = spark.createDataFrame([("IBAN DE89370400440532013000 BIC COBADEFFXXX",)], "text string")
+    assert pii.redact(shown).collect()[0].text == "IBAN [IBAN] BIC COBADEFFXXX"
+
+
 def test_quality_rules(spark, table, pairs, empty):
     def brute(t):
         t = t or ""

@@ -25,13 +25,15 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"[a-z]+")
 
-#: Words that make a kind likelier within WINDOW characters before the span.
+#: Words that make a kind likelier within WINDOW characters before or after the span.
 CONTEXT = {
     "email": {"email", "mail", "contact", "write"},
     "ip": {"ip", "address", "host", "server"},
@@ -45,6 +47,17 @@ START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9,
 WINDOW = 40
 BOOST = 0.25
 
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -75,6 +88,26 @@ def _emails(text: str):
         at = text.find("@", at + 1)
 
 
+def _ibans(text: str):
+    """Spans that satisfy mod 97, of the country's length; where the country is not listed, up to the last word end that does."""
+    done = 0
+    for at in _IBAN_START.finditer(text):
+        if at.start() < done or not (m := _IBAN.match(text, at.start())):
+            continue
+        code, ends = "", []
+        for i in range(m.start(), m.end()):
+            if text[i] != " ":
+                code += text[i]
+                if len(code) >= 15 and not _ALNUM.match(text, i + 1):
+                    ends.append((len(code), i + 1))
+        known = IBAN_LENGTH.get(code[:2])
+        for n, end in reversed(ends):
+            if known in (None, n) and mod97(code[:n]):
+                yield m.start(), end
+                done = end
+                break
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start."""
     out: list[tuple[str, int, int, float]] = []
@@ -82,7 +115,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         return out
 
     def add(kind: str, start: int, end: int, least: float = 0.0) -> None:
-        near = _WORD.findall(text[max(0, start - WINDOW) : start].lower())
+        near = _WORD.findall(f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower())
         score = min(1.0, START_SCORE[kind] + (BOOST if CONTEXT[kind] & set(near) else 0.0))
         if score >= least:
             out.append((kind, start, end, round(score, 2)))
@@ -104,10 +137,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 add("phone", m.start(), m.end())
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            add("iban", m.start(), m.end())
+    for s, e in _ibans(text):
+        add("iban", s, e)
     for m in _SSN.finditer(text):
         add("ssn", m.start(), m.end(), least=0.5)
     return out
