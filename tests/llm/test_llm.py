@@ -369,6 +369,61 @@ def test_line_dedup(spark, empty, tmp_path):
     assert line_dedup.line_report(empty).count() == 0
 
 
+def test_line_dedup_by_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    stems = ["All rights reserved.", "All rights reserved", "x" * 17, *("".join(rng.choice("abcd ") for _ in range(rng.randrange(16, 26))) for _ in range(30))]
+
+    def line():
+        s = list(rng.choice(stems))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(s) + 1)
+            s[k : k + rng.randrange(2)] = rng.choice(["", "a", "z"])
+        return "".join(s)
+
+    docs = [(rng.choice([*range(40), None]), "\n".join(line() for _ in range(rng.randrange(1, 8)))) for _ in range(60)]
+    docs += [(100, "All rights reserved."), (101, "All rights reserved"), (102, "All right reserved")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "lines"))
+    df = spark.read.parquet(str(tmp_path / "lines"))
+
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1] <= 2
+
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    lines = sorted({x for _, t in rows for x in t.split("\n")})
+    root = {x: x for x in lines if len(x) >= 20}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in lines:
+        for b in lines:
+            if a != b and len(b) >= 20 and abs(len(a) - len(b)) <= 2 and near(a, b):
+                root.setdefault(a, a)
+                root[find(a)] = find(b)
+    first, want = set(), {n: [] for n in range(len(rows))}
+    for n in sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, n)):
+        for i, x in enumerate(rows[n][1].split("\n")):
+            if x in root:
+                if find(x) in first:
+                    want[n].append(i)
+                first.add(find(x))
+    got = Counter((r.doc_id, r.n_lines, tuple(r.removed), r.left) for r in line_dedup.line_report(df).collect())
+    brute = Counter()
+    for n, (i, t) in enumerate(rows):
+        cut = t.split("\n")
+        left = "\n".join(x for k, x in enumerate(cut) if k not in want[n])
+        brute[(i, len(cut), tuple(want[n]), left)] += 1
+    assert got == brute and any(len(x) < 20 for x in root)
+
+
 def test_classifier(spark, table, empty):
     rng = random.Random(4)
     good = [" ".join(prose(rng, 80, 2000)) for _ in range(200)]

@@ -7,7 +7,8 @@ that length.  Lines that share an entry are candidates; they are verified with a
 bit-parallel edit distance after cheap bounds.  Copies of a line are one line from the start, and
 lines join into classes by chains of matches.
 
-Lines shorter than ``least`` characters, null texts and empty texts take no part.  The first
+Lines shorter than ``least`` characters take part as partners of lines that aren't, and else
+not, even if equal; null texts and empty texts take no part.  The first
 occurrence of a class, by id (nulls last), row and line number, stays; the others are removed.
 Lines are told apart by a 64-bit hash.  Repeated rows are occurrences like any other.
 """
@@ -149,8 +150,8 @@ def _bags(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _links(edits: int, parted: bool, own: np.ndarray, nodes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(u, v): spanning edges of the matches inside a cell."""
+def _links(edits: int, least: int, parted: bool, own: np.ndarray, nodes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): spanning edges of the matches inside a cell; one line of each has at least ``least`` characters."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     order = np.lexsort([nodes, size])
     nodes, own, size, texts = nodes[order], own[order], size[order], lines[order].tolist()
@@ -162,7 +163,7 @@ def _links(edits: int, parted: bool, own: np.ndarray, nodes: np.ndarray, lines:
             hi = int(ends[i])
             if hi <= i + 1:
                 continue
-            ok = np.abs(bags[i + 1 : hi] - bags[i]).sum(1) <= 2 * edits
+            ok = (np.abs(bags[i + 1 : hi] - bags[i]).sum(1) <= 2 * edits) & (size[i + 1 : hi] >= least)
             if parted:
                 ok &= own[i + 1 : hi] != own[i]
             for j in (np.flatnonzero(ok) + i + 1).tolist():
@@ -173,12 +174,12 @@ def _links(edits: int, parted: bool, own: np.ndarray, nodes: np.ndarray, lines:
     return nodes[moved], nodes[roots[moved]]
 
 
-def _verified(edits: int):
+def _verified(edits: int, least: int):
     """Over cells sorted by (pivot, part_a, part_b): the rows of ``_links``."""
 
     def run(batches):
         for groups in in_runs(batches, 3):
-            out = [_links(edits, bool(g[1][0] != g[2][0]), *g[3:]) for g in groups if len(g[0]) > 1]
+            out = [_links(edits, least, bool(g[1][0] != g[2][0]), *g[3:]) for g in groups if len(g[0]) > 1]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "v"])
 
@@ -189,26 +190,29 @@ def _verified(edits: int):
 
 
 def _occurrences(source: DataFrame, least: int) -> DataFrame:
+    """Every line of at least that many characters, wherever it occurs."""
     lines = source.select("rid", "id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     return lines.where(F.length("line") >= least).select("rid", "id", "line_no", F.xxhash64("line").alias("node"), "line")
 
 
 def line_classes(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(node, root) of the lines that match another, different line; source: rid, id, text."""
-    lines = _occurrences(source, least).select("node", "line")
+    lines = _occurrences(source, max(min(least, 1), least - edits)).select("node", "line")
     found = checkpoint(blocks(_entries(lines, edits).withColumn("priority", F.lit(0))))
     asked = lines.join(found.select(F.col("member").alias("node")).distinct().hint("shuffle_hash"), "node", "left_semi")
     texts = asked.groupBy(F.col("node").alias("member")).agg(F.first("line").alias("line")).join(found.hint("shuffle_hash"), "member")
     celled = cells(texts, F.length("line"), CELL_CHARACTERS)
     in_order = dealt(celled.select("pivot", "part_a", "part_b", "own", "member", "line")).sortWithinPartitions("pivot", "part_a", "part_b")
-    edges = in_order.mapInArrow(_verified(edits), "u long, v long")
+    edges = in_order.mapInArrow(_verified(edits, least), "u long, v long")
     return connected_components(edges)
 
 
 def removed_lines(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(rid, gone): sorted numbers of the lines of a text that are not the first of their class."""
     roots = line_classes(source, edits, least)
-    classed = _occurrences(source, least).drop("line").join(roots.hint("shuffle_hash"), "node", "left").select("rid", "id", "line_no", F.coalesce("root", "node").alias("root"))
+    lines = _occurrences(source, max(min(least, 1), least - edits)).withColumn("short", F.length("line") < least).drop("line")
+    # short lines count only where they match a longer one
+    classed = lines.join(roots.hint("shuffle_hash"), "node", "left").where("not short or root is not null").select("rid", "id", "line_no", F.coalesce("root", "node").alias("root"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "line_no")
     firsts = classed.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = classed.join(firsts, "root").where((F.col("first.rid") != F.col("rid")) | (F.col("first.line_no") != F.col("line_no")))
