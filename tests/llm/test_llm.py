@@ -439,6 +439,13 @@ def test_classifier(spark, table, empty):
     assert classifier.score(table, none).agg(F.min("score"), F.max("score")).first() == (0.5, 0.5)
 
 
+def test_every_word_of_two_holders_is_known():
+    text = " ".join(f"w{i}" for i in range(70_000))
+    hashed = classifier.hash_all([text, text + " once", "w5"])
+    words, vectors, holders = classifier._word_vectors(hashed.words, hashed.offsets)
+    assert len(words) == len(holders) == len(vectors) - 1 == 70_000
+
+
 def test_held_out_rows_are_not_learned(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (1, 1)], "doc_id long, quality int")

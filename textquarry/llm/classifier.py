@@ -28,7 +28,6 @@ from ._common import hash_words, mix, text_chunks
 DIMENSIONS = 64
 NONZERO = 4
 REACH = 2
-VOCABULARY = 60_000
 HIDDEN = 32
 SHAPE_DIMENSIONS = 32
 SHAPE_BUCKETS = 4096
@@ -154,8 +153,6 @@ def _word_vectors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     held = np.unique(where * np.int64(len(offsets)) + doc) // len(offsets)
     counts = np.bincount(held, minlength=len(words))
     keep = np.flatnonzero(counts >= 2)
-    if len(keep) > VOCABULARY:
-        keep = np.sort(keep[np.argsort(-counts[keep], kind="stable")[:VOCABULARY]])
     row = np.full(len(words), len(keep))
     row[keep] = np.arange(len(keep))
     row = row[where]  # of each occurrence; len(keep): not in the vocabulary
