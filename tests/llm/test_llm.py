@@ -513,6 +513,60 @@ def test_queries_and_pipeline(spark, duck_rows):
         assert duck_rows(queries.queries()[name](spark, data).toPandas()) == duck_rows(sql)
 
 
+def test_pipeline_by_brute_force(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    leak = prose(rng, 12, 5000)
+    texts = [prose(rng, rng.randrange(30, 90), 5000) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(100 + i, [*(x + "qqqq" if k % 12 == 5 else x for k, x in enumerate(t[:6])), *t[6:]]) for i, t in enumerate(texts[:6])]
+    rows += [(200, prose(rng, 20, 5000) + leak + prose(rng, 20, 5000)), (7, prose(rng, 40, 5000)), (7, prose(rng, 40, 5000)), (None, prose(rng, 40, 5000)), (None, prose(rng, 40, 5000))]
+    shared = "The very same line, seen in many places"
+    rows = [(i, " ".join(t)) for i, t in rows]
+    rows += [(300 + i, f"{shared}{'.' * (i % 3)}\n{' '.join(prose(rng, 30, 5000))}") for i in range(6)] + [(400, shared), (401, None), (402, "")]
+    rows += [(500, "p1 p2 p3 p4 p5 p6 p7 p8 p9"), (501, "p1 p2 p3 p4 p5 p6 p7 p8")]
+    spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(leak))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    low = {9, 19, 29}
+    monkeypatch.setattr(corpus_pipeline.classifier, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.classifier, "score", lambda docs, model, keep: docs.select(F.when(F.col("doc_id").isin(*low), 0.1).otherwise(0.9).alias("score"), F.struct(*keep).alias("kept")))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    left = [(i, t) for i, t in rows if i not in low]
+    seen, cleaned = [], []
+    for i, t in sorted(left, key=lambda r: (r[0] is None, r[0] or 0)):
+        kept = []
+        for x in (t or "").split("\n"):
+            if len(x) >= 20 and any(line_dedup.edit_distance_within(x, y, 2) <= 2 for y in seen):
+                continue
+            if len(x) >= 20:
+                seen.append(x)
+            kept.append(x)
+        out = "\n".join(kept)
+        if out == (t or "") or WORD.search(out):
+            cleaned.append((i, out))
+    sets, roots = brute_components(cleaned, 5, 4, 5)
+    first = {}
+    for n, (i, _) in enumerate(cleaned):  # in the order of ids
+        first.setdefault(roots[n] if sets[n] else (n, "empty"), n)
+    clean = [cleaned[n] for n in sorted(first.values())]
+    clean = [(i, t) for i, t in clean if " ".join(leak[:10]) not in t]
+    e = tokens.encoder(tokens.default_path())
+    want, got = Counter(), Counter()
+    for i, t in clean:
+        n = len(e.encode([t])[0]) + 1
+        want[(i, n)] += n
+    for r in pieces:
+        got[(r.doc_id, r.doc_tokens)] += r.length
+    assert got == want
+    crc = {(i, zlib.crc32(np.append(e.encode([t])[0], np.uint32(1)).astype("<u4").tobytes())) for i, t in clean}
+    assert all((r.doc_id, r.ids_crc32) in crc for r in pieces if r.length == r.doc_tokens)
+    ids = Counter(i for i, _ in clean)
+    assert ids[7] == 3 and ids[None] == 2 and not {9, 200, 400, 501} & set(ids) and len(clean) < len(cleaned) < len(left)
+
+
 @pytest.fixture(scope="module")
 def duck_rows():
     import os
