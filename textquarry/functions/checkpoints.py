@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage; ``spark.checkpoint.dir`` is used where it is set, a temporary folder only in local tests."""
+    """Cuts lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster, whose machines
+    don't share one, it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
