@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows below which a side may be broadcast; callers count first.
-BROADCAST_ROWS = 2_000_000
+from textquarry.functions.checkpoints import checkpoint
 
-#: Bytes of text hashed in one go by a Python worker.
-CHUNK_BYTES = 4 << 20
+#: Bytes below which a side may be broadcast; callers measure first.
+BROADCAST_BYTES = 64 << 20
+
+#: Bytes of text hashed in one go by a Python worker; a longer text is one piece.
+CHUNK_BYTES = 1 << 20
 
 _M64 = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15 | 1
@@ -24,31 +25,67 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder the cluster names.
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    ``spark.checkpoint.dir`` is read from the session; a temporary folder is set
-    only where the setting is absent, as in local tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
 
+def unused(columns: Iterable[str], base: str) -> str:
+    """A name like ``base`` that no column has, whatever its case."""
+    taken, name = {c.lower() for c in columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
-    """Adds a row id that keeps repeated and null keys apart.
 
-    The id is a function of partition and position, so the input has to be
-    replayable: a table scan, or something written or checkpointed before.
+#: Plan nodes that keep a row's partition and position from one run to the next.
+_STEADY = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "LogicalRDD", "LocalRelation"}
+
+
+def replayable(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a table or a checkpoint under filters and projections, else a checkpoint of it.
+
+    Row ids are functions of partition and position, and a plan with a shuffle may place
+    rows otherwise when it runs again.
     """
+    plan = df._jdf.queryExecution().analyzed()
+    nodes, steady = [plan], bool(plan.deterministic())
+    while nodes and steady:
+        node = nodes.pop()
+        steady = node.nodeName() in _STEADY
+        below = node.children()
+        nodes += [below.apply(i) for i in range(below.size())]
+    return df if steady else checkpoint(df)
+
+
+def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
+    """Adds a row id that keeps repeated and null keys apart; ``df`` has to be ``replayable``."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def no_rows(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def skew_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """``rows`` joined to ``keyed``, one row per key with the number of ``rows`` it will meet in column ``count``.
+
+    Keys that meet more than 1 / ``parts`` of all such rows, of which there can't be more than
+    ``parts``, are broadcast, so that their rows stay where they are; the others are shuffled.
+    ``keyed`` is read twice: give a checkpoint.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    bound = max(1, total // parts)
+    values = [c for c in keyed.columns if c not in on]
+    hot = keyed.where(F.col(count) > bound).select(*on, F.struct(*values).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), on, "left")
+    # rows of hot keys are dealt anywhere: their own hash takes the place of the key
+    here = F.when(F.col("__hot").isNull(), F.xxhash64(*on)).otherwise(F.xxhash64(*rows.columns, F.lit(1)))
+    cold = keyed.where(F.col(count) <= bound).select(F.xxhash64(*on).alias("__at"), *[F.col(c).alias(f"__key{i}") for i, c in enumerate(on)], F.struct(*values).alias("__cold"))
+    same = F.col("__hot").isNull() & (F.col("__here") == F.col("__at"))
+    for i, c in enumerate(on):
+        same &= F.col(c) == F.col(f"__key{i}")
+    met = marked.withColumn("__here", here).join(cold, same, "left")
+    met = met.select(*rows.columns, F.coalesce("__hot", "__cold").alias("__met"))
+    if how == "inner":
+        met = met.where("__met is not null")
+    return met.select(*rows.columns, *[F.col("__met")[c].alias(c) for c in values])
 
 
 # --------------------------------------------------------------------------- hashing
@@ -170,18 +207,19 @@ def signed(x: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- components
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (u, v longs), root the least node reachable.
 
     Alternating large-star and small-star rounds: each is a grouped minimum and an
     equi-join, every round ends in a reliable checkpoint, and nothing but a count and a
-    checksum reaches the driver.
+    checksum reaches the driver.  Rounds go on until nothing changes; they are logarithmic
+    in the longest path.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = checkpoint(e)
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

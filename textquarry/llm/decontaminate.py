@@ -1,11 +1,14 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The windows of the benchmark's items form a hash set that is broadcast (its size is
-counted first).  Each document is read once: its words are hashed per window start, the
-hashes are looked up, and each hit is verified word for word before it counts.
+The windows of the benchmark's items form a hash set; its table is broadcast where its measured bytes allow.
+Each document is read once: its words are hashed per window start, a bitmap of the set's hashes
+(of a fixed greatest size, so that it can be held by every task) sorts out nearly all starts
+inside the row, and only the windows that are left, each with its own words and nothing
+else of the document, are looked up and compared word for word.  Time and memory are linear in the
+document, however long it is.
 
 Nulls and empty texts have no words.  Repeated rows and repeated or null ids each keep
-their own result row.  Items with null ids still mark words, but aren't named.
+their own result row.  Items with null ids still mark words, but aren't named.  An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, with_row_id
+from ._common import BROADCAST_BYTES, quoted, replayable, with_row_id
 
 #: What lies between words once A-Z is lower-cased.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -22,25 +25,42 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone; the fast built-in serves where no other letter would change."""
-    return F.when(text.rlike(r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{IsUppercase}]]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    return F.when(text.rlike(r"[\p{Lu}\p{Lt}\p{IsUppercase}&&[^\x00-\x7F]]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
 def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), SEPARATOR), ""), F.array().cast("array<string>"))
 
 
-def _window_hash(words: Column, at: Column | int, n: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + j) for j in range(n)])
+#: Bits of the bitmap per distinct window, and at most; beyond that it lets more starts pass, and the result is the same.
+BITS_PER_WINDOW = 32
+MOST_BITS = 1 << 25
+
+
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _window_hash(hashes: Column, at: Column | int, n: int) -> Column:
+    return F.xxhash64(*[F.get(hashes, at + j) for j in range(n)])
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", ngram: int = 10) -> DataFrame:
     """(hash, len, window, items): the distinct windows; an item shorter than ``ngram`` is one window."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(quoted(item_col).cast("string").alias("item"), words_of(quoted(text_col)).alias("w")).where(F.size("w") > 0)
     windows = items.select("item", F.least(F.size("w"), F.lit(ngram)).alias("len"), "w").select(
         "item", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda p: F.slice("w", p, F.col("len")))).alias("window")
     )
     grouped = windows.groupBy("len", "window").agg(F.collect_set("item").alias("items"))
-    return grouped.select(_window_hash(F.col("window"), 0, ngram).alias("hash"), "len", "window", "items")
+    return grouped.select(_window_hash(_word_hashes(F.col("window")), 0, ngram).alias("hash"), "len", "window", "items")
+
+
+def _bitmap(windows: DataFrame, longs: int) -> DataFrame:
+    """One row, ``bits``: array<bigint> of ``longs`` elements with the bit of every window's hash set."""
+    bit = windows.select(F.pmod("hash", F.lit(longs * 64)).alias("slot"))
+    bit = bit.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("x"))
+    every = windows.sparkSession.range(longs, numPartitions=1).join(bit, "id", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("x", F.lit(0)).cast("bigint").alias("x")))), lambda r: r["x"]).alias("bits"))
 
 
 def contamination(
@@ -48,31 +68,39 @@ def contamination(
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, spans (word positions, end exclusive), items, and ``keep`` columns as struct ``kept``."""
     windows = benchmark_windows(benchmark, item_col, item_text_col, ngram)
-    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most ngram rows
-    lengths = sorted(sizes) or [ngram]
-    if sum(sizes.values()) <= BROADCAST_ROWS:
+    bytes_of = F.sum(F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 48 + 16 * (F.size("window") + F.size("items")))
+    sizes = windows.groupBy("len").agg(F.count("*").alias("n"), bytes_of.alias("bytes")).collect()  # at most ngram rows
+    lengths = sorted(r["len"] for r in sizes) or [ngram]
+    longs = min(MOST_BITS, 1 << max(12, (BITS_PER_WINDOW * sum(r["n"] for r in sizes)).bit_length())) // 64
+    bits = _bitmap(windows, longs)
+    if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES:
         windows = F.broadcast(windows)
-    rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept")))
-    rows = rows.select("__rid", "id", "kept", words_of(F.col("text")).alias("words"))
-    words = F.col("words")
-
-    def hashes(n: int) -> Column:
-        return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, n)]))
-
-    hashed = [hashes(n) for n in lengths]
-    # Position 0 of the exploded array stands for the document itself, so that one pass returns documents and hits.
-    starts = rows.select("__rid", "id", "kept", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), *hashed)).alias("pos", "hash"))
-    n = F.size("words")
-    which = F.expr(f"element_at(array({', '.join(map(str, lengths))}), cast(greatest(pos - 1, 0) div greatest(size(words), 1) as int) + 1)") if len(lengths) > 1 else F.lit(lengths[0])
-    start = F.when(F.col("pos") > 0, F.pmod(F.col("pos") - 1, F.greatest(n, F.lit(1)))) if len(lengths) > 1 else F.col("pos") - 1
-    starts = starts.withColumn("start", start)
-    on = (starts["hash"] == windows["hash"]) & (starts["pos"] > 0) & (windows["len"] == which) & (F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, windows["len"]) == windows["window"])
-    hits = starts.join(windows, on, "left").where((F.col("pos") == 0) | F.col("len").isNotNull())
-    per_doc = hits.select(
-        "__rid", "id", "kept", n.alias("n_words"), F.when(F.col("len").isNotNull(), F.struct(F.col("start").alias("start"), (F.col("start") + F.col("len")).alias("end"))).alias("span"), "items"
-    )
+    source = replayable(docs)
+    rows = with_row_id(source.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), F.struct(*[quoted(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept")))
+    rows = rows.select("__rid", "id", "kept", words_of(F.col("text")).alias("words"), bits.scalar().alias("bits"))
+    rows = rows.withColumn("hashes", _word_hashes(F.col("words")))
+
+    def set_in_bitmap(h: Column) -> Column:
+        slot = F.pmod(h, F.lit(longs * 64))
+        return F.call_function("getbit", F.get("bits", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def starts(n: int) -> Column:
+        whole = F.transform("hashes", lambda h, i: F.xxhash64(h, *[F.get("hashes", i + j) for j in range(1, n)]))
+        marked = F.transform(whole, lambda h, i: F.when(set_in_bitmap(h) & (i <= F.size("words") - n), i))
+        left = F.filter(marked, lambda i: i.isNotNull())
+        return F.transform(left, lambda i: F.struct(F.lit(None).cast(row_type).alias("row"), F.lit(n).alias("len"), i.alias("start"), F.slice("words", i + 1, n).alias("window")))
+
+    row_type = rows.select(F.struct("id", "kept", F.size("words").alias("n_words")).alias("row")).schema["row"].dataType
+    itself = F.struct(F.struct("id", "kept", F.size("words").alias("n_words")).alias("row"), F.lit(0).alias("len"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("window"))
+    # The first element stands for the document itself, so that one pass returns documents and hits.
+    found = rows.select("__rid", F.explode(F.concat(F.array(itself), *[starts(n) for n in lengths])).alias("x")).select("__rid", "x.*")
+    # a document's own row meets no window, as it has no words; its row id spreads it if the join is by shuffle
+    found = found.withColumn("hash", F.when(F.col("row").isNull(), _window_hash(_word_hashes(F.col("window")), 0, ngram)).otherwise(F.xxhash64("__rid")))
+    met = found.join(windows.withColumnsRenamed({"hash": "h", "window": "known", "len": "l"}), (F.col("hash") == F.col("h")) & (F.col("window") == F.col("known")), "left")
+    hits = met.where(F.col("row").isNotNull() | F.col("items").isNotNull())
+    per_doc = hits.select("__rid", "row", F.when(F.col("items").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end"))).alias("span"), "items")
     grouped = per_doc.groupBy("__rid").agg(
-        F.max("n_words").alias("n_words"), F.first(F.when(F.col("span").isNull(), F.struct("id", "kept")), ignorenulls=True).alias("row"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+        F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     covered = F.aggregate(
         "spans",
@@ -80,7 +108,7 @@ def contamination(
         lambda a, x: F.struct((a["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["reach"], x["start"]))).alias("hit"), F.greatest(a["reach"], x["end"]).alias("reach")),
         lambda a: a["hit"],
     )
-    return grouped.select(F.col("row.id").alias(id_col), F.col("n_words").cast("bigint").alias("n_words"), covered.cast("bigint").alias("n_hit"), "spans", "items", F.col("row.kept").alias("kept"))
+    return grouped.select(F.col("row.id").alias(id_col), F.col("row.n_words").cast("bigint").alias("n_words"), covered.cast("bigint").alias("n_hit"), "spans", "items", F.col("row.kept").alias("kept"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "documents", min_share: float = 0.0, **names) -> DataFrame:
@@ -95,7 +123,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = contamination(docs, benchmark, id_col, text_col, keep=tuple(columns), **names)
     if mode == "documents":
         return found.where(F.col("n_hit") <= F.lit(min_share) * F.col("n_words")).select("kept.*")
-    words = words_of(F.col(f"kept.`{text_col}`"))
-    left = F.filter("w", lambda w, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    out = found.withColumn("w", words).withColumn("left", F.when(F.col("n_hit") > 0, F.array_join(left, " ")).otherwise(F.col(f"kept.`{text_col}`")))
-    return out.select(*[F.col("left").alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in columns])
+    text = F.col("kept")[text_col]
+    hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("w") - 1), hit)
+    out = found.withColumn("w", words_of(text)).withColumn("left", F.when(F.col("n_hit") > 0, F.array_join(F.transform(left, lambda i: F.get("w", i)), " ")).otherwise(text))
+    return out.select(*[F.col("left").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in columns])
