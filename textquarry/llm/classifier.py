@@ -8,22 +8,25 @@ immediately repeated words and the logarithm of its length.  A word is known if
 training documents hold it, so that training and unseen documents are measured alike.  The network is plain numpy; a temperature, fitted on
 rows it was not trained on, calibrates its probabilities.
 
-Training uses at most ``sample_rows`` labelled rows, those of the least hash of the id (a
-documented bound).  Every document is scored, whole.  Null and empty texts are scored as texts
+Training uses at most ``sample_rows`` labelled rows, those of the least hash of the id, as long as
+their texts together stay within ``sample_bytes``; texts above a 64th of that are scored, but not
+learned from (documented bounds).  Texts are hashed by the executors and the model is fitted in one
+task, so that the driver holds the finished model alone.  Every document is scored, whole.  Null and empty texts are scored as texts
 without words.  Without labelled rows of both classes all scores are the share of label 1, or 0.5.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import hash_words, mix, text_chunks
+from ._common import hash_words, mix, quoted, text_chunks
 
 DIMENSIONS = 64
 NONZERO = 4
@@ -31,6 +34,8 @@ REACH = 2
 HIDDEN = 32
 SHAPE_DIMENSIONS = 32
 SHAPE_BUCKETS = 4096
+#: Words whose vectors are looked up at a time.
+SLICE = 1 << 15
 
 #: Bytes by class: A-Z, other letters (all bytes from 80 up too), digits, spaces, and marks as they are.
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -89,26 +94,27 @@ class Model:
         n = len(offsets) - 1
         counts = np.diff(offsets)
         pooled, known = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, np.float32)
-        if len(hashes) and len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = (self.words[at] == hashes) & (self.holders[at] >= 2 + own)
-            full = counts > 0
-            first = offsets[:-1][full]
-            known[full] = np.add.reduceat(hit.astype(np.float32), first)
-            at[~hit] = len(self.words)  # the zero vector
-            for d in range(0, DIMENSIONS, 16):  # slices bound the memory
-                pooled[full, d : d + 16] = np.add.reduceat(self.vectors[at, d : d + 16], first, axis=0)
+        shapes, distinct, again = np.zeros((n, SHAPE_DIMENSIONS), np.float32), np.zeros(n), np.zeros(n)
+        doc = np.repeat(np.arange(n), counts)
+        for lo in range(0, len(hashes), SLICE):  # slices bound the memory, within a long text too
+            part = slice(lo, lo + SLICE)
+            here, h = doc[part], hashes[part]
+            first = np.flatnonzero(np.diff(here, prepend=-1))
+            rows = here[first]
+            if len(self.words):
+                at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+                hit = (self.words[at] == h) & (self.holders[at] >= 2 + own)
+                at[~hit] = len(self.words)  # the zero vector
+                known[rows] += np.add.reduceat(hit.astype(np.float32), first)
+                pooled[rows] += np.add.reduceat(self.vectors[at], first, axis=0, dtype=np.float32)
+            shapes[rows] += np.add.reduceat(_shape_table()[(text.shapes[part] >> np.uint64(52)).astype(np.int64)], first, axis=0, dtype=np.float32)
         pooled /= np.maximum(known, 1)[:, None]
         norm = np.sqrt((pooled**2).sum(1))
         unknown = 1 - known / np.maximum(counts, 1)
-        shapes, distinct, again = np.zeros((n, SHAPE_DIMENSIONS), np.float32), np.zeros(n), np.zeros(n)
         if len(hashes):
             full = counts > 0
             first = offsets[:-1][full]
-            bucket = (text.shapes >> np.uint64(52)).astype(np.int64)
-            shapes[full] = np.add.reduceat(_shape_table()[bucket], first, axis=0)
-            doc = np.repeat(np.arange(n, dtype=np.uint64), counts)
-            key = np.sort(doc << np.uint64(40) | hashes >> np.uint64(24))
+            key = np.sort(doc.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
             new = np.ones(len(key), dtype=bool)
             new[1:] = key[1:] != key[:-1]
             distinct[full] = np.add.reduceat(new.astype(np.float64), first)
@@ -157,7 +163,7 @@ def _word_vectors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     row[keep] = np.arange(len(keep))
     row = row[where]  # of each occurrence; len(keep): not in the vocabulary
     vectors = np.zeros((len(keep) + 1, DIMENSIONS), np.float32)
-    index = index_vectors(words)
+    index = index_vectors(words)  # bytes
     for shift in [s for s in range(-REACH, REACH + 1) if s]:
         at = np.arange(max(0, -shift), len(hashes) - max(0, shift))
         at = at[doc[at] == doc[at + shift]] if len(at) else at
@@ -173,13 +179,16 @@ def _word_vectors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: int = 40) -> Model:
+    return train_hashed(hash_all(texts), labels, seed, epochs)
+
+
+def train_hashed(text: Hashed, labels: np.ndarray, seed: int = 7, epochs: int = 40) -> Model:
     """Fits word vectors, network and temperature; every fifth row calibrates only."""
     labels = np.asarray(labels, np.float64)
     empty = np.zeros(0)
     if len(labels) < 10 or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.5
         return Model(np.zeros(0, np.uint64), np.zeros((1, DIMENSIONS), np.float32), empty, empty, [], 1.0, share)
-    text = hash_all(texts)
     words, vectors, holders = _word_vectors(text.words, text.offsets)
     model = Model(words, vectors, np.zeros(1), np.ones(1), [], 1.0, None, holders)
     x = model.features(text, own=1).astype(np.float64)
@@ -216,23 +225,43 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: in
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_bytes: int = 64 << 20) -> DataFrame:
     """(text, label): the bounded sample; ids with crc32 modulo 4 of 2 are held out and never used."""
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label in (0, 1) and crc32(cast(cast(id as string) as binary)) % 4 <> 2")
+    usable = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("double").alias("label")).where("id is not null and label in (0, 1) and crc32(cast(cast(id as string) as binary)) % 4 <> 2")
     chosen = usable.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample_rows).select("text", "label")
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    some = texts.where(F.col("size") <= sample_bytes // 64).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample_rows)
+    # a window over sample_rows rows at most
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return some.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("text", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, seed: int = 7, sample_bytes: int = 64 << 20) -> Model:
+    """The model of the bounded sample; only the model comes to the driver."""
+    sample = training_sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_bytes)
 
+    def run(batches):
+        texts, sizes, marks = [], [], []
+        for batch in batches:
+            marks.append(batch.column(1).to_numpy())
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                h = hash_text(data, offsets)
+                texts.append((h.words, h.shapes))
+                sizes.append(np.diff(h.offsets))
+        none = [np.zeros(0, np.uint64)]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))]).astype(np.int64)
+        text = Hashed(np.concatenate([w for w, _ in texts] or none), np.concatenate([s for _, s in texts] or none), offsets)
+        del texts
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_hashed(text, np.concatenate(marks or [np.zeros(0)]), seed), 5)], pa.binary())], ["model"])
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, seed: int = 7) -> Model:
-    rows = training_sample(docs, labels, id_col, text_col, label_col, sample_rows).collect()  # at most sample_rows
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows]), seed)
+    made = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id and score of every row, and the ``keep`` columns as struct ``kept``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), *([F.struct(*map(quoted, keep)).alias("kept")] if keep else []))
     fields = [f for f in source.schema.fields if f.name != "text"]
 
     def run(batches):
