@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import checkpoint, skew_join
+
 
 def blocks(entries: DataFrame, ratio: Fraction | None = None) -> DataFrame:
     """(pivot, member), distinct, of (key, node, priority) entries; pivots are members of their own blocks.
@@ -71,9 +73,9 @@ def cells(members: DataFrame, weight: Column, limit: int) -> DataFrame:
 
     A block of p parts sends each row to p cells; blocks within the limit have one cell.
     """
-    sizes = members.groupBy("pivot").agg(F.ceil(F.sum(weight) / F.lit(limit)).cast("int").alias("parts"))
-    rows = members.join(sizes, "pivot")
+    sizes = checkpoint(members.groupBy("pivot").agg(F.ceil(F.sum(weight) / F.lit(limit)).cast("int").alias("parts"), F.count("*").alias("n_members")))
+    rows = skew_join(members, sizes, ["pivot"], "n_members")
     own = F.pmod(F.xxhash64("member", F.lit(23)), F.greatest("parts", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1))
     rows = rows.withColumn("own", own).withColumn("other", other)
-    return rows.select("*", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b")).drop("other", "parts")
+    return rows.select("*", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b")).drop("other", "parts", "n_members")

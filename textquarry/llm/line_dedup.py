@@ -7,21 +7,22 @@ that length.  Lines that share an entry are candidates; they are verified with a
 bit-parallel edit distance after cheap bounds.  Copies of a line are one line from the start, and
 lines join into classes by chains of matches.
 
-Lines shorter than ``least`` characters take part as partners of lines that aren't, and else
-not, even if equal; null texts and empty texts take no part.  The first
+Lines shorter than ``least`` characters match longer ones within the edits, and each other only
+if they are equal.  Lines without a word, null texts and empty texts take no part.  The first
 occurrence of a class, by id (nulls last), row and line number, stays; the others are removed.
-Lines are told apart by a 64-bit hash.  Repeated rows are occurrences like any other.
+Lines are told apart by a 64-bit hash.  Repeated rows are occurrences like any other.  Extra columns
+may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import blocks, cells, dealt, in_runs
-from ._common import Unions, checkpoint, connected_components, mix, powers, signed, with_row_id
+from ._common import Unions, checkpoint, connected_components, mix, powers, quoted, replayable, signed, skew_join, unused, with_row_id
 
 LEAST = 20
 EDITS = 2
@@ -189,18 +190,18 @@ def _verified(edits: int, least: int):
 # ----------------------------------------------------------------------------- operator
 
 
-def _occurrences(source: DataFrame, least: int) -> DataFrame:
-    """Every line of at least that many characters, wherever it occurs."""
+def _occurrences(source: DataFrame, least: int = 1) -> DataFrame:
+    """Every line with a word and at least that many characters, wherever it occurs."""
     lines = source.select("rid", "id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.where(F.length("line") >= least).select("rid", "id", "line_no", F.xxhash64("line").alias("node"), "line")
+    return lines.where(F.col("line").rlike(r"[^ \t-\r]") & (F.length("line") >= least)).select("rid", "id", "line_no", F.xxhash64("line").alias("node"), "line")
 
 
 def line_classes(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(node, root) of the lines that match another, different line; source: rid, id, text."""
     lines = _occurrences(source, max(min(least, 1), least - edits)).select("node", "line")
     found = checkpoint(blocks(_entries(lines, edits).withColumn("priority", F.lit(0))))
-    asked = lines.join(found.select(F.col("member").alias("node")).distinct().hint("shuffle_hash"), "node", "left_semi")
-    texts = asked.groupBy(F.col("node").alias("member")).agg(F.first("line").alias("line")).join(found.hint("shuffle_hash"), "member")
+    # copies of a line meet in the task that reads them, so a common one is a row per task
+    texts = lines.groupBy(F.col("node").alias("member")).agg(F.first("line").alias("line")).join(found.hint("shuffle_hash"), "member")
     celled = cells(texts, F.length("line"), CELL_CHARACTERS)
     in_order = dealt(celled.select("pivot", "part_a", "part_b", "own", "member", "line")).sortWithinPartitions("pivot", "part_a", "part_b")
     edges = in_order.mapInArrow(_verified(edits, least), "u long, v long")
@@ -210,17 +211,23 @@ def line_classes(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
 def removed_lines(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(rid, gone): sorted numbers of the lines of a text that are not the first of their class."""
     roots = line_classes(source, edits, least)
-    lines = _occurrences(source, max(min(least, 1), least - edits)).withColumn("short", F.length("line") < least).drop("line")
-    # short lines count only where they match a longer one
-    classed = lines.join(roots.hint("shuffle_hash"), "node", "left").where("not short or root is not null").select("rid", "id", "line_no", F.coalesce("root", "node").alias("root"))
+    lines = _occurrences(source).select("rid", "id", "line_no", "node")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "line_no")
-    firsts = classed.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = classed.join(firsts, "root").where((F.col("first.rid") != F.col("rid")) | (F.col("first.line_no") != F.col("line_no")))
+    nodes = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots.hint("shuffle_hash"), "node", "left")
+    nodes = checkpoint(nodes.where("n > 1 or root is not null"))
+    classes = nodes.where("root is not null").groupBy("root").agg(F.min("first").alias("stays"))
+    of_class = nodes.where("root is not null").join(classes, "root").select("node", "n", "stays.rid", "stays.line_no")
+    alone = nodes.where("root is null").select("node", "n", "first.rid", "first.line_no")
+    stays = checkpoint(of_class.unionByName(alone).withColumnsRenamed({"rid": "stays_in", "line_no": "stays_at"}))
+    gone = skew_join(lines.drop("id"), stays, ["node"], "n").where("stays_in <> rid or stays_at <> line_no")
     return gone.groupBy("rid").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
 
 
-def _left(text: Column, gone: Column) -> Column:
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+def _with_left(df: DataFrame, text: str, gone: str, lines: str, left: str) -> DataFrame:
+    """Adds the column ``left``, the text without the lines of the numbers ``gone``; linear in the text."""
+    df = df.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(quoted(text), "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return df.withColumn(left, F.when(F.col(gone).isNull(), quoted(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")))
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, drop_emptied: bool = False) -> DataFrame:
@@ -228,18 +235,21 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``drop_emptied`` drops rows that lost lines and have no word left; else all rows stay.
     """
-    source = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
-    gone = removed_lines(source, edits, least)
-    whole = with_row_id(docs, "__rid").join(gone.select(F.col("rid").alias("__rid"), F.col("gone").alias("__gone")).hint("shuffle_hash"), "__rid", "left")
+    rid, gone, lines, left = (unused(docs.columns, f"__{x}") for x in ("rid", "gone", "lines", "left"))
+    rows = with_row_id(replayable(docs), rid)
+    found = removed_lines(rows.select(F.col(rid).alias("rid"), quoted(id_col).alias("id"), quoted(text_col).alias("text")), edits, least)
+    whole = rows.join(found.select(F.col("rid").alias(rid), F.col("gone").alias(gone)).hint("shuffle_hash"), rid, "left")
+    whole = _with_left(whole, text_col, gone, lines, left)
     if drop_emptied:
-        whole = whole.where(F.col("__gone").isNull() | _left(F.col(f"`{text_col}`"), F.col("__gone")).rlike(r"[^ \t-\r]"))
-    return whole.select(*[_left(F.col(f"`{c}`"), F.col("__gone")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+        whole = whole.where(F.col(gone).isNull() | F.col(left).rlike(r"[^ \t-\r]"))
+    return whole.select(*[F.col(left).alias(c) if c == text_col else quoted(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """One row per document: id, n_lines, removed (numbers of the lines taken out) and left, the text that stays."""
-    source = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
+    source = with_row_id(replayable(docs).select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "rid")
     whole = source.join(removed_lines(source, edits, least).hint("shuffle_hash"), "rid", "left")
+    whole = _with_left(whole, "text", "gone", "lines", "left")
     return whole.select(
-        F.col("id").alias(id_col), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"), _left(F.col("text"), F.col("gone")).alias("left")
+        F.col("id").alias(id_col), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"), "left"
     )
