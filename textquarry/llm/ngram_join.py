@@ -2,15 +2,19 @@
 
 A document is its set of distinct k-word shingles.  Sets that are equal are one class from the
 start.  Shingles are ordered by class, rare before frequent, then by hash; the class comes
-from counts over all documents in a table of fixed size, and a document may miss at most
-n - ceil(t n) of its shingles in any partner.  So linked documents share
+from counts over all documents in a table of fixed size.  A document misses at most
+n - ceil(t n) of its shingles in any partner, and the two differ in at most
+d = (1 - t) / (1 + t) (n + n / t) shingles.  So linked documents share
 
 * a rare shingle within the first n - ceil(t n) + 1 of each, or
-* only frequent ones, and then, prefixes extended by one, a pair of frequent shingles.
-
-Rare shingles are indexed singly, frequent ones by pairs (singly again for very long sets,
-whose pairs would be too many; the two forms overlap in size, so no pair of
-documents falls between them).  Blocks of candidates are thinned by a lower bound on the
+* only frequent ones.  Their d' differences (d without the rare shingles) break at most 2 d' pairs of
+  neighbours in the order, and shift others by at most d' places; so they share a
+  pair of neighbours within the first 2 d' + 2 frequent shingles of each.
+
+Rare shingles are indexed singly, frequent ones by pairs of neighbours in the extended prefix, so
+the entries are linear in the set, however large it is.  (Sets of less than four shingles or so, where
+the count of pairs proves nothing, index frequent shingles singly; the two forms overlap in size, so no
+pair of documents falls between them.)  Blocks of candidates are thinned by a lower bound on the
 symmetric difference and then verified on the whole texts.  Verified links are reduced to
 a spanning forest inside each cell, and components are found by joins.
 
@@ -30,13 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import blocks, cells, dealt, in_runs
-from ._common import Unions, checkpoint, connected_components, gram_hashes, hash_words, mix, signed, text_chunks, with_row_id
+from ._common import Unions, checkpoint, connected_components, gram_hashes, hash_words, mix, quoted, replayable, signed, text_chunks, unused, with_row_id
 
 COUNT_BITS = 16
 #: Slots of the smallest sketch; a set of n shingles has a power of two of at least n / 8 slots.
 SKETCH = 64
-#: Sets up to this size index frequent shingles by pairs; those from this size times the threshold on, singly.
-PAIRS_TO = 400
 CELL_SHINGLES = 1_000_000
 CELL_SKETCHES = 2048
 
@@ -64,11 +66,22 @@ def frequent_table(docs: DataFrame, k: int, factor: int = 4, least: int = 1000)
 
     def run(batches):
         counts = np.zeros(1 << COUNT_BITS, np.int64)
+        held, size = [], 0
+
+        def add():
+            nonlocal size
+            if held:
+                counts[:] += np.bincount(np.concatenate(held), minlength=len(counts))
+            held.clear()
+            size = 0
+
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
-                counts += np.bincount((s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)) if len(s) > 5000 else 0
-                if len(s) <= 5000:
-                    np.add.at(counts, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+                held.append((s >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
+                size += len(s)
+                if size > 200_000:
+                    add()
+        add()
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots])], ["slot", "n"])
 
@@ -93,11 +106,13 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> np.ndarray:
     left = miss - len(rare)  # how many of the frequent ones may be missing
     if left >= 0:
         f = s[often]
-        if n <= PAIRS_TO:
-            p = f[: left + 2]
-            i, j = np.triu_indices(len(p), 1)
-            keys.append(mix(p[i] * np.uint64(0xA24BAED4963EE407) + mix(p[j] + np.uint64(2))))
-        if n >= int(PAIRS_TO * t):
+        # two sets of at least ``least`` shingles share more than they differ, plus one
+        least = -((1 + t) // -(2 * t - 1)) if 2 * t > 1 else n + 1
+        if n >= least:
+            differ = int((1 - t) / (1 + t) * (n + n / t // 1)) - len(rare)
+            p = f[: 2 * max(0, differ) + 2]
+            keys.append(mix(p[:-1] * np.uint64(0xA24BAED4963EE407) + mix(p[1:] + np.uint64(2))))
+        if n * t < least:
             keys.append(mix(f[: left + 1] + np.uint64(3)))
     return np.concatenate(keys)
 
@@ -232,7 +247,7 @@ def _verified(k: int, t: Fraction):
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """One row per document: rid, id, n_shingles, class_id (least row of the documents with the same set), root (least row reachable, whatever the ids) and component_id (least id reachable)."""
-    source = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
+    source = with_row_id(replayable(docs).select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "rid")
     entries = checkpoint(_entries(source, k, frequent_table(source, k), threshold))
     classes = checkpoint(entries.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least")))
     reps = entries.drop("n").join(classes.select(F.col("rep").alias("rid"), "n").hint("shuffle_hash"), "rid")
@@ -255,9 +270,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``docs`` with one row of each component, that of the least id (ties: the first row); documents without words all stay."""
+    docs = replayable(docs)
     found = jaccard_components(docs, id_col, text_col, k, threshold)
     # by root, as component_id is no key: unrelated rows may share an id, and null ids name nothing
     grouped = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
-    first = grouped.select("first.rid")
-    first = first.unionByName(found.where("n_shingles = 0").select("rid"))
-    return with_row_id(docs, "__rid").join(first.withColumnRenamed("rid", "__rid").hint("shuffle_hash"), "__rid", "left_semi").drop("__rid")
+    first = grouped.select("first.rid").unionByName(found.where("n_shingles = 0").select("rid"))
+    rid = unused(docs.columns, "__rid")
+    return with_row_id(docs, rid).join(first.withColumnRenamed("rid", rid).hint("shuffle_hash"), rid, "left_semi").drop(rid)
