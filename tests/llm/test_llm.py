@@ -249,6 +249,53 @@ def test_packing(table, pairs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_pack_takes_every_capacity_into_account():
+    rng = random.Random(2)
+    lengths = [min(40_000, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(4000)]
+    pieces = packing.pack(lengths)
+    whole = sum(n // 2048 for n in lengths) + sum(n % 2048 > 0 for n in lengths)
+    assert len(pieces) - whole < 560  # cuts
+
+
+def test_what_a_group_leaves_over_goes_on():
+    rng = random.Random(3)
+    for _ in range(50):
+        lengths = [rng.randrange(1, 700) for _ in range(rng.randrange(1, 60))]
+        starts = [rng.randrange(50) for _ in lengths]
+        pieces, over = packing.pack_group(lengths, 256, starts=starts, last=False)
+        assert sum(x[2] for x in over) == sum(lengths) % 256 and len({x[0] for x in over}) == len(over)
+        for d, n in enumerate(lengths):
+            spans = sorted([(p[1], p[2]) for p in pieces if p[0] == d] + [(p[1], p[2]) for p in over if p[0] == d])
+            assert spans[0][0] == starts[d] and sum(x[1] for x in spans) == n and all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        load = Counter()
+        for p in pieces:
+            load[p[3]] += p[2]
+        assert set(load.values()) <= {256}
+
+
+def test_packing_leaves_few_short_sequences(spark, tmp_path):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(prose(rng, rng.randrange(1, 800)))) for i in range(400)], "doc_id long, text string")
+    df.repartition(32).write.parquet(str(tmp_path / "p"))
+    rows = packing.pack_documents(spark.read.parquet(str(tmp_path / "p")), group_tokens=20_000).collect()
+    load, start = Counter(), Counter()
+    for r in rows:
+        load[r.sequence_id] += len(r.ids) // 4
+        start[r.doc_id] += len(r.ids) // 4
+    assert all(start[r.doc_id] == r.doc_tokens for r in rows) and sum(n < 2048 for n in load.values()) <= 11
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import os
+
+    path = os.path.join(os.path.dirname(tokens.default_path()), "byte_bpe_50k.json")
+    e = tokens.Encoder(path)
+    texts = ["Hello  World 123\n", "  x", None, "DON'T"]
+    want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in e.encode(texts)] == want and e.lengths(texts).tolist() == [len(x) for x in want]
+    assert tokens.Encoder(tokens.default_path()).by_piece
+
+
 def test_pack_balances_cost():
     rng = random.Random(1)
     lengths = [rng.randrange(1, 5000) for _ in range(300)]

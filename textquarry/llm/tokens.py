@@ -1,7 +1,8 @@
 """Exact token ids of whole texts, by a cache over the pieces between ASCII spaces.
 
 The word-level vocabulary drops white space before it merges, so a text's ids are the ids
-of its space-separated pieces in order.  Each worker encodes a distinct piece once.
+of its space-separated pieces in order.  Each worker encodes a distinct piece once.  Whether a
+vocabulary is of that kind is tried on load; texts are encoded whole for any other.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ _CACHED_PIECES = 500_000
 #: Pieces without letters that normalisation could change in company, and without contractions.
 _PLAIN = re.compile(r"[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF.,!?;:()\[\]*#$%&|+=/_@-]+")
 _PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+_PROBES = ["The quick, brown fox; it's 12345 OLD.", "  two  spaces\nand\tlines ", "naïve Ünïcode ÇA 😀 中文字", "a-b_c/d+e=f (x) [y] #z @w 50% $9.99", "MiXeD CaSe don't we'll 'quoted' \"text\"", ""]
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -76,6 +78,9 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
+        self.by_piece = True
+        self.by_piece = all(a.tolist() == e.ids for a, e in zip(self.encode(_PROBES), self.tokenizer.encode_batch(_PROBES, add_special_tokens=False)))
+        self._reset()
 
     def _reset(self) -> None:
         self.codes, self.parts = _Codes(), _Codes()
@@ -134,10 +139,14 @@ class Encoder:
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         """Ids per text; null is empty."""
+        if not self.by_piece:
+            return np.array([len(x) for x in self.encode(texts)], np.int64)
         return np.array([int(self.of_piece.sizes[c].sum()) for c in self._numbers(texts)], np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids per text."""
+        if not self.by_piece:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         return [self.of_piece.take(c) for c in self._numbers(texts)]
 
 
