@@ -1,7 +1,9 @@
 """Personal data: regular expressions propose, checksums confirm, context words score.
 
-Kinds: email, ip, card (Luhn), phone, iban (mod 97) and ssn, which only counts beside a
-word that names it.  Every search is linear in the text, however long its runs of one
+Kinds: email, ip, card (Luhn), phone, iban (mod 97), ssn, key (well-known forms of access keys) and
+secret (a long token of mixed characters).  The base kinds, the first four, always stay in the result with
+their score; of the others a span counts if its score reaches ``LEAST_SCORE``, so a social security
+number or a bare token needs a word that names it nearby.  Every search is linear in the text, however long its runs of one
 character class are.  Offsets are code points, end exclusive.
 
 Null and empty texts give an empty list; each input row gives one result row.
@@ -16,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import quoted
+
 #: In the order of results; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "key", "secret")
 BASE = KINDS[:4]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,6 +32,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}|sk[-_][0-9A-Za-z_-]{20,100})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -41,9 +47,14 @@ CONTEXT = {
     "phone": {"phone", "tel", "telephone", "call", "mobile", "fax"},
     "iban": {"iban", "account", "bank", "transfer"},
     "ssn": {"ssn", "social", "security"},
+    "key": {"key", "token", "access", "api"},
+    "secret": {"token", "secret", "key", "apikey", "password", "passwd", "auth", "credential", "credentials", "bearer"},
 }
 #: Score before context; a checksum is strong evidence.
-START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "key": 0.9, "secret": 0.3}
+_NAMES = re.compile("|".join(sorted(CONTEXT["secret"])), re.I)
+#: What spans of the added kinds must score to count.
+LEAST_SCORE = 0.5
 WINDOW = 40
 BOOST = 0.25
 
@@ -69,6 +80,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mixed(token: str) -> bool:
+    """Whether a token looks drawn at random: digits and letters in turns, and many different characters."""
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
+    return turns >= len(token) // 6 and len(set(token)) >= 8
+
+
 def mod97(code: str) -> bool:
     code = code[4:] + code[:4]
     return int("".join(str(int(c, 36)) for c in code)) % 97 == 1
@@ -108,16 +125,16 @@ def _ibans(text: str):
                 break
 
 
-def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) by kind, then start."""
+def find_spans(text: str | None, least_score: float = LEAST_SCORE) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) by kind, then start; ``least_score`` binds the added kinds."""
     out: list[tuple[str, int, int, float]] = []
     if not text:
         return out
 
-    def add(kind: str, start: int, end: int, least: float = 0.0) -> None:
+    def add(kind: str, start: int, end: int) -> None:
         near = _WORD.findall(f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower())
         score = min(1.0, START_SCORE[kind] + (BOOST if CONTEXT[kind] & set(near) else 0.0))
-        if score >= least:
+        if kind in BASE or score >= least_score:
             out.append((kind, start, end, round(score, 2)))
 
     if "@" in text:
@@ -140,21 +157,29 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     for s, e in _ibans(text):
         add("iban", s, e)
     for m in _SSN.finditer(text):
-        add("ssn", m.start(), m.end(), least=0.5)
+        add("ssn", m.start(), m.end())
+    for m in _KEY.finditer(text):
+        add("key", m.start(), m.end())
+    if least_score > START_SCORE["secret"] and not _NAMES.search(text):
+        return out
+    known = {i for _, s, e, _ in out for i in (s, e)}
+    for m in _SECRET.finditer(text):
+        if m.start() not in known and m.end() not in known and mixed(m[0]):
+            add("secret", m.start(), m.end())
     return out
 
 
 _SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """One row per document: id and spans (kind, start, end, score)."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
         for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find_spans(t)] for t in batch.column(1).to_pylist()]
+            found = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find_spans(t, least_score)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, span)], ["id", "spans"])
 
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("spans", T._parse_datatype_string(_SPANS))])
@@ -178,7 +203,7 @@ def redact(docs: DataFrame, text_col: str = "text", least: float = 0.0) -> DataF
 
         return texts.map(one, na_action="ignore")
 
-    return docs.withColumn(text_col, cover(F.col(text_col)))
+    return docs.select(*[cover(quoted(c)).alias(c) if c == text_col else quoted(c) for c in docs.columns])
 
 
 def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:

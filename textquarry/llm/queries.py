@@ -96,7 +96,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"), F.round(F.array_max(F.transform("spans", lambda s: s["score"])), 2).alias("top_score"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
