@@ -17,6 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import checkpoint, quoted
+
+#: Rounds after which expectation maximisation is given up with an error.
+ROUNDS = 1000
 SPACE = r"[ \t-\r]+"
 
 
@@ -27,8 +31,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     positions, put equal windows side by side.  Only documents in which some hash
     occurs twice are sorted.  No limit on words or lines.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept"), text.alias("text"))
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    df = docs.select(quoted(id_col).alias("id"), F.struct(*[quoted(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept"), text.alias("text"))
     df = df.select("id", "kept", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.split("text", "\n").alias("all_lines"))
     count = lambda rx: F.length(F.regexp_replace("text", rx, "")).cast("bigint")
     df = df.select(
@@ -109,9 +113,12 @@ class LabelModel:
 
     def posterior(self, rules: list[str]) -> Column:
         """Probability of being good, of the columns of votes named as the rules."""
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for r in rules:
-            odds = odds + F.when(F.col(r) == -1, self.weight(r, -1)).when(F.col(r) == 1, self.weight(r, 1)).otherwise(0.0)
+        weights = [math.log(self.prior / (1 - self.prior)), *[self.weight(r, v) for r in rules for v in (-1, 0, 1)]]
+        # an array that is folded to one literal, so that the code generated for a round serves the next
+        held = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+        odds = F.get(held, F.lit(0))
+        for k, r in enumerate(rules):
+            odds = odds + F.get(held, F.col(r) + F.lit(3 * k + 2))
         return 1 / (1 + F.exp(-odds))
 
 
@@ -123,8 +130,8 @@ def first_guess(rules: list[str], prior: float = 0.85) -> LabelModel:
     return LabelModel(prior, chance)
 
 
-def fit(votes: DataFrame, rules: list[str], rounds: int = 12, strength: float = 0.1, false_alarms: float = 0.01) -> LabelModel:
-    """Expectation maximisation over the pattern counts of all documents.
+def fit(votes: DataFrame, rules: list[str], tolerance: float = 1e-4, strength: float = 0.1, false_alarms: float = 0.01) -> LabelModel:
+    """Expectation maximisation over the pattern counts of all documents, until no chance moves by more than ``tolerance``.
 
     ``strength``: weight of the first guess, as a share of the documents of each class; it
     keeps the classes from trading places.  ``false_alarms`` bounds how often a rule is taken
@@ -132,28 +139,29 @@ def fit(votes: DataFrame, rules: list[str], rounds: int = 12, strength: float =
     An empty table gives the first guess.
     """
     guess = model = first_guess(rules)
-    patterns = votes.groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1).persist()  # at most 3**rules rows
-    try:
-        for _ in range(rounds):
-            scored = patterns.withColumn("p", model.posterior(rules))
-            sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
-            for k, r in enumerate(rules):
-                for v in (-1, 0, 1):
-                    sums += [F.sum(F.when(F.col(r) == v, F.col("n") * F.col("p"))).alias(f"g{k}_{v + 1}"), F.sum(F.when(F.col(r) == v, F.col("n") * (1 - F.col("p")))).alias(f"b{k}_{v + 1}")]
-            got = scored.agg(*sums).first()  # one row
-            if not got["all"]:
-                break
-            good, bad = got["good"] or 0.0, got["all"] - (got["good"] or 0.0)
-            weight = strength * got["all"]
-            chance = {}
-            for k, r in enumerate(rules):
-                for v in (-1, 0, 1):
-                    chance[r, 1, v] = ((got[f"g{k}_{v + 1}"] or 0.0) + weight * guess.chance[r, 1, v]) / (good + weight)
-                    chance[r, 0, v] = ((got[f"b{k}_{v + 1}"] or 0.0) + weight * guess.chance[r, 0, v]) / (bad + weight)
-                chance[r, 1, -1] = min(chance[r, 1, -1], false_alarms)
-            model = LabelModel(min(0.99, max(0.01, good / got["all"])), chance)
-    finally:
-        patterns.unpersist()
+    patterns = checkpoint(votes.groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1))  # at most 3**rules rows
+    for _ in range(ROUNDS):
+        scored = patterns.withColumn("p", model.posterior(rules))
+        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
+        for k, r in enumerate(rules):
+            for v in (-1, 0, 1):
+                sums += [F.sum(F.when(F.col(r) == v, F.col("n") * F.col("p"))).alias(f"g{k}_{v + 1}"), F.sum(F.when(F.col(r) == v, F.col("n") * (1 - F.col("p")))).alias(f"b{k}_{v + 1}")]
+        got = scored.agg(*sums).first()  # one row
+        if not got["all"]:
+            break
+        good, bad = got["good"] or 0.0, got["all"] - (got["good"] or 0.0)
+        weight = strength * got["all"]
+        chance = {}
+        for k, r in enumerate(rules):
+            for v in (-1, 0, 1):
+                chance[r, 1, v] = ((got[f"g{k}_{v + 1}"] or 0.0) + weight * guess.chance[r, 1, v]) / (good + weight)
+                chance[r, 0, v] = ((got[f"b{k}_{v + 1}"] or 0.0) + weight * guess.chance[r, 0, v]) / (bad + weight)
+            chance[r, 1, -1] = min(chance[r, 1, -1], false_alarms)
+        before, model = model, LabelModel(min(0.99, max(0.01, good / got["all"])), chance)
+        if max(abs(chance[x] - before.chance[x]) for x in chance) <= tolerance:
+            break
+    else:
+        raise RuntimeError(f"the chances still moved after {ROUNDS} rounds")
     return model
 
 
@@ -161,7 +169,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, the measured counts, the votes, posterior, base_failed, kept_doc and the ``keep`` columns as struct ``kept``."""
     rules = default_rules() if rules is None else rules
     names = [f"vote_{r.name}" for r in rules]
-    measured = measure(docs, id_col, text_col, keep)
+    measured = checkpoint(measure(docs, id_col, text_col, keep))  # numbers, so that texts are measured once
     voted = measured.withColumns({n: r.vote for n, r in zip(names, rules)})
     model = fit(voted, names)
     scored = voted.withColumn("posterior", model.posterior(names))
