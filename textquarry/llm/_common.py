@@ -88,6 +88,25 @@ def skew_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, how:
     return met.select(*rows.columns, *[F.col("__met")[c].alias(c) for c in values])
 
 
+def bitmap(values: DataFrame, column: str, n: int, most_bits: int = 1 << 25, each: int = 32) -> tuple[Column, int]:
+    """A scalar subquery, array<bigint>, with a bit for each of about ``n`` distinct 64-bit values, and its number of bits.
+
+    At most ``most_bits``, so that every task can hold it; with more values it lets more pass ``in_bitmap``.
+    """
+    bits = min(most_bits, 1 << max(12, (each * n).bit_length()))
+    slots = values.select(F.pmod(column, F.lit(bits)).alias("slot"))
+    longs = slots.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("x"))
+    every = values.sparkSession.range(bits // 64, numPartitions=1).join(longs, "id", "left")
+    made = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("x", F.lit(0)).cast("bigint").alias("x")))), lambda r: r["x"]).alias("bits"))
+    return made.scalar(), bits
+
+
+def in_bitmap(value: Column, held: Column, bits: int) -> Column:
+    """Whether the bit of the value is set; true for all values the bitmap was made of, and for few others."""
+    slot = F.pmod(value, F.lit(bits))
+    return F.call_function("getbit", F.get(held, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 # --------------------------------------------------------------------------- hashing
 
 

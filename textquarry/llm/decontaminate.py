@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, quoted, replayable, with_row_id
+from ._common import BROADCAST_BYTES, bitmap, in_bitmap, quoted, replayable, with_row_id
 
 #: What lies between words once A-Z is lower-cased.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,11 +32,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), SEPARATOR), ""), F.array().cast("array<string>"))
 
 
-#: Bits of the bitmap per distinct window, and at most; beyond that it lets more starts pass, and the result is the same.
-BITS_PER_WINDOW = 32
-MOST_BITS = 1 << 25
-
-
 def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -55,14 +50,6 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return grouped.select(_window_hash(_word_hashes(F.col("window")), 0, ngram).alias("hash"), "len", "window", "items")
 
 
-def _bitmap(windows: DataFrame, longs: int) -> DataFrame:
-    """One row, ``bits``: array<bigint> of ``longs`` elements with the bit of every window's hash set."""
-    bit = windows.select(F.pmod("hash", F.lit(longs * 64)).alias("slot"))
-    bit = bit.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("x"))
-    every = windows.sparkSession.range(longs, numPartitions=1).join(bit, "id", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("x", F.lit(0)).cast("bigint").alias("x")))), lambda r: r["x"]).alias("bits"))
-
-
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = 10, keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -71,22 +58,17 @@ def contamination(
     bytes_of = F.sum(F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 48 + 16 * (F.size("window") + F.size("items")))
     sizes = windows.groupBy("len").agg(F.count("*").alias("n"), bytes_of.alias("bytes")).collect()  # at most ngram rows
     lengths = sorted(r["len"] for r in sizes) or [ngram]
-    longs = min(MOST_BITS, 1 << max(12, (BITS_PER_WINDOW * sum(r["n"] for r in sizes)).bit_length())) // 64
-    bits = _bitmap(windows, longs)
+    held, bits = bitmap(windows, "hash", sum(r["n"] for r in sizes))
     if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES:
         windows = F.broadcast(windows)
     source = replayable(docs)
     rows = with_row_id(source.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), F.struct(*[quoted(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept")))
-    rows = rows.select("__rid", "id", "kept", words_of(F.col("text")).alias("words"), bits.scalar().alias("bits"))
+    rows = rows.select("__rid", "id", "kept", words_of(F.col("text")).alias("words"), held.alias("bits"))
     rows = rows.withColumn("hashes", _word_hashes(F.col("words")))
 
-    def set_in_bitmap(h: Column) -> Column:
-        slot = F.pmod(h, F.lit(longs * 64))
-        return F.call_function("getbit", F.get("bits", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
-
     def starts(n: int) -> Column:
         whole = F.transform("hashes", lambda h, i: F.xxhash64(h, *[F.get("hashes", i + j) for j in range(1, n)]))
-        marked = F.transform(whole, lambda h, i: F.when(set_in_bitmap(h) & (i <= F.size("words") - n), i))
+        marked = F.transform(whole, lambda h, i: F.when(in_bitmap(h, F.col("bits"), bits) & (i <= F.size("words") - n), i))
         left = F.filter(marked, lambda i: i.isNotNull())
         return F.transform(left, lambda i: F.struct(F.lit(None).cast(row_type).alias("row"), F.lit(n).alias("len"), i.alias("start"), F.slice("words", i + 1, n).alias("window")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import blocks, cells, dealt, in_runs
-from ._common import Unions, checkpoint, connected_components, mix, powers, quoted, replayable, signed, skew_join, unused, with_row_id
+from ._common import Unions, bitmap, checkpoint, connected_components, in_bitmap, mix, powers, quoted, replayable, signed, skew_join, unused, with_row_id
 
 LEAST = 20
 EDITS = 2
@@ -200,8 +200,11 @@ def line_classes(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     """(node, root) of the lines that match another, different line; source: rid, id, text."""
     lines = _occurrences(source, max(min(least, 1), least - edits)).select("node", "line")
     found = checkpoint(blocks(_entries(lines, edits).withColumn("priority", F.lit(0))))
+    # most lines have no candidate and need not move; the bitmap only thins them, the join decides
+    members = found.select("member").distinct()
+    held, bits = bitmap(members, "member", members.count())
     # copies of a line meet in the task that reads them, so a common one is a row per task
-    texts = lines.groupBy(F.col("node").alias("member")).agg(F.first("line").alias("line")).join(found.hint("shuffle_hash"), "member")
+    texts = lines.where(in_bitmap(F.col("node"), held, bits)).groupBy(F.col("node").alias("member")).agg(F.first("line").alias("line")).join(found.hint("shuffle_hash"), "member")
     celled = cells(texts, F.length("line"), CELL_CHARACTERS)
     in_order = dealt(celled.select("pivot", "part_a", "part_b", "own", "member", "line")).sortWithinPartitions("pivot", "part_a", "part_b")
     edges = in_order.mapInArrow(_verified(edits, least), "u long, v long")
@@ -219,7 +222,8 @@ def removed_lines(source: DataFrame, edits: int = EDITS, least: int = LEAST) ->
     of_class = nodes.where("root is not null").join(classes, "root").select("node", "n", "stays.rid", "stays.line_no")
     alone = nodes.where("root is null").select("node", "n", "first.rid", "first.line_no")
     stays = checkpoint(of_class.unionByName(alone).withColumnsRenamed({"rid": "stays_in", "line_no": "stays_at"}))
-    gone = skew_join(lines.drop("id"), stays, ["node"], "n").where("stays_in <> rid or stays_at <> line_no")
+    held, bits = bitmap(stays, "node", stays.count())
+    gone = skew_join(lines.drop("id").where(in_bitmap(F.col("node"), held, bits)), stays, ["node"], "n").where("stays_in <> rid or stays_at <> line_no")
     return gone.groupBy("rid").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
 
 
