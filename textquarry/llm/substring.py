@@ -5,8 +5,9 @@ runs inside it; equal windows have equal anchors, so a shard that holds all wind
 an anchor decides about them alone.  Anchors that occur once can't belong to a repeated
 window and are dropped before any text moves.  For the others, the runs of windows that
 share an anchor (segments) are grouped, equal segments counted once with their multiplicity, and
-each shard builds the Burrows-Wheeler transform of its segments in a wavelet matrix.
-Segments are streamed through backward search, which yields the longest suffix that
+each shard builds the Burrows-Wheeler transform of its segments in a wavelet matrix with two-level ranks;
+the segments' words and multiplicities are not kept beside it, but for a sorted list of the suffixes that count twice.
+The documents' segments are streamed through backward search in batches, which yields the longest suffix that
 occurs twice or more; where that stops short of the segment's start, its other windows are searched
 one by one.  Anchors of very many segments are split: their windows are filed singly, under the
 hash of the whole window, so no shard has to hold one anchor's segments.
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpoint, gram_hashes, hash_words, mix, powers, signed, text_chunks, with_row_id
+from ._common import checkpoint, gram_hashes, hash_words, mix, powers, quoted, replayable, signed, skew_join, text_chunks, with_row_id
 
 GRAM = 8
 #: Words a shard's index should hold, and occurrences from which an anchor's windows are filed singly.
 SHARD_WORDS = 500_000
 HOT_ANCHOR = 50_000
+#: Words of 64 bits per block of ranks, and segments streamed at a time.
+BLOCK = 8
+STREAMED = 4096
 
 
 # ----------------------------------------------------------------------------- index
@@ -43,23 +47,25 @@ class WaveletMatrix:
     def __init__(self, sequence: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
         n = len(sequence)
-        self.words, self.ranks, self.zeros = [], [], []
+        self.words, self.ranks, self.steps, self.zeros = [], [], [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (sequence >> level & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             packed = np.append(packed, np.zeros(-len(packed) % 8 + 8, np.uint8)).view(np.uint64)
-            ranks = np.zeros(len(packed), np.int64)
-            np.cumsum(np.bitwise_count(packed[:-1]), out=ranks[1:])
+            before = np.zeros(len(packed), np.int64)
+            np.cumsum(np.bitwise_count(packed[:-1]), out=before[1:])
+            base = before[::BLOCK]
             self.words.append(packed)
-            self.ranks.append(ranks)
+            self.ranks.append(base.astype(np.uint32))  # ones before each block, and in a block before each word
+            self.steps.append((before - np.repeat(base, BLOCK)[: len(packed)]).astype(np.uint16))
             self.zeros.append(n - int(bit.sum()))
             sequence = np.concatenate([sequence[~bit], sequence[bit]])
 
     def descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the prefixes of length ``at`` end among the positions of ``symbols``, in the last level's order."""
-        for k, (words, ranks, zeros) in enumerate(zip(self.words, self.ranks, self.zeros)):
-            block = at >> 6
-            ones = ranks[block] + np.bitwise_count(words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for k, (words, ranks, steps, zeros) in enumerate(zip(self.words, self.ranks, self.steps, self.zeros)):
+            word = at >> 6
+            ones = ranks[word // BLOCK].astype(np.int64) + steps[word] + np.bitwise_count(words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
             at = np.where(symbols >> (self.levels - 1 - k) & 1, zeros + ones, at - ones)
         return at
 
@@ -86,41 +92,43 @@ class FMIndex:
 
     def __init__(self, numbers: np.ndarray, sizes: np.ndarray, counts: np.ndarray):
         """numbers: the segments' words one after the other, as numbers from 0; sizes: words per segment."""
-        words = numbers.astype(np.int64) + 1  # 0 separates
+        words = numbers.astype(np.int32) + 1  # 0 separates
         self.sigma = int(words.max()) + 1
-        self.starts = np.cumsum(sizes + 1) - sizes - 1
-        self.sizes = sizes
+        starts = np.cumsum(sizes + 1) - sizes - 1
         n = int(sizes.sum()) + len(sizes)
-        self.text = np.zeros(n, np.int64)
+        text = np.zeros(n, np.int32)
         inside = np.ones(n, bool)
-        inside[self.starts + sizes] = False
-        self.text[inside] = words
-        distinct = np.where(inside, self.text + len(sizes), 0)
+        inside[starts + sizes] = False
+        text[inside] = words
+        distinct = np.where(inside, text + len(sizes), 0)
         distinct[~inside] = np.arange(len(sizes))
         order = suffix_order(distinct, int(sizes.max()) + 1)
-        self.matrix = WaveletMatrix(self.text[order - 1], self.sigma)
+        self.matrix = WaveletMatrix(text[order - 1], self.sigma)
         every = np.arange(self.sigma)
-        self.base = self.matrix.descend(every, np.zeros(self.sigma, np.int64))
-        first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=self.sigma))])[:-1]
-        self.shift = first - self.base
-        weights = np.repeat(counts, sizes + 1)[order]
-        self.weight = np.concatenate([[0], np.cumsum(weights)])
+        first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma))])[:-1]
+        self.shift = first - self.matrix.descend(every, np.zeros(self.sigma, np.int64))
+        # twice or more is all that is asked, so a multiplicity above two counts as two
+        self.twice = np.flatnonzero(np.repeat(counts > 1, sizes + 1)[order]).astype(np.int32)
         self.n = n
 
+    def occurrences(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of the suffixes from lo to hi, those of a segment that occurs more than once counted twice."""
+        return hi - lo + np.searchsorted(self.twice, hi) - np.searchsorted(self.twice, lo)
+
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = self.matrix.descend(np.concatenate([symbols, symbols]), np.concatenate([lo, hi]))
         shift = self.shift[symbols]
         return both[: len(lo)] + shift, both[len(lo) :] + shift
 
-    def matched(self, ends: np.ndarray, lengths: np.ndarray, least: int = 2) -> np.ndarray:
-        """For each run of ``lengths`` words before ``ends``: how many of its last words occur ``least`` times in all."""
+    def matched(self, streamed: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each run of ``lengths`` words of ``streamed`` before ``ends``: how many of its last words occur twice in all."""
         out = np.zeros(len(ends), np.int64)
         live = np.flatnonzero(lengths > 0)
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n)
         step = 0
         while len(live):
-            lo, hi = self.extend(self.text[ends[live] - 1 - step], lo, hi)
-            ok = self.weight[hi] - self.weight[lo] >= least
+            lo, hi = self.extend(streamed[ends[live] - 1 - step].astype(np.int64) + 1, lo, hi)
+            ok = self.occurrences(lo, hi) >= 2
             step += 1
             out[live[ok]] = step
             ok &= lengths[live] > step
@@ -131,20 +139,24 @@ class FMIndex:
 def repeated_spans(numbers: np.ndarray, sizes: np.ndarray, counts: np.ndarray, window: int) -> list[list[int]]:
     """Per segment, the merged word spans [a0, b0, a1, b1, ...] covered by windows that occur twice or more."""
     index = FMIndex(numbers, sizes, counts)
-    ends = index.starts + index.sizes
-    suffix = index.matched(ends, index.sizes)
-    full = suffix == index.sizes
-    out: list[list[int]] = [[0, int(n)] if f else [] for n, f in zip(index.sizes, full)]
+    stops = np.cumsum(sizes)
+    return [x for lo in range(0, len(sizes), STREAMED) for x in _streamed_spans(index, numbers, stops[lo : lo + STREAMED], sizes[lo : lo + STREAMED], window)]
+
+
+def _streamed_spans(index: FMIndex, numbers: np.ndarray, ends: np.ndarray, sizes: np.ndarray, window: int) -> list[list[int]]:
+    suffix = index.matched(numbers, ends, sizes)
+    full = suffix == sizes
+    out: list[list[int]] = [[0, int(n)] if f else [] for n, f in zip(sizes, full)]
     part = np.flatnonzero(~full)
     if not len(part):
         return out
-    n_windows = index.sizes[part] - window + 1
+    n_windows = sizes[part] - window + 1
     owner = np.repeat(part, n_windows)
     start = np.arange(int(n_windows.sum())) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    known = start >= index.sizes[owner] - suffix[owner]  # inside the suffix that repeats
+    known = start >= sizes[owner] - suffix[owner]  # inside the suffix that repeats
     ask = np.flatnonzero(~known)
     good = known.copy()
-    good[ask] = index.matched(index.starts[owner[ask]] + start[ask] + window, np.full(len(ask), window)) == window
+    good[ask] = index.matched(numbers, (ends - sizes)[owner[ask]] + start[ask] + window, np.full(len(ask), window)) == window
     for i, a in zip(owner[good].tolist(), start[good].tolist()):
         spans = out[i]
         if spans and a <= spans[-1]:
@@ -260,7 +272,7 @@ def _search(window: int):
             sizes.append(np.diff(w.offsets))
         numbers = np.unique(np.concatenate(hashes), return_inverse=True)[1]
         spans = repeated_spans(numbers, np.concatenate(sizes), table.column("n").to_numpy(), window)
-        out = pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "spans": pa.array(spans, pa.list_(pa.int32()))})
+        out = pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "n": table.column("n"), "spans": pa.array(spans, pa.list_(pa.int32()))})
         return out.filter(pa.compute.greater(pa.compute.list_value_length(out["spans"]), 0))
 
     return run
@@ -268,7 +280,9 @@ def _search(window: int):
 
 def repeated_word_spans(source: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
     """(rid, spans) of the texts with repeated windows; spans: array<struct<a,b>> of word positions, unmerged.  source: rid, id, text, shuffled once by rid."""
-    counted = _anchor_rows(source, window, gram).withColumn("n", F.expr("sum(size(rids)) over (partition by anchor)")).where("n > 1")
+    rows = checkpoint(_anchor_rows(source, window, gram))
+    counts = checkpoint(rows.groupBy("anchor").agg(F.sum(F.size("rids")).alias("n"), F.count("*").alias("rows")).where("n > 1"))
+    counted = skew_join(rows, counts, ["anchor"], "rows")
     hits = counted.select("anchor", "n", F.explode("rids").alias("rid")).groupBy("rid").agg(F.collect_set("anchor").alias("wanted"), F.collect_set(F.when(F.col("n") > HOT_ANCHOR, F.col("anchor"))).alias("hot"))
     hits = checkpoint(hits)
     kept = hits.agg(F.sum(F.size("wanted"))).first()[0] or 0
@@ -276,15 +290,15 @@ def repeated_word_spans(source: DataFrame, window: int = 35, gram: int = GRAM) -
     held = source.join(hits.hint("shuffle_hash"), "rid")
     distinct = _segments(held, window, gram, True).groupBy("anchor", "s1", "s2").agg(F.count("*").alias("n"), F.first("words").alias("words"))
     sharded = distinct.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "s1", "s2", "n", "words")
-    found = sharded.groupBy("shard").applyInArrow(_search(window), "s1 long, s2 long, spans array<int>")
-    covered = _segments(held, window, gram, False).select("rid", "start", "s1", "s2").join(found, ["s1", "s2"])
+    found = checkpoint(sharded.groupBy("shard").applyInArrow(_search(window), "s1 long, s2 long, n long, spans array<int>"))
+    covered = skew_join(_segments(held, window, gram, False).select("rid", "start", "s1", "s2"), found, ["s1", "s2"], "n")
     pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda k: F.struct((F.get("spans", k * 2) + F.col("start")).alias("a"), (F.get("spans", k * 2 + 1) + F.col("start")).alias("b")))
     return covered.select("rid", F.explode(pairs).alias("span")).groupBy("rid").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = GRAM) -> DataFrame:
     """One row per document: id, n_words, n_removed and kept (the words left, joined by one space)."""
-    source = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
+    source = with_row_id(replayable(docs).select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "rid")
     spans = repeated_word_spans(source, window, gram)
     joined = source.join(spans.hint("shuffle_hash"), "rid", "left").select("rid", "id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
 
