@@ -171,12 +171,13 @@ def ddp_simhash_pairs(spark, d):
     return dedup.banded_pairs(dedup.simhash(_t(spark, d, "documents")))
 
 
-_N = 16
+_N = 128
 _PARAMS = ", ".join(f"({i}, {a}::hugeint, {b}::hugeint)" for i, (a, b) in enumerate(dedup.minhash_parameters(_N)))
 # the product needs more than 128 bits, so a is taken in two parts here too
-_MINHASH = f"""{_SHINGLES}, p(i, a, b) as (values {_PARAMS}), xs as (select distinct id, cast('0x' || substr(md5(s), 25, 8) as hugeint) x from sh),
+_SIGNATURES = f"""p(i, a, b) as (values {_PARAMS}), xs as (select distinct id, cast('0x' || substr(md5(s), 25, 8) as hugeint) x from sh),
 m as (select id, i, min((((a >> 30) * x % {dedup.PRIME} * 1073741824 % {dedup.PRIME}) + (a & 1073741823) * x + b) % {dedup.PRIME})::bigint v from xs, p group by all),
 sig as (select d.doc_id id, coalesce(v, list_resize([]::bigint[], {_N}, {dedup.PRIME})) signature from documents d left join (select id, list(v order by i) v from m group by id) g on g.id = d.doc_id)"""
+_MINHASH = f"{_SHINGLES}, {_SIGNATURES}"
 
 
 @query(f"with {_MINHASH} select id, array_to_string(signature, ',') signature from sig")
@@ -193,14 +194,31 @@ def ddp_minhash_pairs(spark, d):
     return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+# the stages replayed document by document: lists of earlier neighbours, then a recursion over the order of ids
+_STAGES = f"""with recursive {_SIMHASH}, {_SIGNATURES},
+exact as (select doc_id id, min(doc_id) over (partition by {_NORMAL}) first_id from documents),
+kept as (select id, row_number() over (order by id) k from exact where id = first_id),
+near as materialized (select b.k k, list(a.k) filter (bit_count(xor(x.simhash, y.simhash)) <= 3) s,
+  list(a.k) filter (len(list_filter(list_zip(p.signature, q.signature), lambda z: z[1] = z[2])) >= 0.8 * {_N}) m
+  from kept a join kept b on a.k < b.k join signed x on x.id = a.id join signed y on y.id = b.id join sig p on p.id = a.id join sig q on q.id = b.id group by b.k),
+every as materialized (select list(coalesce(s, []) order by kept.k) s, list(coalesce(m, []) order by kept.k) m, count(*) n from kept left join near using (k)),
+walk(k, st) as (select 0::bigint, []::varchar[] union all
+  select k + 1, list_append(st, case when len(list_filter(s[k + 1], lambda a: st[a] <> 'simhash')) > 0 then 'simhash' when len(list_filter(m[k + 1], lambda a: st[a] = 'unique')) > 0 then 'minhash' else 'unique' end)
+  from walk, every where k < n),
+stages as (select e.id, case when e.id <> e.first_id then 'exact' else (select st from walk order by k desc limit 1)[kept.k] end stage from exact e left join kept on kept.id = e.id)"""
+
+
+@query(f"{_STAGES} select id, stage from stages")
 def ddp_pipeline(spark, d):
     return dedup.pipeline(_t(spark, d, "documents"))
 
 
-@query()
+@query(
+    f"""{_STAGES} select count(*) input_count, count(*) filter (stage = 'unique') unique_count, count(*) filter (stage = 'exact') exact_removed, count(*) filter (stage = 'simhash') simhash_removed,
+    count(*) filter (stage = 'minhash') minhash_removed, case when count(*) = 0 then 0.0::double else count(*) filter (stage <> 'unique') / count(*)::double end duplicate_rate from stages"""
+)
 def ddp_report(spark, d):
-    return dedup.report(dedup.pipeline(_t(spark, d, "documents"), skip_minhash=True))
+    return dedup.report(dedup.pipeline(_t(spark, d, "documents")))
 
 
 @query(f"select conv_id, turn from conversations where {_NORMAL} not in (select {_NORMAL} from documents)")
