@@ -234,3 +234,89 @@ def test_explanations_logging_and_summary(spark, caplog):
     assert work() == 1 and observe.samples(spark).count() == 1
     report = spark.createDataFrame([("mrr", None, 0.5), ("recall", 5, 0.25)], "metric string, k int, value double")
     assert [r.line.split() for r in evaluate.summary(report).collect()] == [["MRR", "0.5000"], ["RECALL@5", "0.2500"]]
+
+
+def test_staged_dedup_takes_any_ids(spark):
+    words = [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}" for i in range(40)]
+    long = " ".join(words)
+    rows = [("b", long.replace(" ", "  ")), ("a", long), ("c", long.upper()), ("d", "something else entirely here"), ("d", "and another text of one id"), (None, "no id at all in this row"), (None, None), ("e", ""), ("f", "???")]
+    got = sorted((r.id or "", r.stage) for r in dedup.pipeline(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("", "exact"), ("", "unique"), ("a", "unique"), ("b", "exact"), ("c", "simhash"), ("d", "unique"), ("d", "unique"), ("e", "unique"), ("f", "simhash")]
+    assert dedup.pipeline(spark.createDataFrame([], "doc_id string, text string")).count() == 0
+
+
+def test_buckets_on_the_clock():
+    now = [0.0]
+    b = limiter.Bucket(2.0, 3, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    assert [b.acquire() for _ in range(4)] == [True, True, True, False] and b.throttle_rate() == 0.25
+    assert b.acquire_blocking() and now[0] == 0.5 and b.available_tokens() == 0.0
+    assert not b.acquire_blocking(100, timeout=1.0)
+    b.reset()
+    assert b.available_tokens() == 3
+    many = limiter.Buckets(1.0, 1)
+    many.register("x", 1.0, 2)
+    assert [many.acquire("x") for _ in range(2)] + [many.acquire("y"), many.acquire("y")] == [True, True, True, False]
+    assert many.statistics()["y"]["throttled"] == 1
+
+    @limiter.rate_limit(1000.0, 5)
+    def called(x):
+        return x + 1
+
+    assert called(1) == 2 and called.bucket.total == 1
+
+
+def test_vector_store_and_ingestion(spark, tmp_path):
+    path = str(tmp_path / "cases")
+    table = sinks.init_database(spark, path)
+    assert table.count() == 10 and set(table.columns) == {"id", "text", "embedding", "metadata", "version"}
+    sinks.add_case(spark, {"citation": "[2020] X 1", "title": "T", "text": "fresh words"}, path)
+    store = vector.get_vector_store(spark, path)
+    hit = store.search(vector.get_embeddings(["fresh words"]), 1).first()
+    assert hit["metadata"]["title"] == "T" and hit["id"].startswith("case_") and abs(hit["score"] - 1) < 1e-6
+    store.delete([hit["id"]])
+    assert store.rows().count() == 10
+    asked = spark.createDataFrame([(1, "contract breach")], "query_id int, query string")
+    found = vector.retrieve(asked, store.rows(), 3, 0.0, n_queries=1)
+    assert found.columns[:3] == ["query_id", "rank", "id"] and found.count() == 3
+    docs = spark.createDataFrame([("x", "one two three. " * 20, "T1"), ("y", "short", "T2")], "id string, text string, title string")
+    rows = {r.id: r for r in sinks.ingest(docs, 100, path=path).collect()}
+    assert rows["y"].title == "T2" and rows["x_0"].title == "T1" and rows["x_0"].chunk_start == 0 and rows["x_0"].total_chunks == len(rows) - 1
+    assert sinks.chunk_text("a b c", 3, 0) == ["a b", "c"]
+    calls = []
+
+    def fails_once(texts):
+        calls.append(1)
+        if len(calls) < 2:
+            raise OSError("busy")
+        return [[1.0]]
+
+    assert vector.retrying(fails_once, first_wait=0.0)(["x"]) == [[1.0]]
+
+
+def test_expanders_windows_and_fields(spark):
+    q = spark.createDataFrame([(1, "zeta rule")], "query_id int, query string")
+    r = expand.get_expander("synonym", per_term=1, vocabulary={"zeta": ["omega one", "omega two"]})(q).first()
+    assert r.expanded == "zeta rule omega one" and r.added == ["omega one"]
+    assert expand.get_expander("prf")(q).first().expanded == "zeta rule"
+    assert q.select(expand.all_terms(F.lit("Zeta  RULE x"))).first()[0] == ["zeta", "rule", "x"]
+    with pytest.raises(ValueError):
+        expand.get_expander("none")
+    kids = fusion.window_index(spark.createDataFrame([("p", "One. Two. Three. Four.")], "id string, text string"))
+    assert tuple(fusion.window_counts(kids).first()) == (1, 4)
+    lists = spark.createDataFrame([(1, 0, 1, "a", "first"), (1, 1, 1, "a", "second"), (1, 1, 2, "b", "only")], "query_id int, list_no int, rank int, id string, title string")
+    assert {r.id: r.title for r in rerank.rrf(lists).collect()} == {"a": "first", "b": "only"}
+    fused = {r.id: r.variant_hits for r in fusion.fuse_variants(lists.drop("title")).collect()}
+    assert fused == {"a": 2, "b": 1}
+    found = fusion.retrieve_variants(q, lambda asked: asked.select("query_id", F.lit(1).alias("rank"), F.lit("z").alias("id")))
+    assert found.first().id == "z" and found.first().variant_hits > 1
+
+
+def test_prometheus_kinds(spark):
+    import datetime
+
+    t = datetime.datetime(2020, 1, 1)
+    s = spark.createDataFrame([("hits.all", {"a": "b"}, 2.0, t), ("load", {}, 0.5, t), ("wait", {}, 30.0, t), ("wait", {}, 5.0, t)], "name string, labels map<string,string>, value double, ts timestamp")
+    kinds = spark.createDataFrame([("load", "gauge"), ("wait", "histogram")], "name string, kind string")
+    lines = [r.line for r in metrics.prometheus(s, kinds, 12.5, [10, 50]).collect()]
+    for want in ("# TYPE hits_all counter", 'hits_all{a="b"} 2.0', "# TYPE load gauge", "load 0.5", "# TYPE wait histogram", 'wait_bucket{le="10"} 1', 'wait_bucket{le="50"} 2', 'wait_bucket{le="+Inf"} 2', "wait_sum 35.0", "wait_count 2", "app_uptime_seconds 12.5"):
+        assert want in lines, (want, lines)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -26,28 +27,26 @@ def _heads() -> dict[str, str]:
     return out
 
 
+def _offers(token: str, vocabulary: dict[str, list[str]]) -> list[str]:
+    """What may be added for a token: its synonyms, then the entry it is a synonym of."""
+    if len(token) < 2 or token in _STOPS:
+        return []
+    head = _heads().get(token)
+    return list(dict.fromkeys([*vocabulary.get(token, []), *([head] if head in vocabulary else [])]))
+
+
 def add_synonyms(query: str, per_term: int = 2, vocabulary: dict[str, list[str]] | None = None) -> tuple[str, list[str]]:
     """The expanded query and the added synonyms; one whose words are all there already is passed over."""
-    vocabulary = fixed.SYNONYMS if vocabulary is None else vocabulary
+    known = fixed.SYNONYMS if vocabulary is None else vocabulary
     tokens = _TOKEN.findall(query.lower())
-    present, extra = set(tokens), []
-    for token in tokens:
-        if token in _STOPS or len(token) < 2:
-            continue
-        offered = list(vocabulary.get(token, []))
-        head = _heads().get(token)
-        if head in vocabulary and head not in offered:
-            offered.append(head)
-        left = per_term
-        for s in offered:
-            if not left:
-                break
-            words = _TOKEN.findall(s.lower())
-            if not present.issuperset(words):
-                extra.append(s)
-                present.update(words)
-                left -= 1
-    return (f"{query} {' '.join(extra)}".strip() if extra else query), extra
+    candidates = [(at, s, frozenset(_TOKEN.findall(s.lower()))) for at, t in enumerate(tokens) for s in _offers(t, known)]
+    present, taken, extra = set(tokens), Counter(), []
+    for at, s, words in candidates:
+        if taken[at] < per_term and not words <= present:
+            taken[at] += 1
+            present |= words
+            extra.append(s)
+    return " ".join([query, *extra]).strip() if extra else query, extra
 
 
 def synonyms_udf(per_term: int = 2, vocabulary: dict[str, list[str]] | None = None):
@@ -99,7 +98,29 @@ def feedback(queries: DataFrame, docs: DataFrame, **options) -> DataFrame:
 EXPANDERS = ("synonym", "acronym", "prf")
 
 
-def expand(queries: DataFrame, steps: list[str], docs: DataFrame | None = None, per_term: int = 2) -> DataFrame:
+def get_expander(name: str, **options):
+    """The named expander as a function of queries (query_id, query) that gives (query_id, expanded, added).
+
+    synonym: per_term, vocabulary; acronym: extra, keep_original; prf: docs and the options of ``feedback``.
+    """
+    if name == "synonym":
+        return lambda queries: queries.withColumn("x", synonyms_udf(**options)(F.col("query"))).select("query_id", "x.expanded", "x.added")
+    if name == "acronym":
+        return lambda queries: queries.withColumn("x", acronyms(F.col("query"), **options)).select("query_id", "x.expanded", "x.added")
+    if name != "prf":
+        raise ValueError(f"unknown expander {name!r}; one of {sorted(EXPANDERS)}")
+    docs = options.pop("docs", None)
+    if docs is None:  # nothing to learn from: queries stay as they are
+        return lambda queries: queries.select("query_id", F.col("query").alias("expanded"), F.array().cast("array<string>").alias("added"))
+    return lambda queries: feedback(queries.select("query_id", "query"), docs, **options).select("query_id", "expanded", "added")
+
+
+def all_terms(expanded: Column) -> Column:
+    """The words of an expanded query, lower-cased."""
+    return tx.split_words(F.lower(F.coalesce(expanded, F.lit(""))))
+
+
+def expand(queries: DataFrame, steps: list[str], docs: DataFrame | None = None, per_term: int = 2, vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
     """Applies the named expanders in turn: (query_id, original, expanded, added, steps)."""
     if not steps:
         raise ValueError("at least one expander is needed")
@@ -115,6 +136,6 @@ def expand(queries: DataFrame, steps: list[str], docs: DataFrame | None = None,
             got = feedback(state.select("query_id", "query"), docs).select("query_id", "expanded", F.col("added").alias("more"))
             state = state.join(got, "query_id").select("query_id", "original", F.col("expanded").alias("query"), F.array_union("added", "more").alias("added"))
         else:
-            got = (synonyms_udf(per_term)(F.col("query")) if s == "synonym" else acronyms(F.col("query"))).alias("x")
+            got = (synonyms_udf(per_term, vocabulary)(F.col("query")) if s == "synonym" else acronyms(F.col("query"))).alias("x")
             state = state.withColumn("x", got).select("query_id", "original", F.col("x.expanded").alias("query"), F.array_union("added", "x.added").alias("added"))
     return state.select("query_id", "original", F.col("query").alias("expanded"), F.array_sort("added").alias("added"), F.array(*[F.lit(s) for s in steps]).alias("steps"))

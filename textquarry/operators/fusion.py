@@ -20,6 +20,11 @@ def window_index(parents: DataFrame, window: int = 3, overlap: bool = True, id_c
     return rows.select(F.concat(F.col("parent_id").cast("string"), F.lit("_w"), F.col("i").cast("string")).alias("id"), F.array_join(F.slice("s", F.col("window_start") + 1, F.lit(window)), " ").alias("text"), "parent_id", "window_start")
 
 
+def window_counts(children: DataFrame) -> DataFrame:
+    """One row: parent_count and child_count of a window index; parents without a sentence have no windows."""
+    return children.agg(F.countDistinct("parent_id").alias("parent_count"), F.count("*").alias("child_count"))
+
+
 def fuse_windows(hits: DataFrame, children: DataFrame, top: int = 5) -> DataFrame:
     """Parents by the sum of their children's scores; hits: (query_id, pos, id, score); unknown children are ignored."""
     joined = hits.join(children.select("id", "parent_id"), "id")
@@ -55,7 +60,18 @@ def variants(queries: DataFrame, limit: int = 5, query_col: str = "query") -> Da
 
 def fuse_variants(lists: DataFrame, k: int = fixed.RRF_K, top: int = 10) -> DataFrame:
     """Fuses one ranked list per variant, (query_id, list_no, rank, id)."""
-    return rerank.rrf(lists, k, top, digits=None)
+    hits = lists.where("id is not null").groupBy("query_id", "id").agg(F.countDistinct("list_no").alias("variant_hits"))
+    return rerank.rrf(lists, k, top, digits=None).join(hits, ["query_id", "id"])
+
+
+def retrieve_variants(queries: DataFrame, retrieve, limit: int = 5, k: int = fixed.RRF_K, top: int = 10) -> DataFrame:
+    """Asks ``retrieve`` once with all variants of all queries (query_id, query), and fuses what it finds per query.
+
+    ``retrieve`` takes (query_id, query) and gives (query_id, rank, id).
+    """
+    asked = variants(queries, limit).select("query_id", F.posexplode("variants").alias("list_no", "query"))
+    found = retrieve(asked.select(F.struct("query_id", "list_no").alias("query_id"), "query"))
+    return fuse_variants(found.select("query_id.query_id", "query_id.list_no", "rank", "id"), k, top)
 
 
 def hypothesis(query: Column, domain: str = "legal") -> Column:

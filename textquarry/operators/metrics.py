@@ -40,13 +40,40 @@ def histogram_summary(samples: DataFrame, by: str = "name") -> DataFrame:
     return samples.groupBy(by).agg(F.count("*").alias("count"), F.round(F.sum("value"), 4).alias("sum"), F.round(F.avg("value"), 4).alias("avg")).withColumnRenamed(by, "name")
 
 
-def prometheus(samples: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """Text exposition, one line per row (line), of the counters of ``samples``; dots and dashes in names become underscores."""
-    c = counters(samples).withColumn("name", F.translate("name", ".-", "__"))
-    head = c.select(F.col("name"), F.lit(0).alias("part"), F.format_string("# TYPE %s counter", "name").alias("line")).distinct()
+def prometheus(samples: DataFrame, kinds: DataFrame | None = None, uptime_seconds: float | None = None, bounds: list[float] | None = None) -> DataFrame:
+    """Text exposition, one line per row: (name, part, line); by name and part the lines are in order within a kind's block.
+
+    kinds: (name, kind), kind one of counter, gauge, histogram; names it lacks are counters.  Dots and dashes in
+    names become underscores.
+    """
+    safe = F.translate("name", ".-", "__")
+    kind = F.lit("counter")
+    if kinds is not None:
+        samples = samples.join(F.broadcast(kinds.select("name", "kind")), "name", "left")
+        kind = F.coalesce("kind", F.lit("counter"))
+    samples = samples.withColumn("kind", kind)
+    number = lambda c: F.col(c).cast("string")
+    c = counters(samples.where("kind = 'counter'")).withColumn("name", safe)
     shown = F.when(F.col("labels") == "", F.col("name")).otherwise(F.concat("name", F.lit("{"), "labels", F.lit("}")))
-    body = c.select("name", F.lit(1).alias("part"), F.concat_ws(" ", shown, F.col("value").cast("string")).alias("line"))
-    return head.unionByName(body)
+    blocks = [c.select("name", F.lit(0).alias("part"), F.format_string("# TYPE %s counter", "name").alias("line")).distinct(), c.select("name", F.lit(1).alias("part"), F.concat_ws(" ", shown, number("value")).alias("line"))]
+    if kinds is not None:
+        g = gauges(samples.where("kind = 'gauge'")).withColumn("name", safe)
+        blocks += [g.select("name", F.lit(0).alias("part"), F.format_string("# TYPE %s gauge", "name").alias("line")), g.select("name", F.lit(1).alias("part"), F.concat_ws(" ", "name", number("value")).alias("line"))]
+        measured = samples.where("kind = 'histogram'")
+        h, sums = histogram(measured, bounds).withColumn("name", safe), histogram_summary(measured).withColumn("name", safe)
+        blocks += [
+            sums.select("name", F.lit(0).alias("part"), F.format_string("# TYPE %s histogram", "name").alias("line")),
+            h.select("name", F.lit(1).alias("part"), F.concat("name", F.lit('_bucket{le="'), "le", F.lit('"} '), number("count")).alias("line")),
+            sums.select("name", F.lit(2).alias("part"), F.concat("name", F.lit("_sum "), number("sum")).alias("line")),
+            sums.select("name", F.lit(3).alias("part"), F.concat("name", F.lit("_count "), number("count")).alias("line")),
+        ]
+    if uptime_seconds is not None:
+        text = ["# HELP app_uptime_seconds Application uptime in seconds", "# TYPE app_uptime_seconds gauge", f"app_uptime_seconds {uptime_seconds}"]
+        blocks.append(samples.sparkSession.createDataFrame([("app_uptime_seconds", i, t) for i, t in enumerate(text)], "name string, part int, line string"))
+    out = blocks[0]
+    for more in blocks[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def windowed(samples: DataFrame, size: str = "1 hour", late: str | None = None) -> DataFrame:

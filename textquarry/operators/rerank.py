@@ -132,20 +132,25 @@ def mmr(queries: DataFrame, candidates: DataFrame, trade_off: float = 0.5, top:
 
 
 def rrf(lists: DataFrame, k: int = fixed.RRF_K, top: int | None = None, digits: int | None = 8, group: str = "query_id") -> DataFrame:
-    """Reciprocal rank fusion of rows (query_id, list_no, rank, id[, weight]); null ids are skipped, ties go to the first seen."""
+    """Reciprocal rank fusion of rows (query_id, list_no, rank, id[, weight]); null ids are skipped, ties go to the first seen.
+
+    Further columns are those of the row in which an id is seen first.
+    """
     if k <= 0:
         raise ValueError("k is positive")
     weight = F.col("weight") if "weight" in lists.columns else F.lit(1.0)
     # the terms are added in order of the lists, so that the sum does not depend on the shuffle
     terms = F.array_sort(F.collect_list(F.struct("list_no", "rank", (weight / (k + F.col("rank"))).alias("x"))))
-    grouped = lists.where("id is not null").groupBy(group, "id").agg(terms.alias("t"))
+    extra = [c for c in lists.columns if c not in (group, "id", "list_no", "rank", "weight")]
+    seen = [F.min_by(F.struct(*extra), F.struct("list_no", "rank")).alias("seen")] if extra else []
+    grouped = lists.where("id is not null").groupBy(group, "id").agg(terms.alias("t"), *seen)
     score = F.aggregate("t", F.lit(0.0), lambda s, x: s + x["x"])
-    scored = grouped.select(group, "id", (F.round(score, digits) if digits is not None else score).alias("rrf_score"), F.get("t", F.lit(0)).alias("first"))
+    scored = grouped.select(group, "id", (F.round(score, digits) if digits is not None else score).alias("rrf_score"), F.get("t", F.lit(0)).alias("first"), *(["seen"] if extra else []))
     order = Window.partitionBy(group).orderBy(F.desc("rrf_score"), "first.list_no", "first.rank")
     out = scored.withColumn("rrf_rank", F.row_number().over(order))
     if top is not None:
         out = out.where(F.col("rrf_rank") <= top)
-    return out.select(group, "id", "rrf_score", "rrf_rank")
+    return out.select(group, "id", "rrf_score", "rrf_rank", *(["seen.*"] if extra else []))
 
 
 METHODS = {"tfidf": tfidf, "score": blended, "mmr": mmr, "bm25": bm25}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,11 +80,11 @@ def percent(score: Column) -> Column:
     return F.format_string("%.0f%%", score * 100)
 
 
-def format_results(hits: DataFrame) -> DataFrame:
+def format_results(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw hits (id, text, metadata map, score) with defaults for what metadata lacks."""
     m = lambda key, default: F.coalesce(F.col("metadata")[key], F.lit(default)).alias(key)
     return hits.select(
-        "id", m("title", "Untitled Case"), m("citation", "No citation"), m("court", "Unknown Court"), m("date", "Unknown Date"), m("category", "General"), "score", m("summary", ""), F.substring(F.coalesce("text", F.lit("")), 1, 2000).alias("excerpt"), F.lit("").alias("relevance_explanation")
+        *keep, "id", m("title", "Untitled Case"), m("citation", "No citation"), m("court", "Unknown Court"), m("date", "Unknown Date"), m("category", "General"), "score", m("summary", ""), F.substring(F.coalesce("text", F.lit("")), 1, 2000).alias("excerpt"), F.lit("").alias("relevance_explanation")
     )
 
 
@@ -113,8 +114,92 @@ def hashed_bag_of_words(texts: list[str], dimensions: int = 64) -> list[list[flo
     return out
 
 
+#: Embedding providers by name; ``register_provider`` adds one, a function of a list of texts.
+PROVIDERS: dict[str, Callable[[list[str]], list[list[float]]]] = {"local": hashed_bag_of_words}
+
+
+def register_provider(name: str, embed_fn: Callable[[list[str]], list[list[float]]]) -> None:
+    PROVIDERS[name] = embed_fn
+
+
+def provider(name: str = "local") -> Callable[[list[str]], list[list[float]]]:
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name!r}; one of {sorted(PROVIDERS)}")
+    return PROVIDERS[name]
+
+
+def retrying(call: Callable, attempts: int = 3, first_wait: float = 1.0, most_wait: float = 10.0) -> Callable:
+    """``call``, tried again after growing waits; the last failure is raised."""
+
+    def run(*args):
+        for left, wait in zip(range(attempts - 1, -1, -1), (min(most_wait, first_wait * 2**i) for i in range(attempts))):
+            try:
+                return call(*args)
+            except Exception:
+                if not left:
+                    raise
+                time.sleep(wait)
+
+    return run
+
+
+def get_embeddings(texts: list[str], model: str = "local") -> list[list[float]]:
+    """Vectors of a few texts, on the driver; tables go through ``embed``."""
+    return retrying(provider(model))(list(texts))
+
+
+class VectorTable:
+    """A vector table at a path: add, search, delete."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        from textquarry.sources import sinks
+
+        return sinks.latest(self.spark.read.parquet(self.path))
+
+    def add(self, rows: DataFrame) -> None:
+        """rows: id, text, embedding and any other columns, which become metadata."""
+        from textquarry.sources import sinks
+
+        sinks.append(sinks.as_table(rows), self.path)
+
+    def search(self, vectors: list[list[float]], k: int = 10, where: Column | None = None) -> DataFrame:
+        """(query_id, id, score, rank, text, metadata) for a few query vectors."""
+        asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_id long, query_vector array<double>")
+        table = self.rows()
+        return top_k(asked, table, k, where, n_queries=len(vectors)).join(table.select("id", "text", "metadata"), "id")
+
+    def delete(self, ids: list[str]) -> None:
+        """Rewrites the table without these ids, through a checkpoint of what stays."""
+        from textquarry.functions.checkpoints import checkpoint
+
+        checkpoint(self.rows().where(~F.col("id").isin(ids))).write.mode("overwrite").parquet(self.path)
+
+
+STORES = {"parquet": VectorTable}
+
+
+def get_vector_store(spark, path: str, kind: str = "parquet"):
+    """A store by kind; unknown kinds are taken for the default."""
+    return STORES.get(kind, VectorTable)(spark, path)
+
+
+def retrieve(queries: DataFrame, table: DataFrame, k: int = 10, threshold: float = 0.5, where: Column | None = None, embed_fn=None, n_queries: int | None = None) -> DataFrame:
+    """Text queries (query_id, query) against a vector table, whole: embed, filter, top 2k, threshold, format.
+
+    Columns: query_id, rank and those of ``format_results``; explanations are left to ``explain``.
+    """
+    asked = embed(queries, "query", "query_vector", embed_fn or hashed_bag_of_words).select("query_id", "query_vector")
+    hits = search(asked, table, k, threshold, where, n_queries=n_queries)
+    full = hits.join(table.select("id", "text", "metadata"), "id")
+    return format_results(full, keep=("query_id", "rank"))
+
+
 def embed(docs: DataFrame, text_col: str = "text", out_col: str = "embedding", embed_fn: Callable[[list[str]], list[list[float]]] = hashed_bag_of_words, batch: int = 32) -> DataFrame:
-    """Adds embeddings, by Arrow batches handed to ``embed_fn`` in slices of ``batch``."""
+    """Adds embeddings, by Arrow batches handed to ``embed_fn`` in slices of ``batch``; calls that fail are tried again."""
+    call = retrying(embed_fn)
 
     @F.pandas_udf("array<float>")
     def run(texts):
@@ -122,7 +207,7 @@ def embed(docs: DataFrame, text_col: str = "text", out_col: str = "embedding", e
 
         rows, values = texts.fillna("").tolist(), []
         for at in range(0, len(rows), batch):
-            values.extend(embed_fn(rows[at : at + batch]))
+            values.extend(call(rows[at : at + batch]))
         return pd.Series(values)
 
     return docs.withColumn(out_col, run(F.col(text_col)))
