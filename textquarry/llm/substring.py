@@ -27,15 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpoint, gram_hashes, hash_words, mix, powers, quoted, replayable, signed, skew_join, text_chunks, with_row_id
+from ._common import bitmap, checkpoint, gram_hashes, hash_words, in_bitmap, mix, powers, quoted, replayable, signed, skew_join, text_chunks, with_row_id
 
 GRAM = 8
 #: Words a shard's index should hold, and occurrences from which an anchor's windows are filed singly.
 SHARD_WORDS = 500_000
 HOT_ANCHOR = 50_000
-#: Words of 64 bits per block of ranks, and segments streamed at a time.
-BLOCK = 8
-STREAMED = 4096
+#: Words of 64 bits per block of ranks, as a power of two, and segments streamed at a time.
+BLOCK_BITS = 3
+STREAMED = 1 << 15
+MASKS = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 # ----------------------------------------------------------------------------- index
@@ -54,10 +55,10 @@ class WaveletMatrix:
             packed = np.append(packed, np.zeros(-len(packed) % 8 + 8, np.uint8)).view(np.uint64)
             before = np.zeros(len(packed), np.int64)
             np.cumsum(np.bitwise_count(packed[:-1]), out=before[1:])
-            base = before[::BLOCK]
+            base = before[:: 1 << BLOCK_BITS]
             self.words.append(packed)
             self.ranks.append(base.astype(np.uint32))  # ones before each block, and in a block before each word
-            self.steps.append((before - np.repeat(base, BLOCK)[: len(packed)]).astype(np.uint16))
+            self.steps.append((before - np.repeat(base, 1 << BLOCK_BITS)[: len(packed)]).astype(np.uint16))
             self.zeros.append(n - int(bit.sum()))
             sequence = np.concatenate([sequence[~bit], sequence[bit]])
 
@@ -65,7 +66,7 @@ class WaveletMatrix:
         """Where the prefixes of length ``at`` end among the positions of ``symbols``, in the last level's order."""
         for k, (words, ranks, steps, zeros) in enumerate(zip(self.words, self.ranks, self.steps, self.zeros)):
             word = at >> 6
-            ones = ranks[word // BLOCK].astype(np.int64) + steps[word] + np.bitwise_count(words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = ranks[word >> BLOCK_BITS].astype(np.int64) + steps[word] + np.bitwise_count(words[word] & MASKS[at & 63])
             at = np.where(symbols >> (self.levels - 1 - k) & 1, zeros + ones, at - ones)
         return at
 
@@ -280,9 +281,11 @@ def _search(window: int):
 
 def repeated_word_spans(source: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
     """(rid, spans) of the texts with repeated windows; spans: array<struct<a,b>> of word positions, unmerged.  source: rid, id, text, shuffled once by rid."""
-    rows = checkpoint(_anchor_rows(source, window, gram))
+    # counts first, so that only anchors that occur again move, thinned by a bitmap of bounded size
+    rows = _anchor_rows(source, window, gram)
     counts = checkpoint(rows.groupBy("anchor").agg(F.sum(F.size("rids")).alias("n"), F.count("*").alias("rows")).where("n > 1"))
-    counted = skew_join(rows, counts, ["anchor"], "rows")
+    marks, bits = bitmap(counts, "anchor", counts.count())
+    counted = skew_join(rows.where(in_bitmap(F.col("anchor"), marks, bits)), counts, ["anchor"], "rows")
     hits = counted.select("anchor", "n", F.explode("rids").alias("rid")).groupBy("rid").agg(F.collect_set("anchor").alias("wanted"), F.collect_set(F.when(F.col("n") > HOT_ANCHOR, F.col("anchor"))).alias("hot"))
     hits = checkpoint(hits)
     kept = hits.agg(F.sum(F.size("wanted"))).first()[0] or 0
