@@ -273,7 +273,7 @@ def _search(window: int):
             sizes.append(np.diff(w.offsets))
         numbers = np.unique(np.concatenate(hashes), return_inverse=True)[1]
         spans = repeated_spans(numbers, np.concatenate(sizes), table.column("n").to_numpy(), window)
-        out = pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "n": table.column("n"), "spans": pa.array(spans, pa.list_(pa.int32()))})
+        out = pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "spans": pa.array(spans, pa.list_(pa.int32()))})
         return out.filter(pa.compute.greater(pa.compute.list_value_length(out["spans"]), 0))
 
     return run
@@ -293,8 +293,9 @@ def repeated_word_spans(source: DataFrame, window: int = 35, gram: int = GRAM) -
     held = source.join(hits.hint("shuffle_hash"), "rid")
     distinct = _segments(held, window, gram, True).groupBy("anchor", "s1", "s2").agg(F.count("*").alias("n"), F.first("words").alias("words"))
     sharded = distinct.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "s1", "s2", "n", "words")
-    found = checkpoint(sharded.groupBy("shard").applyInArrow(_search(window), "s1 long, s2 long, n long, spans array<int>"))
-    covered = skew_join(_segments(held, window, gram, False).select("rid", "start", "s1", "s2"), found, ["s1", "s2"], "n")
+    found = sharded.groupBy("shard").applyInArrow(_search(window), "s1 long, s2 long, spans array<int>")
+    # one query with the shuffle of the texts in it once; a passage in very many places is narrow rows, left to adaptive skew joins
+    covered = _segments(held, window, gram, False).select("rid", "start", "s1", "s2").join(found, ["s1", "s2"])
     pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda k: F.struct((F.get("spans", k * 2) + F.col("start")).alias("a"), (F.get("spans", k * 2 + 1) + F.col("start")).alias("b")))
     return covered.select("rid", F.explode(pairs).alias("span")).groupBy("rid").agg(F.collect_set("span").alias("spans"))
 
