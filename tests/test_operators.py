@@ -320,3 +320,28 @@ def test_prometheus_kinds(spark):
     lines = [r.line for r in metrics.prometheus(s, kinds, 12.5, [10, 50]).collect()]
     for want in ("# TYPE hits_all counter", 'hits_all{a="b"} 2.0', "# TYPE load gauge", "load 0.5", "# TYPE wait histogram", 'wait_bucket{le="10"} 1', 'wait_bucket{le="50"} 2', 'wait_bucket{le="+Inf"} 2', "wait_sum 35.0", "wait_count 2", "app_uptime_seconds 12.5"):
         assert want in lines, (want, lines)
+
+
+def test_rerankers_with_a_shared_corpus(spark):
+    texts = ["breach of contract", "contract law and contract remedies", None, "", "weather report", "remedies remedies", "breach of contract", "unrelated words here", "weather weather contract"]
+    q = spark.createDataFrame([(1, "contract remedies"), (2, "nothing shared"), (3, None), (4, "weather breach weather")], "query_id int, query string")
+    c = spark.createDataFrame([(i, f"d{i}", t, float(i * 7 % 5)) for i, t in enumerate(texts)], "pos int, id string, text string, score double")
+    each = q.select("query_id").crossJoin(c)
+    for f in (rerank.tfidf, rerank.bm25, rerank.blended):
+        for top in (1, 4, 20):
+            got, want = (sorted(map(tuple, f(q, x, top=top).collect()), key=str) for x in (c, each))
+            assert got == want and len(got) == 4 * min(top, len(texts))
+    assert rerank.tfidf(q, c.limit(0), top=3).count() == 0
+    with pytest.raises(ValueError):
+        rerank.bm25(q, c)
+
+
+def test_compression_keeps_rows_apart(spark):
+    rows = [(1, "contract", "A contract binds. The weather is fine.", "x"), (1, "weather", "A contract binds. The weather is fine.", "y"), (2, "contract", None, "z"), (3, None, "One. Two. Three.", None)]
+    c = spark.createDataFrame(rows, "chunk_id int, query string, text string, compressor string").withColumn("a.b", F.lit(7))
+    got = {(r.chunk_id, r.text): r for r in compress.by_score(c.withColumnRenamed("compressor", "source")).collect()}
+    assert got[1, "A contract binds."].source == "x" and got[1, "The weather is fine."].source == "y" and got[2, ""].kept_sentences == 1
+    assert all(r["a.b"] == 7 and r.compressor == "sentence_score" for r in got.values())
+    assert {r.text for r in compress.by_keywords(c, window=0).collect()} == {"A contract binds.", "The weather is fine.", "", "One. Two."}
+    steps = compress.compress(c, ["keyword_window", "sentence_score"]).collect()
+    assert len(steps) == 4 and {r.pipeline_steps for r in steps} == {"keyword_window -> sentence_score"}

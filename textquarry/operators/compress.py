@@ -2,70 +2,107 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
 
 
-def _sentence_rows(chunks: DataFrame) -> DataFrame:
-    rows = chunks.select("chunk_id", "query", tx.compression_sentences(F.col("text")).alias("s"))
-    return rows.select("chunk_id", "query", F.size("s").alias("total"), F.posexplode("s").alias("i", "sentence"))
+_FOLDED = "struct<parts array<string>, kept_sentences int, total_sentences int, hit_count int>"
 
 
-def _joined(kept: DataFrame, chunks: DataFrame, counts: list[str], name: str) -> DataFrame:
-    grouped = kept.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]).alias("parts"), *[F.max(c).alias(c) for c in counts])
-    whole = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("original")).join(grouped, "chunk_id", "left")
-    made = F.array_join("parts", " ")
-    text = F.coalesce(F.when(made != "", made), F.col("original"))
-    return whole.select(
-        "chunk_id", text.alias("text"), *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in counts], F.lit(name).alias("compressor"), F.round(F.when(F.length("original") == 0, 1.0).otherwise(F.length(text) / F.length("original")), 3).alias("compression_ratio")
-    )
+def _scores(sentences: list[list[str]], query: list[str]) -> list[float]:
+    """The dot product takes idf once and the norms over the query's tokens with repeats, so scores can exceed 1."""
+    counts = [Counter(w) for w in sentences]
+    df = Counter(t for c in counts for t in c)
+    idf = {t: math.log(max(len(sentences), 1) / (n + 1)) + 1 for t, n in df.items()}
+    asked = Counter(query)
+    q_norm = math.sqrt(sum(n * idf.get(t, 1.0) ** 2 for t, n in asked.items()))
+    out = []
+    for c in counts:
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+        dot = sum(n * idf[t] for t, n in c.items() if t in asked)
+        out.append(dot / (norm * q_norm) if norm * q_norm > 0 else 0.0)
+    return out
+
+
+def _within(places: list[int], sentences: list[str], max_chars: int) -> list[int]:
+    """Places while the sentences before them take less than the budget; the last may run over it."""
+    used, kept = 0, []
+    for i in places:
+        if used >= max_chars:
+            break
+        kept.append(i)
+        used += len(sentences[i])
+    return kept
+
 
+def _carried(chunks: DataFrame, made: list[str]) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in chunks.columns if c not in ("query", "text", *made)]
 
-def sentence_scores(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, i, sentence, total, score).  The dot product takes idf once and the norms over the query's tokens with repeats, so scores can exceed 1."""
-    rows = _sentence_rows(chunks)
-    tokens = rows.select("chunk_id", "i", F.explode(tx.compression_tokens(F.col("sentence"))).alias("term")).groupBy("chunk_id", "i", "term").agg(F.count("*").alias("tf"))
-    totals = rows.groupBy("chunk_id").agg(F.max("total").alias("total"))
-    idf = tokens.groupBy("chunk_id", "term").agg(F.count("*").alias("df")).join(totals, "chunk_id").select("chunk_id", "term", (F.log(F.greatest("total", F.lit(1)) / (F.col("df") + 1)) + 1).alias("idf"))
-    q = chunks.select("chunk_id", F.explode(tx.compression_tokens(F.col("query"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("qtf"))
-    q = q.join(idf, ["chunk_id", "term"], "left").select("chunk_id", "term", "qtf", F.coalesce("idf", F.lit(1.0)).alias("qidf"))
-    q_norm = q.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qidf") * F.col("qidf"))).alias("qnorm"))
-    w = F.col("tf") * F.col("idf")
-    both = tokens.join(idf, ["chunk_id", "term"]).join(q.select("chunk_id", "term", F.lit(1).alias("asked")), ["chunk_id", "term"], "left")
-    sums = both.groupBy("chunk_id", "i").agg(F.sum(F.when(F.col("asked") == 1, w)).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
-    scored = sums.join(q_norm, "chunk_id").select("chunk_id", "i", F.when(F.col("norm") * F.col("qnorm") > 0, F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("qnorm"))).otherwise(0.0).alias("score"))
-    return rows.join(scored, ["chunk_id", "i"], "left").select("chunk_id", "i", "sentence", "total", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+def _folded(chunks: DataFrame, fold: Callable, counts: list[str], name: str) -> DataFrame:
+    """One fold per row and no shuffle: rows that share a chunk_id stay apart, and further columns are passed through.
+
+    A null or empty text is one empty sentence, with a ratio of 1; a null query has no words.  Very long texts are whole array
+    values, so a row must fit in a batch of the Arrow exchange.
+    """
+
+    @F.pandas_udf(_FOLDED)
+    def run(sentences, words, query):
+        import pandas as pd
+
+        rows = []
+        for s, w, q in zip(sentences, words, query):
+            s, w = ([], []) if s is None else (list(s), [list(x) for x in w])
+            parts, kept, hits = fold(s, w, [] if q is None else list(q)) if s else ([], 0, 0)
+            rows.append((parts, kept, len(s), hits))
+        return pd.DataFrame(rows, columns=["parts", "kept_sentences", "total_sentences", "hit_count"])
+
+    sentences = tx.compression_sentences(F.col("text"))
+    folded = run(sentences, F.transform(sentences, tx.compression_tokens), tx.compression_tokens(F.col("query")))
+    made = ["text", *counts, "compressor", "compression_ratio"]
+    original, joined = F.coalesce("text", F.lit("")), F.array_join("__x.parts", " ")
+    text = F.when(joined != "", joined).otherwise(original)
+    return chunks.withColumn("__x", folded).select(
+        *_carried(chunks, made), text.alias("text"), *[F.col(f"__x.{c}").alias(c) for c in counts], F.lit(name).alias("compressor"), F.round(F.when(F.length(original) == 0, 1.0).otherwise(F.length(text) / F.length(original)), 3).alias("compression_ratio")
+    )
 
 
 def by_score(chunks: DataFrame, max_chars: int = 600, min_score: float = 0.05, min_sentences: int = 1) -> DataFrame:
     """Eligible sentences in document order while the budget lasts; the last may run over it.  chunks: chunk_id, query, text."""
-    whole, best = Window.partitionBy("chunk_id"), Window.partitionBy("chunk_id").orderBy(F.desc("score"), "i")
-    s = sentence_scores(chunks).withColumn("good", F.col("score") >= min_score)
-    s = s.withColumn("n_good", F.sum(F.col("good").cast("int")).over(whole)).withColumn("place", F.row_number().over(best))
-    eligible = s.where(F.when(F.col("n_good") < min_sentences, F.col("place") <= min_sentences).otherwise(F.col("good")))
-    before = Window.partitionBy("chunk_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    kept = eligible.where(F.lit(True)).withColumn("used", F.coalesce(F.sum(F.length("sentence")).over(before), F.lit(0))).where(F.col("used") < max_chars)
-    kept = kept.withColumn("kept_sentences", F.count("*").over(whole)).select("chunk_id", "i", F.col("sentence").alias("part"), "kept_sentences", F.col("total").alias("total_sentences"))
-    return _joined(kept, chunks, ["kept_sentences", "total_sentences"], "sentence_score")
+
+    def fold(sentences, words, query):
+        scores = _scores(words, query)
+        eligible = [i for i, x in enumerate(scores) if x >= min_score]
+        if len(eligible) < min_sentences:
+            eligible = sorted(sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:min_sentences])
+        kept = _within(eligible, sentences, max_chars)
+        return [sentences[i] for i in kept], len(kept), 0
+
+    return _folded(chunks, fold, ["kept_sentences", "total_sentences"], "sentence_score")
 
 
 def by_keywords(chunks: DataFrame, window: int = 2, max_chars: int = 800) -> DataFrame:
-    """Sentences within ``window`` of one that shares a word with the query; gaps are marked, and no hit means the first two."""
-    s = _sentence_rows(chunks)
-    hit = F.arrays_overlap(tx.compression_tokens(F.col("sentence")), tx.compression_tokens(F.col("query"))).cast("int")
-    s = s.withColumn("hit", F.coalesce(hit, F.lit(0)))
-    whole, order = Window.partitionBy("chunk_id"), Window.partitionBy("chunk_id").orderBy("i")
-    s = s.withColumn("near", F.max("hit").over(order.rowsBetween(-window, window))).withColumn("hit_count", F.sum("hit").over(whole))
-    keep = s.where(F.when(F.col("hit_count") == 0, F.col("i") < 2).otherwise(F.col("near") == 1)).withColumn("kept_sentences", F.count("*").over(whole))
-    used = F.coalesce(F.sum(F.length("sentence")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = keep.withColumn("used", used).withColumn("last", F.lag("i").over(order)).where(F.col("used") < max_chars)
-    part = F.when(F.col("i") > F.col("last") + 1, F.concat(F.lit("... "), F.col("sentence"))).otherwise(F.col("sentence"))
-    kept = kept.select("chunk_id", "i", part.alias("part"), "kept_sentences", F.col("total").alias("total_sentences"), "hit_count")
-    return _joined(kept, chunks, ["kept_sentences", "total_sentences", "hit_count"], "keyword_window")
+    """Sentences within ``window`` of one that shares a word with the query; gaps are marked, and no hit means the first two.
+
+    ``kept_sentences`` counts what was chosen before the budget.
+    """
+
+    def fold(sentences, words, query):
+        asked = set(query)
+        hits = [i for i, w in enumerate(words) if not asked.isdisjoint(w)]
+        near = {j for i in hits for j in range(i - window, i + window + 1)} if hits else {0, 1}
+        chosen = [i for i in range(len(sentences)) if i in near]
+        kept = _within(chosen, sentences, max_chars)
+        parts = [f"... {sentences[i]}" if n and i > kept[n - 1] + 1 else sentences[i] for n, i in enumerate(kept)]
+        return parts, len(chosen), len(hits)
+
+    return _folded(chunks, fold, ["kept_sentences", "total_sentences", "hit_count"], "keyword_window")
 
 
 def by_model(chunks: DataFrame, ask: Callable[[str, str], str] | None = None, skip_if_under: int = 300) -> DataFrame:
@@ -88,7 +125,7 @@ def by_model(chunks: DataFrame, ask: Callable[[str, str], str] | None = None, sk
             out.append((t[:300] if reply in ("", "NONE") else reply, "llm"))
         return pd.DataFrame(out, columns=["text", "compressor"])
 
-    return chunks.select("chunk_id", run(F.col("query"), F.col("text")).alias("x")).select("chunk_id", "x.text", "x.compressor")
+    return chunks.withColumn("__x", run(F.col("query"), F.col("text"))).select(*_carried(chunks, ["compressor"]), "__x.text", "__x.compressor")
 
 
 METHODS = {"sentence_score": by_score, "keyword_window": by_keywords, "llm": by_model}
@@ -104,8 +141,7 @@ def compress(chunks: DataFrame, strategies: list[str]) -> DataFrame:
     """One strategy after the other, each on what the last left: (chunk_id, text, original_text, pipeline_steps)."""
     if not strategies:
         raise ValueError("at least one strategy is needed")
-    state = chunks.select("chunk_id", "query", "text")
+    state = chunks.select("chunk_id", "query", "text", F.col("text").alias("original_text"), F.col("query").alias("asked"))
     for s in strategies:
-        state = state.select("chunk_id", "query").join(get_compressor(s)(state).select("chunk_id", "text"), "chunk_id")
-    first = chunks.select("chunk_id", F.col("text").alias("original_text"))
-    return state.select("chunk_id", "text").join(first, "chunk_id").withColumn("pipeline_steps", F.lit(" -> ".join(strategies)))
+        state = get_compressor(s)(state).select("chunk_id", F.col("asked").alias("query"), "text", "original_text", "asked")
+    return state.select("chunk_id", "text", "original_text", F.lit(" -> ".join(strategies)).alias("pipeline_steps"))

@@ -1,7 +1,9 @@
 """Lexical and diversity-aware reranking of candidates, and rank fusion.
 
 Candidates are rows (query_id, pos, id, text, ...); ``pos`` is the input order and breaks ties.
-Queries are rows (query_id, query).  Everything is partitioned by query.
+Queries are rows (query_id, query).  Everything is partitioned by query.  Candidates without a
+query_id are a corpus that all queries share: it is tokenised once, only pairs that share a term are
+scored, and ``top`` must be given.  Rows with a null query_id or pos are left out.
 """
 
 from __future__ import annotations
@@ -18,10 +20,36 @@ from textquarry.functions.text import rerank_tokens
 _STOPS = frozenset(fixed.RERANK_STOPS)
 
 
+def _keys(candidates: DataFrame) -> list[str]:
+    return [c for c in ("query_id",) if c in candidates.columns]
+
+
+def _token_rows(candidates: DataFrame) -> DataFrame:
+    keys = [*_keys(candidates), "pos"]
+    return candidates.select(*keys, rerank_tokens(F.col("text")).alias("w")).select(*keys, F.size("w").alias("n"), F.explode("w").alias("term"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*[c for c in rows.columns]).agg(F.count("*").alias("tf"))
+
+
 def _tokens(candidates: DataFrame) -> DataFrame:
-    rows = candidates.select("query_id", "pos", rerank_tokens(F.col("text")).alias("w"))
-    rows = rows.select("query_id", "pos", F.size("w").alias("n"), F.explode("w").alias("term"))
-    return rows.groupBy("query_id", "pos", "n", "term").agg(F.count("*").alias("tf"))
+    return _counted(_token_rows(candidates))
+
+
+def _shortlist(queries: DataFrame, corpus: DataFrame, scored: DataFrame, score: str, top: int | None, keep: list[str], alone: Column | None = None) -> DataFrame:
+    """(query_id, pos, *keep, score): every pair that shares a term, and with each query the first ``top`` rows of the corpus by what they score without one.
+
+    Scores of shared terms are never negative, so no other row can be among a query's first ``top``.
+    """
+    if top is None:
+        raise ValueError("a shared corpus needs a top")
+    matched = scored.join(corpus.select("pos", *keep), "pos").select("query_id", "pos", *keep, score)
+    best = corpus.where("pos is not null").orderBy(*([alone.desc()] if alone is not None else []), "pos").limit(top)
+    rows = best.agg(F.collect_list(F.struct("pos", *keep)).alias("rows")).scalar()
+    filled = queries.where("query_id is not null").select("query_id", F.explode(rows).alias("r")).select("query_id", "r.*", F.lit(0.0).alias(score))
+    others = [F.first(c).alias(c) for c in keep]
+    return matched.unionByName(filled).groupBy("query_id", "pos").agg(*others, F.max(score).alias(score))
 
 
 def _query_tokens(queries: DataFrame) -> DataFrame:
@@ -40,6 +68,8 @@ def ranked(scored: DataFrame, method: str, score: Column, top: int | None, keep:
 
 def tfidf_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, pos, sim): cosine of tf-idf vectors; idf over the query's candidates alone, the query not counted."""
+    if not _keys(candidates):
+        return _shared_tfidf(queries, candidates)
     tf = _tokens(candidates)
     sizes = candidates.groupBy("query_id").agg(F.count("*").alias("docs"))
     idf = tf.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sizes, "query_id").select("query_id", "term", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
@@ -52,7 +82,21 @@ def tfidf_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.select("query_id", "pos").join(scored, ["query_id", "pos"], "left").select("query_id", "pos", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
+def _shared_tfidf(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, pos, sim) for pairs that share a term."""
+    tf = _tokens(corpus)
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((corpus.agg(F.count("*")).scalar() + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weighted = tf.join(idf, "term").select("pos", "term", (F.col("tf") / F.col("n") * F.col("idf")).alias("w"))
+    norms = weighted.groupBy("pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    q = _query_tokens(queries).join(idf, "term").select("query_id", "term", (F.col("qtf") / F.col("qn") * F.col("idf")).alias("qw"))
+    q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    dots = weighted.join(q, "term").groupBy("query_id", "pos").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dots.join(norms, "pos").join(q_norm, "query_id").select("query_id", "pos", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("sim"))
+
+
 def tfidf(queries: DataFrame, candidates: DataFrame, top: int | None = None) -> DataFrame:
+    if not _keys(candidates):
+        return ranked(_shortlist(queries, candidates, tfidf_scores(queries, candidates), "sim", top, ["id"]), "tfidf", F.round("sim", 6), top, ["id"])
     return ranked(candidates.join(tfidf_scores(queries, candidates), ["query_id", "pos"]), "tfidf", F.round("sim", 6), top, ["id"])
 
 
@@ -60,27 +104,40 @@ def blended(queries: DataFrame, candidates: DataFrame, alpha: float = 0.6, score
     """alpha times the min-max score plus the rest tf-idf; a maximum or range of exactly 0 counts as 1."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha lies in [0, 1]")
-    whole = Window.partitionBy("query_id")
+    method = f"score_blend(alpha={alpha})"
     s = F.coalesce(F.col(score_field).cast("double"), F.lit(0.0))
-    high = F.max(s).over(whole)
-    high, low = F.when(high == 0, 1.0).otherwise(high), F.min(s).over(whole)
-    spread = F.when(high - low == 0, 1.0).otherwise(high - low)
-    normal = candidates.withColumn("__norm", (s - low) / spread).join(tfidf_scores(queries, candidates), ["query_id", "pos"])
-    return ranked(normal, f"score_blend(alpha={alpha})", F.round(alpha * F.col("__norm") + (1 - alpha) * F.col("sim"), 6), top, ["id"])
+    raise_zero = lambda c: F.when(c == 0, 1.0).otherwise(c)
+    if not _keys(candidates):
+        high, low = raise_zero(candidates.agg(F.max(s)).scalar()), candidates.agg(F.min(s)).scalar()
+        normal = candidates.select("pos", "id", "text", ((s - low) / raise_zero(high - low)).alias("__norm"))
+        pairs = _shortlist(queries, normal, tfidf_scores(queries, normal), "sim", top, ["id", "__norm"], F.round(alpha * F.col("__norm"), 6))
+        return ranked(pairs, method, F.round(alpha * F.col("__norm") + (1 - alpha) * F.col("sim"), 6), top, ["id"])
+    ends = candidates.groupBy("query_id").agg(F.max(s).alias("__high"), F.min(s).alias("__low"))
+    high, low = raise_zero(F.col("__high")), F.col("__low")
+    normal = candidates.join(ends, "query_id").withColumn("__norm", (s - low) / raise_zero(high - low)).join(tfidf_scores(queries, candidates), ["query_id", "pos"])
+    return ranked(normal, method, F.round(alpha * F.col("__norm") + (1 - alpha) * F.col("sim"), 6), top, ["id"])
 
 
 def bm25(queries: DataFrame, candidates: DataFrame, k1: float = 1.5, b: float = 0.75, top: int | None = None) -> DataFrame:
     """Query terms count as often as the query holds them."""
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 is not negative and b lies in [0, 1]")
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    denominator = F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean"))
+    part = idf * F.col("tf") * (k1 + 1) / F.when(denominator == 0, 1.0).otherwise(denominator) * F.col("qtf")
+    if not _keys(candidates):
+        q = _query_tokens(queries).select("query_id", "term", "qtf")
+        tf = _counted(_token_rows(candidates).join(q.select("term").distinct(), "term"))
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        mean = candidates.agg(F.avg(F.size(rerank_tokens(F.col("text"))))).scalar()
+        sized = df.withColumn("docs", candidates.agg(F.count("*")).scalar()).withColumn("mean", F.when(mean == 0, 1.0).otherwise(mean))
+        scored = tf.join(sized, "term").join(q, "term").groupBy("query_id", "pos").agg(F.sum(part).alias("bm25"))
+        return ranked(_shortlist(queries, candidates, scored, "bm25", top, ["id"]), f"bm25(k1={k1},b={b})", F.round("bm25", 6), top, ["id"])
     lengths = candidates.select("query_id", "pos", F.size(rerank_tokens(F.col("text"))).alias("n"))
     sizes = lengths.groupBy("query_id").agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).withColumn("mean", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")))
     q = _query_tokens(queries).select("query_id", "term", "qtf")
     tf = _tokens(candidates).join(q, ["query_id", "term"])
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    denominator = F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean"))
-    part = idf * F.col("tf") * (k1 + 1) / F.when(denominator == 0, 1.0).otherwise(denominator) * F.col("qtf")
     scored = tf.join(df, ["query_id", "term"]).join(sizes, "query_id").groupBy("query_id", "pos").agg(F.sum(part).alias("bm25"))
     whole = candidates.join(scored, ["query_id", "pos"], "left")
     return ranked(whole, f"bm25(k1={k1},b={b})", F.round(F.coalesce("bm25", F.lit(0.0)), 6), top, ["id"])

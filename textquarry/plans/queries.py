@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import fixed
@@ -105,10 +105,10 @@ def _top(spark, d, which, k, where=None):
     return vector.top_k(q, v, k, where, id_col="vec_id", n_queries=q.count())
 
 
-@query(f"with {_VEC.format(which='vec_id = 0', where='label in (1, 3, 5, 7) and vec_id >= 10')} select query_id, id, round(score, 6) score, cast(rank as integer) rank, case when score >= 0.8 then 'high' when score >= 0.6 then 'medium' else 'low' end relevance from top where rank <= 10")
+@query(f"with {_VEC.format(which='vec_id % 20 = 0', where='label in (1, 3, 5, 7) and vec_id >= 10')} select query_id, id, round(score, 6) score, cast(rank as integer) rank, case when score >= 0.8 then 'high' when score >= 0.6 then 'medium' else 'low' end relevance from top where rank <= 10")
 def vec_topk(spark, d):
     where = vector.predicate({"$and": [{"label": {"$in": [1, 3, 5, 7]}}, {"vec_id": {"$gte": 10}}]})
-    return _top(spark, d, "vec_id = 0", 10, where).select("query_id", "id", F.round("score", 6).alias("score"), "rank", vector.relevance_class(F.col("score")).alias("relevance"))
+    return _top(spark, d, "vec_id % 20 = 0", 10, where).select("query_id", "id", F.round("score", 6).alias("score"), "rank", vector.relevance_class(F.col("score")).alias("relevance"))
 
 
 @query(f"with {_VEC.format(which='vec_id % 20 = 0', where='true')} select query_id, id, round(score, 6) score, cast(rank as integer) rank from top where rank <= 10")
@@ -271,44 +271,53 @@ def chk_sliding(spark, d):
 # -------------------------------------------------------------------------- reranking
 
 
+def _asked(spark, d):
+    return _t(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def _candidates(spark, d):
-    docs = _t(spark, d, "documents").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), "text", (F.col("n_chars") % 1000 / 1000).alias("score"))
-    first = _t(spark, d, "benchmark").orderBy("item_id").limit(1).select(F.lit(0).alias("query_id"), F.col("text").alias("query"))
-    return first, docs
+    """The queries, and all documents as a corpus that they share."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), "text", (F.col("n_chars") % 1000 / 1000).alias("score"))
+    return _asked(spark, d), docs
+
+
+def _of_queries(hits, corpus):
+    """Candidates per query: the rows of the corpus that (query_id, id) names."""
+    return corpus.join(F.broadcast(hits.select("query_id", "id")), "id")
 
 
-_RERANK = f"""qt as (select unnest({_RR('text')}) term from (select text from benchmark order by item_id limit 1)), qn as (select count(*) qn from qt), q as (select term, count(*) qtf from qt group by term),
+_RERANK = f"""ids as (select item_id query_id from benchmark where item_id % 20 = 0), qt as (select item_id query_id, unnest({_RR('text')}) term from benchmark where item_id % 20 = 0), qn as (select query_id, count(*) qn from qt group by query_id), q as (select query_id, term, count(*) qtf from qt group by all),
 dw as (select doc_id, n_chars, {_RR('text')} w from documents), big as (select count(*) n, case when avg(len(w)) = 0 then 1.0 else avg(len(w)) end mean, max(n_chars % 1000 / 1000.0) hi, min(n_chars % 1000 / 1000.0) lo from dw),
 tf as (select doc_id, len(w) dl, term, count(*) tf from (select doc_id, w, unnest(w) term from dw) group by all), df as (select term, count(*) df from tf group by term),
 idf as (select term, ln((n + 1) / (df + 1)::double) + 1 idf from df, big), wt as (select doc_id, term, tf / dl::double * idf w from tf join idf using (term)),
-qw as (select term, qtf / qn::double * idf qw from q join idf using (term), qn),
-sim as (select doc_id, coalesce(sum(w * qw) / nullif(sqrt(sum(w * w)) * (select sqrt(sum(qw * qw)) from qw), 0), 0) sim from wt left join qw using (term) group by doc_id),
-sims as (select d.doc_id id, n_chars, coalesce(sim, 0) sim from documents d left join sim using (doc_id)),
-bm as (select doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean)) * qtf) s from tf join q using (term) join df using (term), big group by doc_id),
-bms as (select d.doc_id id, coalesce(s, 0) s from documents d left join bm using (doc_id)),
-blend as (select id, round(0.6 * (n_chars % 1000 / 1000.0::double - lo) / case when case when hi = 0 then 1 else hi end - lo = 0 then 1 else case when hi = 0 then 1 else hi end - lo end + 0.4 * sim, 6) s from sims, big)"""
+qw as (select query_id, term, qtf / qn::double * idf qw from q join idf using (term) join qn using (query_id)), ql as (select query_id, sqrt(sum(qw * qw)) ql from qw group by query_id), wl as (select doc_id, sqrt(sum(w * w)) wl from wt group by doc_id),
+dot as (select query_id, doc_id, sum(w * qw) dot from wt join qw using (term) group by all),
+sims as (select ids.query_id, d.doc_id id, n_chars, coalesce(dot / nullif(wl * ql, 0), 0) sim from documents d cross join ids left join dot on dot.doc_id = d.doc_id and dot.query_id = ids.query_id left join wl on wl.doc_id = d.doc_id left join ql on ql.query_id = ids.query_id),
+bm as (select query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean)) * qtf) s from tf join q using (term) join df using (term), big group by all),
+bms as (select ids.query_id, d.doc_id id, coalesce(s, 0) s from documents d cross join ids left join bm on bm.doc_id = d.doc_id and bm.query_id = ids.query_id),
+blend as (select query_id, id, round(0.6 * (n_chars % 1000 / 1000.0::double - lo) / case when case when hi = 0 then 1 else hi end - lo = 0 then 1 else case when hi = 0 then 1 else hi end - lo end + 0.4 * sim, 6) s from sims, big)"""
 
 
 def _shown(df):
-    return df.select("id", "rerank_score", "rank")
+    return df.select("query_id", "id", "rerank_score", "rank")
 
 
-_RANKED = "select id, rerank_score, cast(rank as integer) rank from (select *, row_number() over (order by rerank_score desc, id) rank from ({})) where rank <= 20"
+_RANKED = "select query_id, id, rerank_score, cast(rank as integer) rank from (select *, row_number() over (partition by query_id order by rerank_score desc, id) rank from ({})) where rank <= 20"
 
 
-@query(f"with {_RERANK} {_RANKED.format('select id, round(sim, 6) rerank_score from sims')}")
+@query(f"with {_RERANK} {_RANKED.format('select query_id, id, round(sim, 6) rerank_score from sims')}")
 def rrk_tfidf(spark, d):
     q, c = _candidates(spark, d)
     return _shown(rerank.tfidf(q, c, 20))
 
 
-@query(f"with {_RERANK} {_RANKED.format('select id, s rerank_score from blend')}")
+@query(f"with {_RERANK} {_RANKED.format('select query_id, id, s rerank_score from blend')}")
 def rrk_score(spark, d):
     q, c = _candidates(spark, d)
     return _shown(rerank.blended(q, c, 0.6, "score", 20))
 
 
-@query(f"with {_RERANK} {_RANKED.format('select id, round(s, 6) rerank_score from bms')}")
+@query(f"with {_RERANK} {_RANKED.format('select query_id, id, round(s, 6) rerank_score from bms')}")
 def rrk_bm25(spark, d):
     q, c = _candidates(spark, d)
     return _shown(rerank.bm25(q, c, top=20))
@@ -317,11 +326,10 @@ def rrk_bm25(spark, d):
 @query()
 def rrk_mmr(spark, d):
     q, c = _candidates(spark, d)
-    first = rerank.bm25(q, c, top=50).select("id")
-    return rerank.mmr(q, c.join(F.broadcast(first), "id", "left_semi"), 0.5, 10).select("id", "rerank_score", "mmr_rank")
+    return rerank.mmr(q, _of_queries(rerank.bm25(q, c, top=50), c), 0.5, 10).select("query_id", "id", "rerank_score", "mmr_rank")
 
 
-_LISTS = f"""{_RERANK}, l as (select 0 list_no, * from ({_RANKED.format('select id, round(sim, 6) rerank_score from sims')}) union all select 1, * from ({_RANKED.format('select id, round(s, 6) rerank_score from bms')}))"""
+_LISTS = f"""{_RERANK}, l as (select 0 list_no, * from ({_RANKED.format('select query_id, id, round(sim, 6) rerank_score from sims')}) union all select 1, * from ({_RANKED.format('select query_id, id, round(s, 6) rerank_score from bms')}))"""
 
 
 def _lists(spark, d):
@@ -330,16 +338,16 @@ def _lists(spark, d):
     return parts[0].withColumn("list_no", F.lit(0)).unionByName(parts[1].withColumn("list_no", F.lit(1))).select("query_id", "list_no", "rank", "id")
 
 
-@query(f"with {_LISTS}, f as (select id, round(sum(1.0::double / (60 + rank)), 8) rrf_score, min(list_no * 1000 + rank) o from l group by id) select id, rrf_score, cast(row_number() over (order by rrf_score desc, o) as integer) rrf_rank from f qualify rrf_rank <= 10")
+@query(f"with {_LISTS}, f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 8) rrf_score, min(list_no * 1000 + rank) o from l group by all) select query_id, id, rrf_score, cast(row_number() over (partition by query_id order by rrf_score desc, o) as integer) rrf_rank from f qualify rrf_rank <= 10")
 def rrk_rrf(spark, d):
-    return rerank.rrf(_lists(spark, d), top=10).select("id", "rrf_score", "rrf_rank")
+    return rerank.rrf(_lists(spark, d), top=10).select("query_id", "id", "rrf_score", "rrf_rank")
 
 
-@query(f"with {_LISTS}, f as (select id, sum((case list_no when 0 then 0.7::double else 0.3::double end) / (60 + rank)) s, min(list_no * 1000 + rank) o from l group by id) select id, round(s, 10) rrf_score, cast(row_number() over (order by s desc, o) as integer) rrf_rank from f qualify rrf_rank <= 20")
+@query(f"with {_LISTS}, f as (select query_id, id, sum((case list_no when 0 then 0.7::double else 0.3::double end) / (60 + rank)) s, min(list_no * 1000 + rank) o from l group by all) select query_id, id, round(s, 10) rrf_score, cast(row_number() over (partition by query_id order by s desc, o) as integer) rrf_rank from f qualify rrf_rank <= 20")
 def fus_hyde(spark, d):
     lists = _lists(spark, d)
     fused = fusion.fuse_hypothesis(lists.where("list_no = 0"), lists.where("list_no = 1"), 0.3)
-    return fused.select("id", F.round("rrf_score", 10).alias("rrf_score"), "rrf_rank")
+    return fused.select("query_id", "id", F.round("rrf_score", 10).alias("rrf_score"), "rrf_rank")
 
 
 # ----------------------------------------------------------------------------- fusion
@@ -419,11 +427,14 @@ def qex_pipeline(spark, d):
 
 
 def _to_compress(spark, d):
-    first = _t(spark, d, "benchmark").orderBy("item_id").limit(1).select(F.col("text").alias("query"))
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(F.broadcast(first))
+    """All documents; the items of benchmark are dealt to them in turn, so each item is asked of its share."""
+    items = _t(spark, d, "benchmark")
+    dealt = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("bigint").alias("turn"), F.col("text").alias("query"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.pmod("doc_id", items.agg(F.count("*")).scalar()).alias("turn"))
+    return docs.join(F.broadcast(dealt), "turn").select("chunk_id", "query", "text")
 
 
-_COMPRESS = f"""q as (select text qtext from benchmark order by item_id limit 1), qw as (select unnest({_CM('qtext')}) term from q), qd as (select term, count(*) qtf from qw group by term),
+_COMPRESS = f"""dealt as (select row_number() over (order by item_id) - 1 turn, text qtext from benchmark), qw as (select doc_id, unnest({_CM('qtext')}) term from documents join dealt on turn = doc_id % (select count(*) from benchmark)), qd as (select doc_id, term, count(*) qtf from qw group by all),
 s0 as (select doc_id, text, {_sql_sentences('text', fixed.COMPRESSION_ABBREVIATIONS)} s from documents), s1 as (select doc_id, text, case when len(s) = 0 then [''] else s end s from s0),
 rows_ as (select doc_id, text, len(s) total, unnest(s) sentence, unnest(range(0, len(s))) i from s1), toks as (select doc_id, i, term, count(*) tf from (select doc_id, i, unnest({_CM('sentence')}) term from rows_) group by all)"""
 
@@ -431,9 +442,9 @@ rows_ as (select doc_id, text, len(s) total, unnest(s) sentence, unnest(range(0,
 @query(
     f"""with {_COMPRESS}, df as (select doc_id, term, count(*) df from toks group by all), tot as (select doc_id, max(total) total from rows_ group by doc_id),
     idf as (select doc_id, term, ln(greatest(total, 1) / (df + 1)::double) + 1 idf from df join tot using (doc_id)),
-    qi as (select d.doc_id, qd.term, qtf, coalesce(idf, 1.0) qidf from documents d cross join qd left join idf on idf.doc_id = d.doc_id and idf.term = qd.term), qn as (select doc_id, sqrt(sum(qtf * qidf * qidf)) qn from qi group by doc_id),
-    sc as (select t.doc_id, i, case when sqrt(sum((tf * idf) ** 2)) * any_value(qn) > 0 then coalesce(sum(tf * idf) filter (t.term in (select term from qd)), 0) / (sqrt(sum((tf * idf) ** 2)) * any_value(qn)) else 0 end score
-      from toks t join idf on idf.doc_id = t.doc_id and idf.term = t.term join qn on qn.doc_id = t.doc_id group by t.doc_id, i),
+    qi as (select qd.doc_id, qd.term, qtf, coalesce(idf, 1.0) qidf from qd left join idf on idf.doc_id = qd.doc_id and idf.term = qd.term), qn as (select doc_id, sqrt(sum(qtf * qidf * qidf)) qn from qi group by doc_id),
+    sc as (select t.doc_id, i, case when sqrt(sum((tf * idf) ** 2)) * any_value(qn) > 0 then coalesce(sum(tf * idf) filter (asked.term is not null), 0) / (sqrt(sum((tf * idf) ** 2)) * any_value(qn)) else 0 end score
+      from toks t join idf on idf.doc_id = t.doc_id and idf.term = t.term join qn on qn.doc_id = t.doc_id left join qd asked on asked.doc_id = t.doc_id and asked.term = t.term group by t.doc_id, i),
     al as (select r.doc_id, r.i, text, sentence, total, coalesce(score, 0) score, sum((coalesce(score, 0) >= 0.05)::int) over (partition by r.doc_id) good, row_number() over (partition by r.doc_id order by coalesce(score, 0) desc, r.i) place from rows_ r left join sc on sc.doc_id = r.doc_id and sc.i = r.i),
     el as (select *, coalesce(sum(length(sentence)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) used from al where case when good < 1 then place <= 1 else score >= 0.05 end),
     out as (select doc_id, any_value(text) text, string_agg(sentence, ' ' order by i) made, count(*) k, max(total) total from el where used < 600 group by doc_id)
@@ -444,7 +455,7 @@ def cmp_score(spark, d):
 
 
 @query(
-    f"""with {_COMPRESS}, h as (select doc_id, text, total, i, sentence, list_has_any({_CM('sentence')}, (select list(term) from qd))::int hit from rows_),
+    f"""with {_COMPRESS}, h as (select doc_id, text, total, i, sentence, coalesce(list_has_any({_CM('sentence')}, terms), false)::int hit from rows_ left join (select doc_id, list(term) terms from qd group by doc_id) using (doc_id)),
     n as (select *, max(hit) over (partition by doc_id order by i rows between 2 preceding and 2 following) near, sum(hit) over (partition by doc_id) hits from h),
     k as (select *, count(*) over (partition by doc_id) kept from n where case when hits = 0 then i < 2 else near = 1 end),
     u as (select *, coalesce(sum(length(sentence)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) used, lag(i) over (partition by doc_id order by i) last from k),
@@ -592,9 +603,9 @@ def snk_delete(spark, d):
     return sinks.delete(*_versions(spark, d)).select("id")
 
 
-@query("select string_agg(p_name, chr(10) order by p_partkey) citations from part where p_size <= 10 and p_name <> ''")
+@query("select string_agg(p_name, chr(10) order by p_partkey) citations from part where p_name <> ''")
 def snk_citations(spark, d):
-    return sinks.citations(_t(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("rank"), F.col("p_name").alias("citation")))
+    return sinks.citations(_t(spark, d, "part").select(F.col("p_partkey").alias("rank"), F.col("p_name").alias("citation")))
 
 
 @query()
@@ -624,8 +635,8 @@ def search_pipeline(spark, d):
     q, c = _candidates(spark, d)
     q = expand.expand(q, ["synonym", "acronym"]).select("query_id", F.col("expanded").alias("query"))
     lists = rerank.tfidf(q, c, 30).withColumn("list_no", F.lit(0)).unionByName(rerank.bm25(q, c, top=30).withColumn("list_no", F.lit(1)))
-    best = rerank.rrf(lists.select("query_id", "list_no", "rank", "id"), top=20).select("id")
-    diverse = rerank.mmr(q, c.join(F.broadcast(best), "id", "left_semi"), 0.7, 10)
-    chunks = diverse.select("id").join(c, "id").join(q, "query_id").select(F.col("id").alias("chunk_id"), "query", "text")
-    short = compress.by_score(chunks).select(F.col("chunk_id").alias("id"), F.length("text").alias("n_chars"), "kept_sentences")
-    return diverse.select("id", "mmr_rank", "rerank_score").join(short, "id")
+    best = rerank.rrf(lists.select("query_id", "list_no", "rank", "id"), top=20)
+    diverse = rerank.mmr(q, _of_queries(best, c), 0.7, 10)
+    chunks = _of_queries(diverse, c).join(F.broadcast(q), "query_id").select("query_id", F.col("id").alias("chunk_id"), "query", "text")
+    short = compress.by_score(chunks).select("query_id", F.col("chunk_id").alias("id"), F.length("text").alias("n_chars"), "kept_sentences")
+    return diverse.select("query_id", "id", "mmr_rank", "rerank_score").join(short, ["query_id", "id"])
