@@ -63,12 +63,13 @@ def _folded(chunks: DataFrame, fold: Callable, counts: list[str], name: str) ->
             rows.append((parts, kept, len(s), hits))
         return pd.DataFrame(rows, columns=["parts", "kept_sentences", "total_sentences", "hit_count"])
 
-    sentences = tx.compression_sentences(F.col("text"))
-    folded = run(sentences, F.transform(sentences, tx.compression_tokens), tx.compression_tokens(F.col("query")))
+    # a column of its own, as the split is used twice
+    cut = chunks.withColumn("__s", tx.compression_sentences(F.col("text")))
+    folded = run(F.col("__s"), F.transform("__s", tx.compression_tokens), tx.compression_tokens(F.col("query")))
     made = ["text", *counts, "compressor", "compression_ratio"]
     original, joined = F.coalesce("text", F.lit("")), F.array_join("__x.parts", " ")
     text = F.when(joined != "", joined).otherwise(original)
-    return chunks.withColumn("__x", folded).select(
+    return cut.withColumn("__x", folded).select(
         *_carried(chunks, made), text.alias("text"), *[F.col(f"__x.{c}").alias(c) for c in counts], F.lit(name).alias("compressor"), F.round(F.when(F.length(original) == 0, 1.0).otherwise(F.length(text) / F.length(original)), 3).alias("compression_ratio")
     )
 
