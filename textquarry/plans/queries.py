@@ -618,13 +618,19 @@ def _calls(spark, d):
     return _t(spark, d, "events").select(F.col("event_type").alias("endpoint"), F.col("event_id").alias("call_id"), "ts", F.lit(1).alias("tokens"))
 
 
-@query()
+_BUCKETS = """with recursive c as (select event_type endpoint, event_id call_id, epoch(ts) t, row_number() over (partition by event_type order by ts, event_id) i from events),
+b as (select endpoint, call_id, t, i, true allowed, 4.0::double tokens_left from c where i = 1
+union all select c.endpoint, c.call_id, c.t, c.i, least(5.0::double, b.tokens_left + greatest(0, c.t - b.t) * 0.002::double) >= 1,
+least(5.0::double, b.tokens_left + greatest(0, c.t - b.t) * 0.002::double) - (least(5.0::double, b.tokens_left + greatest(0, c.t - b.t) * 0.002::double) >= 1)::int from b join c on c.endpoint = b.endpoint and c.i = b.i + 1)"""
+
+
+@query(_BUCKETS + " select endpoint, call_id, allowed, round(tokens_left, 4) tokens_left from b")
 def str_token_bucket(spark, d):
     done = limiter.replay(_calls(spark, d), rate=0.002, burst=5.0)
     return done.select("endpoint", "call_id", "allowed", F.round("tokens_left", 4).alias("tokens_left"))
 
 
-@query()
+@query(_BUCKETS + " select endpoint, count(*) total, count(*) filter (allowed) allowed, count(*) filter (not allowed) throttled, count(*) filter (not allowed) / count(*)::double throttle_rate from b group by endpoint")
 def str_limiter_stats(spark, d):
     return limiter.statistics(limiter.replay(_calls(spark, d), rate=0.002, burst=5.0))
 
