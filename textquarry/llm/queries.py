@@ -76,7 +76,37 @@ from made group by conv_id
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score_quality(_table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("kept_doc").alias("kept"), "posterior")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("kept_doc").alias("kept"), F.round("posterior", 6).alias("posterior"))
+
+
+OP7_SQL = r"""
+with recursive docs as (select doc_id, row_number() over () rid, t, list_filter(string_split_regex(t, '[ \t-\r]+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) l from (select doc_id, coalesce(text, '') t from documents)),
+wins as (select rid, unnest(range(1, len(w) - 1)) p, unnest(list_transform(range(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2])) s from docs),
+again as (select rid, p from wins qualify count(*) over (partition by rid, s) > 1),
+covered as (select rid, count(distinct q) n from (select rid, unnest([p, p + 1, p + 2]) q from again) group by rid),
+measured as (select doc_id, rid, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) n_symbols,
+  cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, cast(coalesce(n, 0) as bigint) n_repeat_words, greatest(len(l), 1)::double n_lines, len(list_distinct(w)) n_distinct,
+  length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) n_upper, length(regexp_replace(t, '[^!?]+', '', 'g')) n_shouts, length(regexp_replace(t, '[^.]+', '', 'g')) n_stops from docs left join covered using (rid)),
+ratios as (select *, greatest(n_words, 1)::double nw, greatest(word_chars, 1)::double nc from measured),
+voted as (select *, [case when n_repeat_words / nw > 0.3 then -1 when n_repeat_words / nw < 0.1 then 1 else 0 end, case when n_distinct / nw < 0.2 then -1 else 0 end, case when n_dup_lines / n_lines > 0.5 then -1 else 0 end,
+  case when n_upper / nc > 0.4 then -1 else 0 end, case when n_shouts / nw > 0.2 then -1 else 0 end, case when n_symbols / nw > 0.1 then -1 when n_symbols / nw < 0.02 then 1 else 0 end, case when n_symbols / nc > 0.02 then -1 else 0 end,
+  case when word_chars / nw < 2 or word_chars / nw > 15 then -1 else 0 end, case when n_stops / nw < 0.004 or n_stops / nw > 0.7 then -1 when n_stops / nw between 0.02 and 0.3 then 1 else 0 end] votes from ratios),
+patterns as (select votes, count(*)::double n from voted group by votes),
+cast_ as (select votes, n, unnest(votes) v, unnest(range(1, 10)) k from patterns),
+guess as (select k, v, g, b from (select unnest(range(1, 10)) k), (values (-1, 0.004::double, 0.25::double), (0, 0.196, 0.15), (1, 0.8, 0.6)) c(v, g, b)),
+em as (select 0 it, k, v, g, b, 0.85::double prior, 1::double moved from guess
+  union all select it, k, v, g, b, prior, max(greatest(abs(g - old_g), abs(b - old_b))) over () moved from (
+    with p as (select votes, n, max(it) it, 1 / (1 + exp(-(ln(max(prior) / (1 - max(prior))) + sum(case when v = 0 then 0 else ln(g / b) end)))) p from cast_ join em using (k, v) where moved > 1e-4 group by votes, n),
+    total as (select sum(n * p) good, sum(n * (1 - p)) bad, sum(n) al, max(it) it from p),
+    sums as (select k, v, sum(c.n * p) g, sum(c.n * (1 - p)) b from cast_ c join p using (votes) group by k, v)
+    select total.it + 1 it, x.k, x.v, least((coalesce(s.g, 0) + 0.1 * al * x.g) / (good + 0.1 * al), case when x.v = -1 then 0.01 else 1 end) g, (coalesce(s.b, 0) + 0.1 * al * x.b) / (bad + 0.1 * al) b,
+      least(0.99, greatest(0.01, good / al)) prior, em.g old_g, em.b old_b
+    from total, guess x join em on em.k = x.k and em.v = x.v left join sums s on s.k = x.k and s.v = x.v where al is not null)),
+model as (select * from em where it = (select max(it) from em)),
+judged as (select votes, 1 / (1 + exp(-(ln(max(prior) / (1 - max(prior))) + sum(case when v = 0 then 0 else ln(g / b) end)))) p from cast_ join model using (k, v) group by votes)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and p >= 0.5 kept, round(p, 6) posterior
+from voted join judged using (votes)
+"""
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +118,17 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+OP3_SQL = r"""
+with recursive docs as (select doc_id, row_number() over () rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+sets as (select doc_id, rid, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) end) s from docs),
+rows_ as (select rid, len(s) n, unnest(s) x from sets),
+links as (select a.rid a, b.rid b from rows_ a join rows_ b on a.x = b.x and a.rid <> b.rid and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by a.rid, b.rid, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach as (select rid, rid other from sets union select r.rid, l.b from reach r join links l on l.a = r.other)
+select s.doc_id, cast(len(s.s) as bigint) n_shingles, c.component_id
+from sets s join (select r.rid, min(o.doc_id) component_id from reach r join sets o on o.rid = r.other group by r.rid) c using (rid)
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -119,6 +160,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+with docs as (select doc_id, row_number() over () rid, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+words as (select rid, unnest(w) x, unnest(range(1, len(w) + 1)) p from docs),
+wins as (select rid, p, md5(string_agg(x, ' ') over (partition by rid order by p rows between current row and 34 following)) h, count(*) over (partition by rid order by p rows between current row and 34 following) n from words),
+again as (select rid, p from wins where n = 35 qualify count(*) over (partition by h) > 1),
+gone as (select distinct rid, p + i p from again, (select unnest(range(0, 35)) i)),
+kept as (select rid, string_agg(x, ' ' order by p) t, count(*) n from words anti join gone using (rid, p) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256 from docs left join kept using (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -135,4 +187,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_chat_formatting": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL, "op10_substring_dedup": OP10_SQL}
