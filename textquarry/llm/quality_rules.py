@@ -111,16 +111,26 @@ class LabelModel:
         """Evidence of a vote; abstaining is none."""
         return 0.0 if vote == 0 else math.log(self.chance[rule, 1, vote] / self.chance[rule, 0, vote])
 
+    def weights(self, rules: list[str]) -> Column:
+        """The prior's evidence, then that of each rule's votes -1, 0 and 1."""
+        found = [math.log(self.prior / (1 - self.prior)), *[self.weight(r, v) for r in rules for v in (-1, 0, 1)]]
+        # an array that is folded to one literal, so that the code generated for a round serves the next
+        return F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")
+
     def posterior(self, rules: list[str]) -> Column:
         """Probability of being good, of the columns of votes named as the rules."""
-        weights = [math.log(self.prior / (1 - self.prior)), *[self.weight(r, v) for r in rules for v in (-1, 0, 1)]]
-        # an array that is folded to one literal, so that the code generated for a round serves the next
-        held = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+        held = self.weights(rules)
         odds = F.get(held, F.lit(0))
         for k, r in enumerate(rules):
             odds = odds + F.get(held, F.col(r) + F.lit(3 * k + 2))
         return 1 / (1 + F.exp(-odds))
 
+    def posterior_of(self, rules: list[str], votes: str) -> Column:
+        """The same, of one array of votes in the order of the rules."""
+        held = self.weights(rules)
+        odds = F.aggregate(F.transform(votes, lambda v, i: F.get(held, v + 3 * i + 2)), F.get(held, F.lit(0)), lambda a, x: a + x)
+        return 1 / (1 + F.exp(-odds))
+
 
 def first_guess(rules: list[str], prior: float = 0.85) -> LabelModel:
     """What a rule is taken for before the data speak: rarely wrong, and a bad vote rarer still in good documents."""
@@ -139,25 +149,24 @@ def fit(votes: DataFrame, rules: list[str], tolerance: float = 1e-4, strength: f
     An empty table gives the first guess.
     """
     guess = model = first_guess(rules)
-    patterns = checkpoint(votes.groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1))  # at most 3**rules rows
+    patterns = votes.groupBy(*rules).agg(F.count("*").alias("n")).select("n", F.array(*rules).alias("votes"))
+    patterns = checkpoint(patterns.coalesce(1))  # at most 3**rules rows
     for _ in range(ROUNDS):
-        scored = patterns.withColumn("p", model.posterior(rules))
-        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
-        for k, r in enumerate(rules):
-            for v in (-1, 0, 1):
-                sums += [F.sum(F.when(F.col(r) == v, F.col("n") * F.col("p"))).alias(f"g{k}_{v + 1}"), F.sum(F.when(F.col(r) == v, F.col("n") * (1 - F.col("p")))).alias(f"b{k}_{v + 1}")]
-        got = scored.agg(*sums).first()  # one row
-        if not got["all"]:
+        cast = patterns.select("n", model.posterior_of(rules, "votes").alias("p"), "votes").select("n", "p", F.posexplode("votes").alias("rule", "vote"))
+        sums = cast.groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1 - F.col("p"))).alias("bad"))
+        got = {(rules[s["rule"]], s["vote"]): s for s in sums.collect()}  # at most three rows a rule
+        if not got:
             break
-        good, bad = got["good"] or 0.0, got["all"] - (got["good"] or 0.0)
-        weight = strength * got["all"]
+        good, bad = (sum(s[c] for (r, _), s in got.items() if r == rules[0]) for c in ("good", "bad"))
+        weight = strength * (good + bad)
         chance = {}
-        for k, r in enumerate(rules):
+        for r in rules:
             for v in (-1, 0, 1):
-                chance[r, 1, v] = ((got[f"g{k}_{v + 1}"] or 0.0) + weight * guess.chance[r, 1, v]) / (good + weight)
-                chance[r, 0, v] = ((got[f"b{k}_{v + 1}"] or 0.0) + weight * guess.chance[r, 0, v]) / (bad + weight)
+                g, b = (got[r, v]["good"], got[r, v]["bad"]) if (r, v) in got else (0.0, 0.0)
+                chance[r, 1, v] = (g + weight * guess.chance[r, 1, v]) / (good + weight)
+                chance[r, 0, v] = (b + weight * guess.chance[r, 0, v]) / (bad + weight)
             chance[r, 1, -1] = min(chance[r, 1, -1], false_alarms)
-        before, model = model, LabelModel(min(0.99, max(0.01, good / got["all"])), chance)
+        before, model = model, LabelModel(min(0.99, max(0.01, good / (good + bad))), chance)
         if max(abs(chance[x] - before.chance[x]) for x in chance) <= tolerance:
             break
     else:
