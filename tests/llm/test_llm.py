@@ -213,6 +213,25 @@ def test_keep_one_goes_by_components_not_by_ids(spark, tmp_path):
     assert kept == Counter((i, " ".join(t)) for i, t in (rows[0], rows[1], rows[2], rows[4], rows[6], rows[8], rows[11]))
 
 
+def test_jaccard_join_moves_few_texts(spark, tmp_path):
+    """Texts that are like no other stay where they are: less is shuffled than the texts weigh."""
+    rng = random.Random(8)
+    texts = [" ".join("%040x" % rng.getrandbits(160) for _ in range(3000)) for _ in range(60)]
+    texts.append(texts[7].rsplit(" ", 1)[0])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "long"))
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        held = context.statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = shuffled()
+    got = {r.id: r.component_id for r in ngram_join.jaccard_components(spark.read.parquet(str(tmp_path / "long"))).collect()}
+    assert got == {i: 7 if i == 60 else i for i in range(61)}
+    assert shuffled() - before < sum(map(len, texts)) / 2
+
+
 def test_blocks_in_parts_lose_nothing(table, pairs, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL_SHINGLES", 300)
     monkeypatch.setattr(ngram_join, "CELL_SKETCHES", 2)

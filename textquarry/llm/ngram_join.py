@@ -27,14 +27,13 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import blocks, cells, dealt, in_runs
-from ._common import Unions, checkpoint, connected_components, gram_hashes, hash_words, mix, quoted, replayable, signed, text_chunks, unused, with_row_id
+from ._common import Unions, bitmap, checkpoint, connected_components, gram_hashes, hash_words, in_bitmap, mix, quoted, replayable, signed, text_chunks, unused, with_row_id
 
 COUNT_BITS = 16
 #: Slots of the smallest sketch; a set of n shingles has a power of two of at least n / 8 slots.
@@ -85,7 +84,7 @@ def frequent_table(docs: DataFrame, k: int, factor: int = 4, least: int = 1000)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots])], ["slot", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = checkpoint(docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     mean = counted.agg(F.sum("n")).first()[0] or 0
     bound = max(least, factor * mean >> COUNT_BITS)
     table = np.zeros(1 << COUNT_BITS, bool)
@@ -211,18 +210,18 @@ def _verified(k: int, t: Fraction):
     """Spanning edges of the links inside a cell, on the whole texts."""
     up, down = t.numerator, t.denominator
 
-    def run(key, pdf):
-        pdf = pdf.drop_duplicates("member")
-        nodes, own = pdf["member"].to_numpy(), pdf["own"].to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        pdf, nodes, own = pdf.iloc[order], nodes[order], own[order]
-        sets = [s for _, s in shingle_sets(pa.array(pdf["text"], pa.large_string()), k)]
+    def run(key, table):
+        order = np.argsort(table.column("member").to_numpy(), kind="stable")
+        table = table.take(order)
+        nodes, own = table.column("member").to_numpy(), table.column("own").to_numpy()
+        sets = [s for _, s in shingle_sets(table.column("text"), k)]
         n = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets)
-        _, tokens = np.unique(flat, return_inverse=True)
+        tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        del sets, table
         starts = np.concatenate([[0], np.cumsum(n)])
         mark = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, np.int32)
         found = Unions(len(n))
+        parted = key[1].as_py() != key[2].as_py()
         for i in range(len(n) - 1):
             if not n[i]:
                 continue
@@ -234,13 +233,13 @@ def _verified(k: int, t: Fraction):
             later = n[i + 1 :]
             shared = np.where(later > 0, shared, 0)
             linked = shared * down >= up * (n[i] + later - shared)
-            if key[1] != key[2]:
+            if parted:
                 linked &= own[i + 1 :] != own[i]
             for j in np.flatnonzero(linked & (later > 0)):
                 found.join(i, i + 1 + int(j))
-        roots = np.array([found.find(i) for i in range(len(n))])
+        roots = np.array([found.find(i) for i in range(len(n))], np.int64)
         moved = roots != np.arange(len(n))
-        return pd.DataFrame({"u": nodes[moved], "v": nodes[roots[moved]]})
+        return pa.table({"u": nodes[moved], "v": nodes[roots[moved]]})
 
     return run
 
@@ -252,13 +251,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = checkpoint(entries.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least")))
     reps = entries.drop("n").join(classes.select(F.col("rep").alias("rid"), "n").hint("shuffle_hash"), "rid")
     found = checkpoint(blocks(reps.select(F.explode("keys").alias("key"), F.col("rid").alias("node"), F.col("n").cast("int").alias("priority")), threshold))
-    sketched = found.join(reps.select(F.col("rid").alias("member"), "n", "sketch"), "member")
-    celled = cells(sketched, F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n")), CELL_SHINGLES)
-    sorted_cells = dealt(celled.select("pivot", "part_a", "part_b", "own", "member", "n", "sketch")).sortWithinPartitions("pivot", "part_a", "part_b")
-    likely = sorted_cells.mapInArrow(_plausible(threshold), "pivot long, member long, n long")
-    likely = checkpoint(cells(likely.distinct(), F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n")), CELL_SHINGLES))
-    texts = source.select(F.col("rid").alias("member"), "text").join(likely.hint("shuffle_hash"), "member")
-    edges = dealt(texts).groupBy("pivot", "part_a", "part_b").applyInPandas(_verified(k, threshold), "u long, v long")
+    # rows are cut into cells while they are narrow; sketches, and texts of likely members alone, move once
+    weight = F.greatest(F.lit(CELL_SHINGLES // CELL_SKETCHES), F.col("n"))
+    celled = cells(found.join(entries.select(F.col("rid").alias("member"), "n"), "member"), weight, CELL_SHINGLES)
+    sketched = celled.join(entries.select(F.col("rid").alias("member"), "sketch").hint("shuffle_hash"), "member")
+    sorted_cells = dealt(sketched.select("pivot", "part_a", "part_b", "own", "member", "n", "sketch")).sortWithinPartitions("pivot", "part_a", "part_b")
+    likely = checkpoint(sorted_cells.mapInArrow(_plausible(threshold), "pivot long, member long, n long").distinct())
+    likely = checkpoint(cells(likely, weight, CELL_SHINGLES))
+    marks, bits = bitmap(likely.select(F.xxhash64("member").alias("hash")), "hash", likely.count())
+    held = source.where(in_bitmap(F.xxhash64("rid"), marks, bits))
+    texts = held.select(F.col("rid").alias("member"), "text").join(likely.hint("shuffle_hash"), "member")
+    edges = dealt(texts).groupBy("pivot", "part_a", "part_b").applyInArrow(_verified(k, threshold), "u long, v long")
     roots = connected_components(edges)
     labelled = classes.select("d1", "d2", "n", "rep", "least").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     labelled = checkpoint(labelled.select("d1", "d2", "n", "rep", "root", "least"))
