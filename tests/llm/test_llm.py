@@ -231,6 +231,11 @@ def test_jaccard_join_moves_few_texts(spark, tmp_path):
     assert got == {i: 7 if i == 60 else i for i in range(61)}
     assert shuffled() - before < sum(map(len, texts)) / 2
 
+    before = shuffled()
+    kept = ngram_join.keep_one(spark.read.parquet(str(tmp_path / "long")))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == list(enumerate(texts[:60]))
+    assert shuffled() - before < sum(map(len, texts)) / 2
+
 
 def test_blocks_in_parts_lose_nothing(table, pairs, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL_SHINGLES", 300)

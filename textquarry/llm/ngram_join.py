@@ -278,5 +278,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     # by root, as component_id is no key: unrelated rows may share an id, and null ids name nothing
     grouped = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
     first = grouped.select("first.rid").unionByName(found.where("n_shingles = 0").select("rid"))
+    # most rows stay: those whose bit isn't set do so without a shuffle
     rid = unused(docs.columns, "__rid")
-    return with_row_id(docs, rid).join(first.withColumnRenamed("rid", rid).hint("shuffle_hash"), rid, "left_semi").drop(rid)
+    gone = checkpoint(found.select("rid").join(first, "rid", "left_anti")).withColumnRenamed("rid", rid)
+    marks, bits = bitmap(gone.select(F.xxhash64(rid).alias("hash")), "hash", gone.count())
+    rows, marked = with_row_id(docs, rid), in_bitmap(F.xxhash64(rid), marks, bits)
+    return rows.where(~marked).unionByName(rows.where(marked).join(gone.hint("shuffle_hash"), rid, "left_anti")).drop(rid)
