@@ -15,23 +15,36 @@ from textquarry.llm._common import checkpoint
 
 #: Documents that score below are rejected.
 LEAST_QUALITY = 0.7
+#: Bytes after which a batch of rows goes to a Python worker; Spark's limit of 64 MB is held several times by each task, in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """``ship``, and batches of at most ``BATCH_BYTES`` and a row for the session; a lower limit of its own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key, "64m")
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(have) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+    return ship(spark)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of sufficient quality by the classifier (operator 9)."""
-    model = classifier.fit(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    model = classifier.fit(docs, bounded(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     scored = classifier.score(docs, model, keep=tuple(docs.columns))
     return scored.where(F.col("score") >= LEAST_QUALITY).select("kept.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that occurred before, up to two edits (operator 8); documents left without a word go."""
+    bounded(spark)
     left = line_dedup.remove_lines(docs, drop_emptied=True)
     return left.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group at a Jaccard similarity of 0.8 over five words (operator 3)."""
+    bounded(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -42,6 +55,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences (operator 5)."""
+    bounded(spark)
     pieces = packing.pack_documents(docs)
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -53,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = checkpoint(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

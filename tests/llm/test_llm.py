@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.llm import chat, classifier, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, queries, substring, token_counts, tokens
-from textquarry.llm._common import connected_components
+from textquarry.llm._common import connected_components, lean
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns whose names clash with inner ones.
@@ -554,6 +554,66 @@ def test_classifier(spark, table, empty):
     assert classifier.score(table, none).agg(F.min("score"), F.max("score")).first() == (0.5, 0.5)
 
 
+def test_kept_text_is_sent_once(spark, table):
+    model = classifier.train(["a b c"] * 10 + ["d d d"] * 10, np.array([1] * 10 + [0] * 10))
+    whole = classifier.score(table, model, keep=tuple(table.columns))
+    plan = whole._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().apply(0)
+    sent = plan.children().apply(0).schema()
+    assert list(sent.fieldNames()) == ["id", "kept"] and sent.sql().lower().count("text:") == 1
+    want = Counter((r.doc_id, r.score) for r in classifier.score(table, model).collect())
+    rows = whole.collect()
+    assert Counter((r.doc_id, r.score) for r in rows) == want and len(set(want)) > 10
+    assert Counter(tuple(r.kept) for r in rows) == Counter(map(tuple, table.collect()))
+
+
+def test_pipeline_bounds_the_bytes_of_a_batch(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 9000, 1, 1).select(F.col("id").alias("doc_id"), F.lpad(F.col("id").cast("string"), 1000, "x").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64()), pa.array([batch.num_rows], pa.int64())], ["bytes", "rows"])
+
+    spark.conf.unset(key)
+    try:
+        for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.packed):
+            spark.conf.unset(key)
+            stage(spark, docs.where("doc_id < 3") if stage is corpus_pipeline.near_duplicates else docs, "")
+            got = docs.mapInArrow(run, "bytes long, rows long").collect()
+            assert sum(r.rows for r in got) == 9000 and max(r.bytes for r in got) < 5 << 20
+        spark.conf.set(key, "1m")
+        corpus_pipeline.packed(spark, docs, "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("own, left", [(tokens.ENCODERS, 1), (None, 0)])
+def test_a_worker_drops_what_others_left(spark, own, left):
+    import pyarrow as pa
+
+    def count(batches):
+        from textquarry.llm import tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens._encoders)], pa.int64())], ["n"])
+
+    inner = lean(count, own)
+
+    def run(batches):
+        from textquarry.llm import tokens
+
+        tokens.encoder(tokens.default_path())
+        yield from inner(batches)
+
+    assert spark.range(0, 1, 1, 1).mapInArrow(run, "n long").first().n == left
+
+
 def test_every_word_of_two_holders_is_known():
     text = " ".join(f"w{i}" for i in range(70_000))
     hashed = classifier.hash_all([text, text + " once", "w5"])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,45 @@ def in_bitmap(value: Column, held: Column, bits: int) -> Column:
     return F.call_function("getbit", F.get(held, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
+# --------------------------------------------------------------------------- workers
+
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What a Python worker keeps from one task to the next, until a ``lean`` function of another name runs in it."""
+    return _kept.setdefault(name, {})
+
+
+def drop_caches(own: str | None = None) -> None:
+    for name, held in _kept.items():
+        if name != own:
+            held.clear()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can; it would keep it as long as the worker lives."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable, own: str | None = None) -> Callable:
+    """``run``, a function over Arrow batches, that begins without the caches of others and leaves no freed memory behind.
+
+    Workers outlive tasks and stages, and their memory is the executor's.
+    """
+
+    def lean_run(batches):
+        drop_caches(own)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lean_run
+
+
 # --------------------------------------------------------------------------- hashing
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import hash_words, mix, quoted, text_chunks
+from ._common import hash_words, lean, mix, quoted, text_chunks
 
 DIMENSIONS = 64
 NONZERO = 4
@@ -254,22 +254,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         del texts
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_hashed(text, np.concatenate(marks or [np.zeros(0)]), seed), 5)], pa.binary())], ["model"])
 
-    made = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    made = sample.coalesce(1).mapInArrow(lean(run), "model binary").first()
     return pickle.loads(made["model"]) if made else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id and score of every row, and the ``keep`` columns as struct ``kept``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), *([F.struct(*map(quoted, keep)).alias("kept")] if keep else []))
+    inside = keep.index(text_col) if text_col in keep else None  # a kept text isn't sent a second time
+    kept = [F.struct(*map(quoted, keep)).alias("kept")] if keep else []
+    source = docs.select(quoted(id_col).alias("id"), *kept, *([quoted(text_col).alias("text")] if inside is None else []))
     fields = [f for f in source.schema.fields if f.name != "text"]
 
     def run(batches):
         for batch in batches:
             got = np.zeros(batch.num_rows)
-            for first, end, data, offsets in text_chunks(batch.column(1), 1 << 20):
+            texts = batch.column(len(fields)) if inside is None else batch.column(1).field(inside)
+            for first, end, data, offsets in text_chunks(texts, 1 << 20):
                 got[first:end] = held.value.scores(hash_text(data, offsets))
-            columns = [batch.column(0), *([batch.column(2)] if keep else []), pa.array(got)]
+            columns = [*batch.columns[: len(fields)], pa.array(got)]
             yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in fields], "score"])
 
-    return source.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())])).withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(run), T.StructType([*fields, T.StructField("score", T.DoubleType())])).withColumnRenamed("id", id_col)

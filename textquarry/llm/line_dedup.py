@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import blocks, cells, dealt, in_runs
-from ._common import Unions, bitmap, checkpoint, connected_components, in_bitmap, mix, powers, quoted, replayable, signed, skew_join, unused, with_row_id
+from ._common import Unions, bitmap, checkpoint, connected_components, in_bitmap, lean, mix, powers, quoted, replayable, signed, skew_join, unused, with_row_id
 
 LEAST = 20
 EDITS = 2
@@ -137,7 +137,7 @@ def _entries(lines: DataFrame, edits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(nodes[at : i + 1][which])], ["key", "node"])
                     at, size = i + 1, 0
 
-    return lines.select("node", "line").mapInArrow(run, "key long, node long")
+    return lines.select("node", "line").mapInArrow(lean(run), "key long, node long")
 
 
 # ------------------------------------------------------------------------- verification
@@ -207,7 +207,7 @@ def line_classes(source: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     texts = lines.where(in_bitmap(F.col("node"), held, bits)).groupBy(F.col("node").alias("member")).agg(F.first("line").alias("line")).join(found.hint("shuffle_hash"), "member")
     celled = cells(texts, F.length("line"), CELL_CHARACTERS)
     in_order = dealt(celled.select("pivot", "part_a", "part_b", "own", "member", "line")).sortWithinPartitions("pivot", "part_a", "part_b")
-    edges = in_order.mapInArrow(_verified(edits, least), "u long, v long")
+    edges = in_order.mapInArrow(lean(_verified(edits, least)), "u long, v long")
     return connected_components(edges)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import blocks, cells, dealt, in_runs
-from ._common import Unions, bitmap, checkpoint, connected_components, gram_hashes, hash_words, in_bitmap, mix, quoted, replayable, signed, text_chunks, unused, with_row_id
+from ._common import Unions, bitmap, checkpoint, connected_components, gram_hashes, hash_words, in_bitmap, lean, mix, quoted, replayable, signed, text_chunks, unused, with_row_id
 
 COUNT_BITS = 16
 #: Slots of the smallest sketch; a set of n shingles has a power of two of at least n / 8 slots.
@@ -84,7 +84,7 @@ def frequent_table(docs: DataFrame, k: int, factor: int = 4, least: int = 1000)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots])], ["slot", "n"])
 
-    counted = checkpoint(docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    counted = checkpoint(docs.select("text").mapInArrow(lean(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     mean = counted.agg(F.sum("n")).first()[0] or 0
     bound = max(least, factor * mean >> COUNT_BITS)
     table = np.zeros(1 << COUNT_BITS, bool)
@@ -154,7 +154,7 @@ def _entries(docs: DataFrame, k: int, frequent: np.ndarray, t: Fraction) -> Data
 
     long = T.LongType()
     schema = T.StructType([T.StructField("rid", long), T.StructField("id", id_type), *[T.StructField(c, long) for c in ("n", "d1", "d2")], T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(long))])
-    return docs.select("rid", "id", "text").mapInArrow(run, schema)
+    return docs.select("rid", "id", "text").mapInArrow(lean(run), schema)
 
 
 def _grouped(t: Fraction, parted: bool, own: np.ndarray, member: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     celled = cells(found.join(entries.select(F.col("rid").alias("member"), "n"), "member"), weight, CELL_SHINGLES)
     sketched = celled.join(entries.select(F.col("rid").alias("member"), "sketch").hint("shuffle_hash"), "member")
     sorted_cells = dealt(sketched.select("pivot", "part_a", "part_b", "own", "member", "n", "sketch")).sortWithinPartitions("pivot", "part_a", "part_b")
-    likely = checkpoint(sorted_cells.mapInArrow(_plausible(threshold), "pivot long, member long, n long").distinct())
+    likely = checkpoint(sorted_cells.mapInArrow(lean(_plausible(threshold)), "pivot long, member long, n long").distinct())
     likely = checkpoint(cells(likely, weight, CELL_SHINGLES))
     marks, bits = bitmap(likely.select(F.xxhash64("member").alias("hash")), "hash", likely.count())
     held = source.where(in_bitmap(F.xxhash64("rid"), marks, bits))

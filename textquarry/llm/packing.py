@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from ._common import quoted
+from ._common import lean, quoted
 
 #: Bytes of input for which a task is worth its remainder.
 TASK_BYTES = 4 << 20
@@ -143,4 +143,4 @@ def pack_documents(
         if held:
             yield flush(True)
 
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(run, tokens.ENCODERS), schema).withColumnRenamed("id", id_col)

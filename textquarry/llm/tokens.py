@@ -13,13 +13,17 @@ from itertools import chain
 
 import numpy as np
 
+from ._common import worker_cache
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 _CACHED_PIECES = 500_000
 #: Pieces without letters that normalisation could change in company, and without contractions.
 _PLAIN = re.compile(r"[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF.,!?;:()\[\]*#$%&|+=/_@-]+")
 _PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
 _PROBES = ["The quick, brown fox; it's 12345 OLD.", "  two  spaces\nand\tlines ", "naïve Ünïcode ÇA 😀 中文字", "a-b_c/d+e=f (x) [y] #z @w 50% $9.99", "MiXeD CaSe don't we'll 'quoted' \"text\"", ""]
-_encoders: dict[str, "Encoder"] = {}
+#: The name of the workers' cache of encoders.
+ENCODERS = "encoders"
+_encoders: dict[str, "Encoder"] = worker_cache(ENCODERS)
 
 
 def default_path() -> str:
