@@ -6,13 +6,19 @@ import hashlib
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textquarry.functions.text import cosine, strip
+from textquarry.functions.text import strip
 
-#: Query rows up to which the query side is broadcast; beyond it the join is left to Spark.
-BROADCAST_QUERIES = 10_000
+#: Numbers in a block of vectors, on each side of a search: 32,768 vectors of 64.
+BLOCK_VALUES = 1 << 21
+#: Queries and vectors whose products are held at once, and pairs that are scored exactly at once.
+QUERY_STEP, VECTOR_STEP, EXACT_STEP = 1024, 8192, 1 << 17
 
 
 def build_filter(filters: dict | None) -> Column:
@@ -54,13 +60,144 @@ def predicate(tree: dict) -> Column:
     return out
 
 
+def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of doubles padded with zeros, their lengths) of a list column; null rows, and rows that hold a null, are zeros."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    values = np.asarray(lists.flatten().cast(pa.float64()).fill_null(0.0))
+    holes = np.asarray(pc.is_null(lists.flatten()))
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    out[row[holes]] = 0.0
+    return out, sizes
+
+
+def _in_order(column) -> np.ndarray:
+    """Places of the values in the order of Spark's sort, nulls first."""
+    try:
+        return np.asarray(pc.sort_indices(column, null_placement="at_start"))
+    except pa.ArrowNotImplementedError:
+        key = lambda x: (0,) if x is None else (1, [key(y) for y in x.values()]) if isinstance(x, dict) else (1, [key(y) for y in x]) if isinstance(x, list) else (1, x)
+        held = column.to_pylist()
+        return np.array(sorted(range(len(held)), key=lambda i: key(held[i])), np.int64)
+
+
+class _Side:
+    """The vectors of one side of a block: by dimension, with norms added up as ``cosine`` does, and of length one in single precision."""
+
+    def __init__(self, rows: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.by_dim = sizes, np.ascontiguousarray(rows.T)
+        square = np.zeros(len(rows))
+        with np.errstate(over="ignore"):
+            for x in self.by_dim:
+                square += x * x
+        self.norm = np.sqrt(square)
+        self.unit = np.divide(rows, self.norm[:, None], out=np.zeros_like(rows), where=self.norm[:, None] > 0).astype(np.float32)
+        # what single precision can't judge is passed on to the exact score
+        self.unit[~((self.norm > 1e-100) & (self.norm < 1e100)) & (self.norm != 0)] = np.nan
+
+    def padded(self, width: int) -> _Side:
+        more = width - len(self.by_dim)
+        self.by_dim, self.unit = np.pad(self.by_dim, ((0, more), (0, 0))), np.pad(self.unit, ((0, 0), (0, more)))
+        return self
+
+
+def _exact(q: _Side, v: _Side, qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
+    """``cosine`` of pairs, to the last bit; minus infinity stands for null, which vectors of unequal length give."""
+    dot = np.zeros(len(qi))
+    for x, y in zip(v.by_dim, q.by_dim):
+        dot += x[vi] * y[qi]
+    norm = v.norm[vi] * q.norm[qi]
+    score = np.divide(dot, norm, out=np.zeros_like(dot), where=~(norm <= 0))
+    return np.where((v.sizes[vi] != q.sizes[qi]) & ~(norm <= 0), -np.inf, score)
+
+
+def _first_k(qi: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by query and falling score, NaN first and else as given; place in the query)."""
+    order = np.lexsort((np.where(np.isnan(score), -np.inf, -score), ~np.isnan(score), qi))
+    held = qi[order]
+    return order, np.arange(len(held)) - np.searchsorted(held, held)
+
+
+def _nearest(q: _Side, v: _Side, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best of ``v``, whose rows are in the order that breaks ties.
+
+    Products in single precision sort out what can't be among them, by the best k so far less the error; what is left is scored exactly.
+    """
+    width = max(len(q.by_dim), len(v.by_dim))
+    q, v = q.padded(width), v.padded(width)
+    margin = np.float32((width + 8) * 2.5e-7)
+    uneven = len(np.unique(np.concatenate([q.sizes, v.sizes]))) > 1
+    found = []
+    with np.errstate(invalid="ignore", over="ignore"):
+        for a in range(0, len(q.norm), QUERY_STEP):
+            asked, n = q.unit[a : a + QUERY_STEP], len(q.norm[a : a + QUERY_STEP])
+
+            def product(lo: int, hi: int, a=a, asked=asked, n=n) -> np.ndarray:
+                s = asked @ v.unit[lo:hi].T
+                if uneven:
+                    s[(q.sizes[a : a + n, None] != v.sizes[None, lo:hi]) & (q.norm[a : a + n, None] != 0) & (v.norm[None, lo:hi] != 0)] = -np.inf
+                return s
+
+            least = np.full(n, -np.inf, np.float32)
+            seed = max(1024, 4 * k)
+            if seed < len(v.norm):
+                least = np.partition(product(0, seed), seed - k, axis=1)[:, seed - k] - margin
+            qi, vi, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for lo in range(0, len(v.norm), VECTOR_STEP):
+                hi = min(lo + VECTOR_STEP, len(v.norm))
+                # not below, so that NaN stays
+                at = np.flatnonzero(~(product(lo, hi) < least[:, None]))
+                i, j = np.divmod(at, hi - lo)
+                for c in range(0, len(i), EXACT_STEP):
+                    one, two = i[c : c + EXACT_STEP], j[c : c + EXACT_STEP] + lo
+                    qi, vi, score = np.append(qi, one), np.append(vi, two), np.append(score, _exact(q, v, one + a, two))
+                    order, place = _first_k(qi, score, k)
+                    order = order[place < k]
+                    qi, vi, score = qi[order], vi[order], score[order]
+                full = np.bincount(qi, minlength=n) >= k
+                last = np.cumsum(np.bincount(qi, minlength=n)) - 1
+                least[full] = np.fmax(least[full], (score[last[full]] - margin).astype(np.float32))
+            found.append((qi + a, vi, score))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, where: Column | None = None, id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", n_queries: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest by cosine, ties by id.  ``n_queries``: if known and small, the queries are broadcast."""
-    kept = vectors if where is None else vectors.where(where)
+    """(query_id, id, score, rank): the k nearest by cosine, ties by id.  ``n_queries``: spares counting them, if known.
+
+    Exact, so every pair is looked at: both sides are dealt into blocks of bounded size, a task takes one block of each, and
+    only k rows of a query leave it.
+    """
+    kept = (vectors if where is None else vectors.where(where)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
-    if n_queries is not None and n_queries <= BROADCAST_QUERIES:
-        q = F.broadcast(q)
-    scored = kept.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(q).select("query_id", "id", cosine(F.col("v"), F.col("qv")).alias("score"))
+    size = lambda df, c: df.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.max(F.size(c)), F.lit(0)).alias("dim")).alias("x")).scalar()
+    v_size = size(kept, "v")
+    q_count = size(q, "qv")["n"] if n_queries is None else F.lit(n_queries)
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n * F.greatest(v_size["dim"], F.lit(1)) / BLOCK_VALUES)).cast("int")
+    n_v, n_q = blocks(v_size["n"]), blocks(q_count)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = q.withColumn("__q", F.pmod(F.xxhash64("query_id", "qv"), n_q).cast("int")).withColumn("__v", every(n_v))
+    right = kept.withColumn("__v", F.pmod(F.xxhash64("id", "v"), n_v).cast("int")).withColumn("__q", every(n_q))
+    kinds = {f.name: f for f in [*q.schema.fields, *kept.schema.fields]}
+    schema = T.StructType([kinds["query_id"], kinds["id"], T.StructField("score", T.DoubleType())])
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        qi = vi = np.zeros(0, np.int64)
+        score = np.zeros(0)
+        if asked.num_rows and held.num_rows:
+            held = held.take(pa.array(_in_order(held["id"])))
+            rows, sizes = _matrix(held["v"])
+            # of equal vectors only the k first can be among the k best
+            key = np.concatenate([rows, sizes[:, None]], axis=1)
+            same = np.unique(key.view(np.dtype((np.void, key.shape[1] * 8))).ravel(), return_inverse=True)[1]
+            order, place = _first_k(same, np.zeros(len(same)), k)
+            stay = np.sort(order[place < k])
+            qi, vi, score = _nearest(_Side(*_matrix(asked["qv"])), _Side(rows[stay], sizes[stay]), k)
+            vi = stay[vi]
+        return pa.table({"query_id": asked["query_id"].take(pa.array(qi)), "id": held["id"].take(pa.array(vi)), "score": pa.array(score, mask=np.isneginf(score))})
+
+    scored = left.groupBy("__v", "__q").cogroup(right.groupBy("__v", "__q")).applyInArrow(run, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
