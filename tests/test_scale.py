@@ -48,3 +48,16 @@ def test_nearest_in_steps(monkeypatch):
         best = np.lexsort((np.arange(len(rows)), -every))[:5]
         assert vi[qi == i].tolist() == best.tolist()
         assert score[qi == i].tolist() == every[best].tolist()
+
+
+def test_judgments_shared_by_topic(spark):
+    rng = np.random.default_rng(1)
+    judged = [("ab"[i % 2], i, float(i % 3 + 1)) for i in range(40)]
+    of = [(q, "abc"[q % 3]) for q in range(9)]
+    ranked = [(q, r, int(d)) for q in range(10) for r, d in enumerate(rng.permutation(60)[:12], 1)]
+    ranks, topics = spark.createDataFrame(ranked, "query_id long, rank int, doc_id long"), spark.createDataFrame(of, "query_id long, topic string")
+    shared = spark.createDataFrame(judged, "topic string, doc_id long, gain double")
+    pairs = topics.join(shared, "topic").select("query_id", "doc_id", "gain")
+    shown = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    for f in (evaluate.at_k, evaluate.per_query, evaluate.evaluate):
+        assert shown(f(ranks, shared, topics=topics)) == shown(f(ranks, pairs))

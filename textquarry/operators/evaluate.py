@@ -2,7 +2,8 @@
 
 rankings: (query_id, rank from 1, doc_id); judgments: (query_id, doc_id[, gain]).  A judged
 document is relevant whatever its gain.  Precision divides by what was retrieved, recall by what is
-relevant; a query with none of either scores 0.
+relevant; a query with none of either scores 0.  Where queries share what is judged, ``topics`` is
+(query_id, topic), one row per query, and judgments are (topic, doc_id[, gain]).
 """
 
 from __future__ import annotations
@@ -11,32 +12,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import fixed
+from textquarry.functions.checkpoints import checkpoint
 
 
-def _flagged(rankings: DataFrame, judgments: DataFrame) -> DataFrame:
+def _by_topic(judgments: DataFrame, topics: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(judgments by topic, (query_id, topic)); a query without a topic of its own is one."""
     gain = F.col("gain").cast("double") if "gain" in judgments.columns else F.lit(1.0)
-    j = judgments.select("query_id", "doc_id", gain.alias("gain")).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"))
-    return rankings.select("query_id", "rank", "doc_id").join(j, ["query_id", "doc_id"], "left").select("query_id", "rank", "doc_id", F.col("gain").isNotNull().cast("int").alias("rel"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    if topics is None:
+        return judgments.select(F.col("query_id").alias("topic"), "doc_id", gain.alias("gain")), judgments.select("query_id", F.col("query_id").alias("topic")).distinct()
+    return judgments.select("topic", "doc_id", gain.alias("gain")), topics.select("query_id", "topic")
 
 
-def _queries(rankings: DataFrame, judgments: DataFrame) -> DataFrame:
-    relevant = judgments.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_relevant"))
+def _flagged(rankings: DataFrame, judgments: DataFrame, topics: DataFrame | None) -> DataFrame:
+    judged, of = _by_topic(judgments, topics)
+    j = judged.groupBy("topic", "doc_id").agg(F.max("gain").alias("gain"))
+    rows = rankings.select("query_id", "rank", "doc_id").join(of, "query_id", "left").join(j, ["topic", "doc_id"], "left")
+    return rows.select("query_id", "rank", "doc_id", F.col("gain").isNotNull().cast("int").alias("rel"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
+
+
+def _queries(rankings: DataFrame, judgments: DataFrame, topics: DataFrame | None) -> DataFrame:
+    judged, of = _by_topic(judgments, topics)
+    relevant = of.join(judged.groupBy("topic").agg(F.countDistinct("doc_id").alias("n_relevant")), "topic").select("query_id", "n_relevant")
     retrieved = rankings.groupBy("query_id").agg(F.count("*").alias("n_retrieved"))
     return retrieved.join(relevant, "query_id", "full").select("query_id", F.coalesce("n_retrieved", F.lit(0)).alias("n_retrieved"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
 
 
-def at_k(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None = None) -> DataFrame:
+def at_k(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None = None, topics: DataFrame | None = None) -> DataFrame:
     """(query_id, k, precision, recall, ndcg, hit) for every query and cut-off."""
     ks = fixed.CUTOFFS if ks is None else ks
-    flagged = _flagged(rankings, judgments)
+    flagged = _flagged(rankings, judgments, topics)
     cut = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     # the terms of a sum over few ranks are added in rank order
     dcg = lambda rows: F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["gain"] / (F.log2(x["rank"] + 1.0)))
     seen = flagged.select("*", cut).where("rank <= k").groupBy("query_id", "k").agg(F.count("*").alias("n"), F.sum("rel").alias("hits"), F.array_sort(F.collect_list(F.struct("rank", "gain"))).alias("rows"))
-    gain = F.col("gain").cast("double") if "gain" in judgments.columns else F.lit(1.0)
-    best = judgments.select("query_id", "doc_id", gain.alias("gain")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "doc_id")))
-    ideal = best.select("query_id", "rank", "gain", cut).where("rank <= k").groupBy("query_id", "k").agg(F.array_sort(F.collect_list(F.struct("rank", "gain"))).alias("best"))
-    every = _queries(rankings, judgments).select("query_id", "n_relevant", cut)
+    judged, of = _by_topic(judgments, topics)
+    best = judged.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("gain"), "doc_id"))).where(F.col("rank") <= max(ks))
+    ideal = best.select("topic", "rank", "gain", cut).where("rank <= k").groupBy("topic", "k").agg(F.array_sort(F.collect_list(F.struct("rank", "gain"))).alias("best"))
+    ideal = of.join(ideal, "topic").select("query_id", "k", "best")
+    every = _queries(rankings, judgments, topics).select("query_id", "n_relevant", cut)
     joined = every.join(seen, ["query_id", "k"], "left").join(ideal, ["query_id", "k"], "left")
     top = F.coalesce(dcg(F.col("best")), F.lit(0.0))
     return joined.select(
@@ -49,15 +62,15 @@ def at_k(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None = None)
     )
 
 
-def per_query(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None = None) -> DataFrame:
+def per_query(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None = None, topics: DataFrame | None = None) -> DataFrame:
     """(query_id, reciprocal_rank, average_precision, hit at the largest cut-off, n_retrieved, n_relevant)."""
     ks = fixed.CUTOFFS if ks is None else ks
-    flagged = _flagged(rankings, judgments)
+    flagged = _flagged(rankings, judgments, topics)
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = flagged.withColumn("so_far", F.sum("rel").over(running)).where("rel = 1")
     sums = hits.groupBy("query_id").agg(F.min("rank").alias("first"), F.array_sort(F.collect_list(F.struct("rank", "so_far"))).alias("rows"))
     total = F.aggregate("rows", F.lit(0.0), lambda s, x: s + x["so_far"] / x["rank"])
-    joined = _queries(rankings, judgments).join(sums, "query_id", "left")
+    joined = _queries(rankings, judgments, topics).join(sums, "query_id", "left")
     return joined.select(
         "query_id",
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"),
@@ -68,11 +81,13 @@ def per_query(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None =
     )
 
 
-def evaluate(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None = None) -> DataFrame:
+def evaluate(rankings: DataFrame, judgments: DataFrame, ks: list[int] | None = None, topics: DataFrame | None = None) -> DataFrame:
     """(metric, k, value): means over queries; k is null for mrr, map and hit_rate."""
-    one = per_query(rankings, judgments, ks).agg(F.avg("reciprocal_rank").alias("mrr"), F.avg("average_precision").alias("map"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+    # both reports read the rankings, which may be a search over everything
+    rankings = checkpoint(rankings.select("query_id", "rank", "doc_id"))
+    one = per_query(rankings, judgments, ks, topics).agg(F.avg("reciprocal_rank").alias("mrr"), F.avg("average_precision").alias("map"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
     one = one.select(F.expr("stack(3, 'mrr', mrr, 'map', map, 'hit_rate', hit_rate) as (metric, value)")).select("metric", F.lit(None).cast("int").alias("k"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    cut = at_k(rankings, judgments, ks).groupBy("k").agg(F.avg("precision").alias("p"), F.avg("recall").alias("r"), F.avg("ndcg").alias("n"))
+    cut = at_k(rankings, judgments, ks, topics).groupBy("k").agg(F.avg("precision").alias("p"), F.avg("recall").alias("r"), F.avg("ndcg").alias("n"))
     cut = cut.select("k", F.expr("stack(3, 'precision', p, 'recall', r, 'ndcg', n) as (metric, value)")).select("metric", "k", "value")
     return one.unionByName(cut)
 
