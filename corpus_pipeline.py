@@ -9,23 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.functions.shipping import ship
+from textquarry.functions.shipping import bounded
 from textquarry.llm import classifier, decontaminate, line_dedup, ngram_join, packing
 from textquarry.llm._common import checkpoint
 
 #: Documents that score below are rejected.
 LEAST_QUALITY = 0.7
-#: Bytes after which a batch of rows goes to a Python worker; Spark's limit of 64 MB is held several times by each task, in the JVM and in the worker.
-BATCH_BYTES = 4 << 20
-
-
-def bounded(spark: SparkSession) -> SparkSession:
-    """``ship``, and batches of at most ``BATCH_BYTES`` and a row for the session; a lower limit of its own stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    have = spark.conf.get(key, "64m")
-    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(have) <= BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-    return ship(spark)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
-from textquarry.operators import evaluate, vector
+from textquarry.operators import chunking, evaluate, vector
 
 
 def plan(df) -> str:
@@ -61,3 +61,25 @@ def test_judgments_shared_by_topic(spark):
     shown = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
     for f in (evaluate.at_k, evaluate.per_query, evaluate.evaluate):
         assert shown(f(ranks, shared, topics=topics)) == shown(f(ranks, pairs))
+
+
+@pytest.fixture
+def batches(spark):
+    """What the session's bound on batches is once a plan has been made."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    yield lambda: int(spark.conf.get(key).rstrip("b"))
+    spark.conf.unset(key)
+
+
+def test_chunkers_cut_bounded_batches_once(spark, batches):
+    docs = spark.createDataFrame([("a", "One. Two. Three."), ("b", None), (None, "Four five.")], "doc_id string, text string")
+    for strategy, options in (("fixed", {}), ("sentence", {}), ("recursive", {}), ("semantic", {"embed": vector.hashed_bag_of_words}), ("structure", {})):
+        found = chunking.chunk(docs, strategy, **options)
+        assert batches() <= 4 << 20
+        # the cutter ran twice before, once for a filter, and gave all chunks of a batch as one array value per text
+        shown = plan(found.select("id", "chunk_index", F.length("text")))
+        assert shown.count("MapInArrow") == 1 and "ArrowEvalPython" not in shown
+        assert [(r.id, r.chunk_index, r.text) for r in found.orderBy("id").collect()] == [(None, 0, "Four five."), ("a", 0, "One. Two. Three.")]
+    meta = chunking.chunk(docs, "semantic", embed=vector.hashed_bag_of_words, size=4).where("id = 'a'").first().metadata
+    assert meta == {"num_sentences": "1"}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textquarry.functions.shipping import bounded
 from textquarry.functions.text import strip
 
 #: Numbers in a block of vectors, on each side of a search: 32,768 vectors of 64.
@@ -337,6 +338,7 @@ def retrieve(queries: DataFrame, table: DataFrame, k: int = 10, threshold: float
 def embed(docs: DataFrame, text_col: str = "text", out_col: str = "embedding", embed_fn: Callable[[list[str]], list[list[float]]] = hashed_bag_of_words, batch: int = 32) -> DataFrame:
     """Adds embeddings, by Arrow batches handed to ``embed_fn`` in slices of ``batch``; calls that fail are tried again."""
     call = retrying(embed_fn)
+    bounded(docs.sparkSession)
 
     @F.pandas_udf("array<float>")
     def run(texts):
