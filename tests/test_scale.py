@@ -1,5 +1,6 @@
 """Searches, evaluations, rerankers and folds at any size: the same rows as brute force, and plans whose work and memory grow with the input."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
-from textquarry.operators import chunking, evaluate, vector
+from textquarry.operators import chunking, dedup, evaluate, vector
 
 
 def plan(df) -> str:
@@ -83,3 +84,25 @@ def test_chunkers_cut_bounded_batches_once(spark, batches):
         assert [(r.id, r.chunk_index, r.text) for r in found.orderBy("id").collect()] == [(None, 0, "Four five."), ("a", 0, "One. Two. Three.")]
     meta = chunking.chunk(docs, "semantic", embed=vector.hashed_bag_of_words, size=4).where("id = 'a'").first().metadata
     assert meta == {"num_sentences": "1"}
+
+
+def test_prints_come_from_bounded_batches(spark, batches):
+    x = np.array([0, 1, 2**32 - 1, 12345678], np.uint64)
+    ends = [1, 2**30 - 1, 2**30, 2**31, 2**60, dedup.PRIME - 1]
+    for a in ends:
+        for b in [0, *ends]:
+            assert dedup.permuted(x, a, b).tolist() == [(a * int(v) + b) % dedup.PRIME for v in x]
+    text = " ".join(f"w{i % 50} x{i % 7}" for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "lonely word")], "doc_id long, text string")
+    words = {1: text.split(), 2: [], 3: ["lonely", "word"]}
+    shingles = {i: [" ".join(w[j : j + 3]) for j in range(len(w) - 2)] if len(w) > 2 else w for i, w in words.items()}
+    low = lambda s: int(hashlib.md5(s.encode()).hexdigest()[-8:], 16)
+    for found in (dedup.minhash(docs), dedup.simhash(docs)):
+        assert batches() <= 4 << 20
+        # a string of tokens per text, not an array of strings
+        assert "array_join" in plan(found)
+    for r in dedup.minhash(docs).collect():
+        assert r.signature == [min(((a * low(s) + b) % dedup.PRIME for s in shingles[r.id]), default=dedup.PRIME) for a, b in dedup.minhash_parameters()]
+    for r in dedup.simhash(docs).collect():
+        got = [int.from_bytes(hashlib.sha256(s.encode()).digest()[:8], "big") for s in shingles[r.id]]
+        assert r.simhash % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in got) > len(got))

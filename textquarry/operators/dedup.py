@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
 from textquarry.functions.checkpoints import checkpoint
+from textquarry.functions.shipping import bounded
 
 PRIME = (1 << 61) - 1
 
+#: Shingles of a text that are handled at once.
+_STEP = 1 << 16
+
 
 def fingerprint(text: Column, normalize: bool = True) -> Column:
     return F.md5((tx.normalized(text) if normalize else F.coalesce(text, F.lit(""))).cast("binary"))
@@ -31,6 +35,18 @@ def exact_dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return held.join(first, "h").select("id", "first_id", (~F.col("id").eqNullSafe(F.col("first_id"))).alias("is_duplicate"))
 
 
+def _tokens(docs: DataFrame, text_col: str) -> Column:
+    """The tokens in one string, as arrays of strings take a worker several times the memory; batches are bounded."""
+    bounded(docs.sparkSession)
+    return F.array_join(tx.dedup_tokens(F.col(text_col)), " ")
+
+
+def _shingles(tokens: str, k: int) -> list[str]:
+    """With repeats; fewer than k tokens are shingles themselves."""
+    w = tokens.split()
+    return [" ".join(x) for x in zip(*(w[i:] for i in range(k)))] if len(w) >= k else w
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(id, simhash): bit b is set if more shingles, with repeats, have it than not; texts without tokens give 0.
 
@@ -41,15 +57,14 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     def run(tokens: pd.Series) -> pd.Series:
         out = np.zeros(len(tokens), np.int64)
         for row, w in enumerate(tokens):
-            w = list(w)
-            shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else w
-            if shingles:
-                raw = np.frombuffer(b"".join(hashlib.sha256(s.encode()).digest()[:8] for s in shingles), np.uint8).reshape(-1, 8)
-                bits = 2 * np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64) > len(shingles)
-                out[row] = np.packbits(bits).view(">i8")[0]
+            shingles, count = _shingles(w, k), np.zeros(64, np.int64)
+            for lo in range(0, len(shingles), _STEP):
+                raw = np.frombuffer(b"".join([hashlib.sha256(s.encode()).digest()[:8] for s in shingles[lo : lo + _STEP]]), np.uint8).reshape(-1, 8)
+                count += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+            out[row] = np.packbits(2 * count > len(shingles)).view(">i8")[0]
         return pd.Series(out)
 
-    return docs.select(F.col(id_col).alias("id"), run(tx.dedup_tokens(F.col(text_col))).alias("simhash"))
+    return docs.select(F.col(id_col).alias("id"), run(_tokens(docs, text_col)).alias("simhash"))
 
 
 def near_prints(values: DataFrame, threshold: int = 3) -> DataFrame:
@@ -86,17 +101,24 @@ def minhash_parameters(n: int = 128, seed: int = 42) -> list[tuple[int, int]]:
 
 
 def permuted(x: np.ndarray, a, b) -> np.ndarray:
-    """(a x + b) mod 2**61 - 1 for x below 2**32, in 64-bit words: a is split in 31 and 30 bits so nothing overflows."""
+    """(a x + b) mod 2**61 - 1 for x below 2**32, in 64-bit words: a is split in 31 and 30 bits so nothing overflows.
+
+    The parts are below 2**61 + 2**32 and 2**62, and b below 2**61, so that one reduction at the end is enough.
+    """
     p = np.uint64(PRIME)
     a, b = np.asarray(a, np.uint64), np.asarray(b, np.uint64)
-
-    def fold(v: np.ndarray) -> np.ndarray:
-        v = (v & p) + (v >> np.uint64(61))
-        return np.where(v >= p, v - p, v)
-
-    high = fold(x * (a >> np.uint64(30)))
-    turned = (high >> np.uint64(31)) + ((high & np.uint64((1 << 31) - 1)) << np.uint64(30))
-    return fold(turned + fold(x * (a & np.uint64((1 << 30) - 1))) + b)
+    out = x * (a >> np.uint64(30))
+    spare = out >> np.uint64(31)
+    out &= np.uint64((1 << 31) - 1)
+    out <<= np.uint64(30)
+    out += spare
+    out += np.multiply(x, a & np.uint64((1 << 30) - 1), out=spare)
+    out += b
+    np.right_shift(out, np.uint64(61), out=spare)
+    out &= p
+    out += spare
+    # below the prime the difference wraps around and is the greater one
+    return np.minimum(out, np.subtract(out, p, out=spare), out=out)
 
 
 def minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_hashes: int = 128, k: int = 3, seed: int = 42) -> DataFrame:
@@ -110,16 +132,15 @@ def minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_h
     def run(tokens: pd.Series) -> pd.Series:
         out = []
         for w in tokens:
-            w = list(w)
-            shingles = {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else set(w)
-            x = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[-4:], "big") for s in shingles], np.uint64)
+            raw = b"".join([hashlib.md5(s.encode()).digest() for s in set(_shingles(w, k))])
+            x = np.unique(np.frombuffer(raw, ">u4")[3::4]).astype(np.uint64)
             least = np.full(n_hashes, PRIME, np.uint64)
-            for lo in range(0, len(x), 512):
-                least = np.minimum(least, permuted(x[lo : lo + 512], a, b).min(axis=1))
-            out.append(least.astype(np.int64).tolist())
+            for lo in range(0, len(x), 256):
+                least = np.minimum(least, permuted(x[lo : lo + 256], a, b).min(axis=1))
+            out.append(least.astype(np.int64))
         return pd.Series(out)
 
-    return docs.select(F.col(id_col).alias("id"), run(tx.dedup_tokens(F.col(text_col))).alias("signature"))
+    return docs.select(F.col(id_col).alias("id"), run(_tokens(docs, text_col)).alias("signature"))
 
 
 def estimate(a: Column, b: Column) -> Column:
