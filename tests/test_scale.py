@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
-from textquarry.operators import chunking, dedup, evaluate, vector
+from textquarry.operators import chunking, compress, dedup, evaluate, vector
 
 
 def plan(df) -> str:
@@ -106,3 +106,12 @@ def test_prints_come_from_bounded_batches(spark, batches):
     for r in dedup.simhash(docs).collect():
         got = [int.from_bytes(hashlib.sha256(s.encode()).digest()[:8], "big") for s in shingles[r.id]]
         assert r.simhash % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in got) > len(got))
+
+
+def test_compression_folds_bounded_batches(spark, batches):
+    chunks = spark.createDataFrame([(1, "apple pear", "Apple one. Nothing here. Pear two."), (2, None, "One. Two."), (3, "x", None)], "chunk_id long, query string, text string")
+    for f in (compress.by_score, compress.by_keywords):
+        found = f(chunks)
+        assert batches() <= 4 << 20
+        assert "array_join" in plan(found)
+    assert [(r.text, r.hit_count) for r in compress.by_keywords(chunks, window=0).orderBy("chunk_id").collect()] == [("Apple one. ... Pear two.", 2), ("One. Two.", 0), ("", 0)]
