@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
-from textquarry.operators import chunking, compress, dedup, evaluate, vector
+from textquarry.operators import chunking, compress, dedup, evaluate, rerank, vector
 
 
 def plan(df) -> str:
@@ -115,3 +115,21 @@ def test_compression_folds_bounded_batches(spark, batches):
         assert batches() <= 4 << 20
         assert "array_join" in plan(found)
     assert [(r.text, r.hit_count) for r in compress.by_keywords(chunks, window=0).orderBy("chunk_id").collect()] == [("Apple one. ... Pear two.", 2), ("One. Two.", 0), ("", 0)]
+
+
+def test_shared_corpus_is_ranked_without_shuffling_its_words(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in "bcdfg" for b in "xyzuv"]
+    text = lambda n: " ".join(words[int(i)] for i in np.minimum(rng.geometric(0.12, n) - 1, 24))
+    docs = [(i, f"d{i}", text(int(rng.integers(1, 40))), float(i % 7)) for i in range(150)] + [(150, "empty", None, 1.0), (151, "once", "unique bx the", 2.0)]
+    asked = [(1, text(4)), (2, "vv unique"), (3, None), (4, "nowhere"), (None, "bx")]
+    corpus, queries = spark.createDataFrame(docs, "pos long, id string, text string, score double"), spark.createDataFrame(asked, "query_id long, query string")
+    per_query = corpus.crossJoin(queries.where("query_id is not null").select("query_id"))
+    shown = lambda df: sorted((r.query_id, r["rank"], r.id, r.rerank_score) for r in df.collect())
+    for few in (250_000, 3):  # all terms common, some
+        monkeypatch.setattr(rerank, "BROADCAST_TERMS", few)
+        for f in (rerank.tfidf, rerank.bm25, rerank.blended):
+            assert shown(f(queries, corpus, top=9)) == shown(f(queries, per_query, top=9))
+    counts = rerank._term_counts(corpus)
+    assert sorted((r.term, r.tf, r.n) for r in counts.where("pos = 151").collect()) == [("bx", 1, 2), ("unique", 1, 2)]
+    assert "Aggregate" not in plan(counts)
