@@ -133,3 +133,21 @@ def test_shared_corpus_is_ranked_without_shuffling_its_words(spark, monkeypatch)
     counts = rerank._term_counts(corpus)
     assert sorted((r.term, r.tf, r.n) for r in counts.where("pos = 151").collect()) == [("bx", 1, 2), ("unique", 1, 2)]
     assert "Aggregate" not in plan(counts)
+
+
+def test_simulated_rankings_take_documents_in_blocks(spark):
+    topics = spark.createDataFrame([(q, "ab"[q % 2]) for q in range(12)] + [(12, "none")], "query_id long, topic string")
+    judged = spark.createDataFrame([("aab"[i % 3], i) for i in range(90)], "topic string, doc_id long")
+    pairs = topics.join(judged, "topic").select("query_id", "doc_id")
+    draw = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000)) / 1_000_000.0
+    hashed = F.xxhash64("query_id", "doc_id")
+    real = pairs.select("query_id", F.col("doc_id").cast("string").alias("doc_id")).where(draw("query_id", "doc_id", F.lit(1)) < 0.6).select("query_id", hashed.alias("h"), "doc_id", (draw("query_id", F.lit(2)) < 0.5).alias("up"))
+    noise = spark.createDataFrame([(q, f"noise_{i}") for q in range(12) for i in range(7)], "query_id long, doc_id string").select("query_id", hashed.alias("h"), "doc_id").collect()
+    want = []
+    for q in range(12):
+        own = sorted((r.h, r.doc_id, r.up) for r in real.where(F.col("query_id") == q).collect())
+        first = [own[0]] if own and own[0][2] else []
+        rest = sorted([(h, d) for h, d, _ in own[len(first) :]] + [(r.h, r.doc_id) for r in noise if r.query_id == q])
+        want += [(q, i, x[1]) for i, x in enumerate([*first, *rest][:10], 1)]
+    for found in (evaluate.simulate(judged, topics=topics), evaluate.simulate(pairs)):
+        assert sorted((r.query_id, r["rank"], r.doc_id) for r in found.collect()) == want

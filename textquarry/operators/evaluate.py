@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from textquarry.functions import fixed
 from textquarry.functions.checkpoints import checkpoint
 
+#: Judged documents in a block of a simulation.
+BLOCK_DOCS = 20_000
+
 
 def _by_topic(judgments: DataFrame, topics: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(judgments by topic, (query_id, topic)); a query without a topic of its own is one."""
@@ -98,14 +101,28 @@ def as_json(report: DataFrame) -> DataFrame:
     return named.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value"))))).alias("json"))
 
 
-def simulate(judgments: DataFrame, noise: int = 7, hit_rate: float = 0.6, cut: int = 10) -> DataFrame:
-    """Deterministic stand-in rankings: each relevant document appears with the hit rate, noise fills in, and the order comes from hashes."""
+def simulate(judgments: DataFrame, noise: int = 7, hit_rate: float = 0.6, cut: int = 10, topics: DataFrame | None = None) -> DataFrame:
+    """Deterministic stand-in rankings: each relevant document appears with the hit rate, noise fills in, and the order comes from hashes.
+
+    A query and a block of documents that share a topic are one row, of which the first ``cut`` documents are left, as a
+    ranking has no more.
+    """
     draw = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000)) / 1_000_000.0
-    found = judgments.select("query_id", F.col("doc_id").cast("string").alias("doc_id")).where(draw("query_id", "doc_id", F.lit(1)) < hit_rate)
-    padding = judgments.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), F.lit(noise - 1))).alias("i")).select("query_id", F.concat(F.lit("noise_"), F.col("i").cast("string")).alias("doc_id"))
-    both = found.withColumn("real", F.lit(1)).unionByName(padding.withColumn("real", F.lit(0)))
-    first = Window.partitionBy("query_id", "real").orderBy(F.xxhash64("query_id", "doc_id"), "doc_id")
-    lifted = both.withColumn("lift", (F.col("real") == 1) & (F.row_number().over(first) == 1) & (draw("query_id", F.lit(2)) < 0.5))
+    judged, of = _by_topic(judgments, topics)
+    judged = judged.select("topic", F.col("doc_id").cast("string").alias("doc_id"))
+    of = of.join(judged.select("topic").distinct(), "topic", "left_semi")
+    n_blocks = F.ceil(judged.agg(F.count("*")).scalar() / BLOCK_DOCS).cast("int")
+    blocks = judged.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(n_blocks, F.lit(32))))
+    # a block meets many queries, so blocks are dealt out by number and not by their bytes
+    parts = int(judgments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(parts, "topic", "block").groupBy("topic", "block").agg(F.collect_list("doc_id").alias("docs"))
+    hit = F.filter("docs", lambda x: draw(F.col("query_id"), x, F.lit(1)) < hit_rate)
+    ordered = F.sort_array(F.transform(hit, lambda x: F.struct(F.xxhash64(F.col("query_id"), x).alias("order"), x.alias("doc_id"))))
+    pairs = blocks.join(of, "topic").select("query_id", F.explode(F.slice(ordered, 1, cut)).alias("x"))
+    best = Window.partitionBy("query_id").orderBy("x.order", "x.doc_id")
+    found = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= cut).select("query_id", "x.doc_id", "place")
+    padding = of.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), F.lit(noise - 1))).alias("i")).select("query_id", F.concat(F.lit("noise_"), F.col("i").cast("string")).alias("doc_id"), F.lit(0).alias("place"))
+    lifted = found.unionByName(padding).withColumn("lift", (F.col("place") == 1) & (draw("query_id", F.lit(2)) < 0.5))
     order = Window.partitionBy("query_id").orderBy(F.desc("lift"), F.xxhash64("query_id", "doc_id"), "doc_id")
     return lifted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cut).select("query_id", "rank", "doc_id")
 
